@@ -33,9 +33,9 @@ def source_epochs(docs: DataFrame, weights: dict[str, float] | None = None, defa
         F.coalesce(F.sum("cap").over(before), F.lit(0.0)).alias("filled"),
         F.sum("weight").over(after).alias("open"),
     ).withColumn("level", (F.col("budget") - F.col("filled")) / F.col("open"))
-    level = level.withColumn("water", F.min(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))).over(whole))
-    allotted = F.when(F.col("water").isNull(), F.col("cap")).otherwise(F.least(F.col("water") * F.col("weight"), F.col("cap")))
-    shares = level.select("source", "chars", "weight", allotted.alias("allotted"))
+    # what a level pours out is concave in it, so each segment's line lies above: the true level is the highest of theirs
+    level = level.withColumn("water", F.max("level").over(whole))
+    shares = level.select("source", "chars", "weight", F.least(F.col("water") * F.col("weight"), F.col("cap")).alias("allotted"))
     rest = sizes.where(~real).select("source", "chars", "weight", F.lit(0.0).alias("allotted"))
     return shares.unionByName(rest).withColumn("epochs", F.when(F.col("chars") > 0, F.col("allotted") / F.col("chars")).otherwise(0.0))
 

@@ -97,8 +97,8 @@ ORACLE: dict[str, str] = {
                    (sum(chars) OVER ()::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                    / sum(weight) OVER (ORDER BY cap / weight, source NULLS FIRST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
             FROM sizes WHERE chars > 0),
-        water AS (SELECT *, min(level) FILTER (level <= cap / weight) OVER () AS water FROM level),
-        epochs AS (SELECT source, CASE WHEN water IS NULL THEN cap ELSE least(water * weight, cap) END / chars AS epochs FROM water UNION ALL SELECT source, 0 FROM sizes WHERE chars = 0),
+        water AS (SELECT *, max(level) OVER () AS water FROM level),
+        epochs AS (SELECT source, least(water * weight, cap) / chars AS epochs FROM water UNION ALL SELECT source, 0 FROM sizes WHERE chars = 0),
         chance AS (SELECT doc_id, source, ('0x' || left(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 8))::BIGINT / 4294967296.0::DOUBLE AS chance FROM documents)
         SELECT doc_id, c.source, (floor(epochs) + (chance < epochs - floor(epochs))::INT)::INT AS copies
         FROM chance c JOIN epochs e ON c.source IS NOT DISTINCT FROM e.source""",
