@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local folder only where none is set."""
+    """The cluster's ``spark.checkpoint.dir``. Where none is set, a local session gets a folder of its own; a cluster, whose
+    executors don't share one, is refused."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="sextant-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
