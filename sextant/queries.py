@@ -1,6 +1,559 @@
-"""Registered queries of the core, and the SQL that says the same."""
+"""Registered queries of the core, over whole tables, and the SQL that says the same."""
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from sextant import tables as T
+from sextant.functions import chunks, text, vectors
+from sextant.operators import ann, blocks, clusters, compare, context, delta, evaluation, memory, projection, retrieval
+from sextant.plans import deep
+from sextant.sources import encoders, remote
+from sextant.streaming import files as streams
+
+#: The tables' vectors are nearly orthogonal: thresholds of real corpora would find nothing.
+ALIKE, NEAR, BARELY = 0.40, 0.35, 0.30
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def registered(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _dot(a: str, b: str) -> str:
+    return f"round(list_dot_product({a}, {b}), 6)"
+
+
+_V = "v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS x FROM embeddings)"
+_W = "w AS (SELECT vec_id AS id, (CASE WHEN label >= 5 THEN list_concat(embedding[2:], embedding[:1]) ELSE embedding END)::DOUBLE[] AS x FROM embeddings)"
+_PAIRS = f"p AS (SELECT a.id AS a, b.id AS b, {_dot('a.x', 'b.x')} AS score FROM v a JOIN v b ON a.id < b.id)"
+_FILE = "('doc_' || doc_id)"
+_TEXT = "coalesce(text, '')"
+_ID = "left(sha256({f} || chr(31) || '0' || chr(31) || length({t})), 16)"
+_DOCS = f"""doc AS (SELECT doc_id AS id, {_FILE} AS source_file, 0 AS char_offset, length({_TEXT}) AS char_length, 'sha256:' || sha256({_TEXT}) AS content_hash,
+    {_ID.format(f=_FILE, t=_TEXT)} AS passage_id, {_TEXT} AS text FROM documents)"""
+_EDIT = f"""edited AS (SELECT {_FILE} AS source_file, coalesce(CASE WHEN source = 'src5' THEN replace(text, 'e', '3') ELSE text END, '') AS text FROM documents WHERE source <> 'src3' OR source IS NULL
+    UNION ALL SELECT 'page_' || page_id, coalesce(html, '') FROM pages)"""
+_STATUS = "CASE WHEN n.text IS NULL THEN 'missing' WHEN 'sha256:' || sha256(substring(n.text, d.char_offset + 1, d.char_length)) = d.content_hash THEN 'verified' ELSE 'drifted' END"
+_TOP5 = f"""near AS (SELECT q.id AS query_id, d.id AS passage_idx, {_dot('d.x', 'q.x')} AS score FROM v q, v d WHERE d.id IN (SELECT doc_id FROM documents)),
+    top5 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_idx)::INT AS rank FROM near QUALIFY rank <= 5)"""
+_HITS = f"hit AS (SELECT t.query_id, t.rank, t.score, d.id AS passage_idx, d.source_file, d.char_offset, d.char_length, {_STATUS} AS drift_status, CASE WHEN {_STATUS} = 'verified' THEN substring(n.text, d.char_offset + 1, d.char_length) ELSE '' END AS text FROM top5 t JOIN doc d ON d.id = t.passage_idx LEFT JOIN edited n ON n.source_file = d.source_file)"
+_METRICS = """metric AS (SELECT query_id, count(*)::BIGINT AS n_hits, max(score) FILTER (rank = 1) AS top1_score, round(coalesce(max(score) FILTER (rank = 1) - max(score) FILTER (rank = 2), 1.0), 6)::DOUBLE AS top1_top2_gap,
+    round(count(DISTINCT source_file) / count(*), 6)::DOUBLE AS source_diversity, round(avg((drift_status <> 'verified')::INT), 6)::DOUBLE AS drift_fraction FROM hit GROUP BY query_id)"""
+_EVIDENCE = f"{_V}, {_DOCS}, {_EDIT}, {_TOP5}, {_HITS}, {_METRICS}"
+
+
+# -- search ---------------------------------------------------------------------------------------------------------------
+
+
+@registered(f"WITH {_V} SELECT 0::BIGINT AS query_id, row_number() OVER (ORDER BY score DESC, passage_idx)::INT AS rank, passage_idx, score FROM (SELECT d.id AS passage_idx, {_dot('d.x', 'q.x')} AS score FROM v d, v q WHERE q.id = 0) QUALIFY rank <= 10")
+def topk_cosine(spark: SparkSession, d: str) -> DataFrame:
+    return blocks.best_of(T.by_label(spark, d), T.first_vector(spark, d), 10, False)
+
+
+_SQL_DEDUP = """WITH {v}, s AS (SELECT q.id AS query_id, d.id AS passage_idx, d.label, d.id % 20 AS o, {dot} AS score FROM v d, v q{where}),
+    one AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id, label, o ORDER BY score DESC, passage_idx) = 1)
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_idx)::INT AS rank, passage_idx, score FROM one QUALIFY rank <= {k}"""
+
+
+@registered(_SQL_DEDUP.format(v=_V, dot=_dot("d.x", "q.x"), where=" WHERE q.id = 0", k=10))
+def topk_cosine_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return blocks.best_of(T.by_label(spark, d), T.first_vector(spark, d), 10, True)
+
+
+@registered(_SQL_DEDUP.format(v=_V, dot=_dot("d.x", "q.x"), where="", k=5))
+def topk_batch(spark: SparkSession, d: str) -> DataFrame:
+    return blocks.best_of(T.by_label(spark, d), T.asked(spark, d), 5, True)
+
+
+@registered()
+def ann_topk(spark: SparkSession, d: str) -> DataFrame:
+    return ann.retrieve(T.by_label(spark, d), T.asked(spark, d), 10, ann.build(T.by_label(spark, d)))
+
+
+@registered(f"WITH {_V}, {_W} SELECT v.id AS a, max({_dot('v.x', 'w.x')}) AS score FROM v, w GROUP BY v.id")
+def max_cosine(spark: SparkSession, d: str) -> DataFrame:
+    return blocks.best_over(T.vectors(spark, d), T.other_vectors(spark, d))
+
+
+_SAMPLE = "(SELECT * FROM {t} ORDER BY sha256(id || ':0'), id LIMIT {n})"
+_COVER = "(SELECT round(avg(m), 6) FROM (SELECT max({dot}) AS m FROM {a} a, {b} b GROUP BY a.id))"
+
+
+@registered(f"WITH {_V}, {_W} SELECT {_COVER.format(dot=_dot('a.x', 'b.x'), a=_SAMPLE.format(t='v', n=512), b='w')} AS coverage")
+def coverage_sampled(spark: SparkSession, d: str) -> DataFrame:
+    return compare.mean_coverage(T.vectors(spark, d), T.other_vectors(spark, d))
+
+
+# -- vectors --------------------------------------------------------------------------------------------------------------
+
+
+@registered(f"""WITH {_V}, {_W}, e AS (SELECT v.id, unnest(v.x) AS a, unnest(w.x) AS b, generate_subscripts(v.x, 1)::INT - 1 AS pos FROM v JOIN w USING (id))
+    SELECT id, pos, round(a + b, 6) AS merged, round(CASE WHEN sign(a) = sign(b) THEN sign(a) * least(abs(a), abs(b)) ELSE 0 END, 6)::DOUBLE AS common, round(greatest(a - b, 0), 6) AS positive, round(a - b, 6) AS signed FROM e""")
+def vec_algebra(spark: SparkSession, d: str) -> DataFrame:
+    rows = T.vectors(spark, d).join(T.other_vectors(spark, d).withColumnRenamed("vector", "other"), "id")
+    parts = {"merged": vectors.merge, "common": vectors.intersect, "positive": vectors.diff, "signed": vectors.subtract}
+    rows = rows.select("id", F.posexplode(F.arrays_zip(*(f("vector", "other").alias(n) for n, f in parts.items()))).alias("pos", "z"))
+    return rows.select("id", "pos", *(F.round(F.col(f"z.{n}"), 6).alias(n) for n in parts))
+
+
+_SQL_CENTROID = f"WITH {_V}, e AS (SELECT unnest(x) AS a, generate_subscripts(x, 1)::INT - 1 AS pos FROM v), m AS (SELECT pos, avg(a) AS a FROM e GROUP BY pos) SELECT pos, round(a / sqrt((SELECT sum(a * a) FROM m)), 6) AS value FROM m"
+
+
+@registered(_SQL_CENTROID)
+def centroid(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.centroid(T.vectors(spark, d)).select(F.posexplode("vector").alias("pos", "value")).select("pos", F.round("value", 6).alias("value"))
+
+
+_WEIGHT = "sin(i.i * 64 + j.j + 1)"
+
+
+@registered(f"""WITH {_V}, m AS (SELECT i.i, list({_WEIGHT} ORDER BY j.j) AS w FROM range(16) i(i), range(64) j(j) GROUP BY i.i), y AS (SELECT id, i AS pos, list_dot_product(x, w) AS z FROM v, m)
+    SELECT id, pos::INT AS pos, round(z / greatest(sqrt(sum(z * z) OVER (PARTITION BY id)), 1e-12), 6) AS value FROM y""")
+def project_band(spark: SparkSession, d: str) -> DataFrame:
+    rows = projection.with_projection(T.vectors(spark, d), T.weights())
+    return rows.select("id", F.posexplode("optimised").alias("pos", "value")).select("id", "pos", F.round("value", 6).alias("value"))
+
+
+@registered(f"""WITH {_V}, e AS (SELECT id, unnest(x[:16]) AS a, generate_subscripts(x[:16], 1)::INT - 1 AS pos FROM v)
+    SELECT id, pos, round(a / greatest(sqrt(sum(a * a) OVER (PARTITION BY id)), 1e-12), 6) AS value FROM e""")
+def prefix_band(spark: SparkSession, d: str) -> DataFrame:
+    return T.vectors(spark, d).select("id", F.posexplode(vectors.prefix("vector", 16)).alias("pos", "value")).select("id", "pos", F.round("value", 6).alias("value"))
+
+
+# -- one corpus -----------------------------------------------------------------------------------------------------------
+
+
+@registered(f"WITH {_V}, {_PAIRS} SELECT a, b, score FROM p WHERE score >= {ALIKE}")
+def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return blocks.pairs_over(T.vectors(spark, d), None, ALIKE)
+
+
+_REACH = "e AS (SELECT a, b FROM {p} UNION SELECT b, a FROM {p}), r(id, other) AS (SELECT id, id FROM {n} UNION SELECT r.id, e.b FROM r JOIN e ON r.other = e.a), c AS (SELECT id, min(other) AS cluster_id FROM r GROUP BY id)"
+_EDGES = f"{_V}, {_PAIRS}, edge AS (SELECT a, b FROM p WHERE score >= {ALIKE}), {_REACH.format(p='edge', n='v')}"
+
+
+@registered(f"WITH RECURSIVE {_EDGES} SELECT id, cluster_id FROM c")
+def similarity_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.clusters(T.vectors(spark, d), ALIKE)
+
+
+@registered(f"""WITH RECURSIVE {_EDGES}, s AS (SELECT cluster_id, count(*) AS size FROM c GROUP BY cluster_id HAVING count(*) > 1)
+    SELECT s.cluster_id, s.size::BIGINT AS size, round(avg(list_dot_product(va.x, vb.x)), 6) AS mean_cosine FROM s JOIN c ca USING (cluster_id) JOIN c cb USING (cluster_id) JOIN v va ON va.id = ca.id JOIN v vb ON vb.id = cb.id WHERE ca.id < cb.id GROUP BY s.cluster_id, s.size""")
+def near_duplicate_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.near_duplicates(T.vectors(spark, d), ALIKE).select("cluster_id", "size", "mean_cosine")
+
+
+@registered(f"WITH {_V} SELECT row_number() OVER (ORDER BY score DESC, passage_idx)::INT AS rank, passage_idx, score FROM (SELECT d.id AS passage_idx, {_dot('d.x', 'q.x')} AS score FROM v d, v q WHERE q.id = 0 AND d.id <> 0) QUALIFY rank <= 10")
+def neighbors(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.neighbors(T.by_label(spark, d), 0)
+
+
+@registered(f"WITH {_DOCS} SELECT id AS passage_idx, source_file, char_offset, char_length::INT AS char_length, content_hash, passage_id FROM doc JOIN embeddings ON id = vec_id WHERE id = 7")
+def locate(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.locate(T.passages(spark, d), 7)
+
+
+@registered("SELECT 'label_' || label AS source_file, count(*)::BIGINT AS n_passages FROM embeddings GROUP BY label")
+def profile(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.profile(T.by_label(spark, d))
+
+
+@registered(f"WITH {_DOCS}, {_EDIT} SELECT d.id AS passage_idx, {_STATUS} AS drift_status FROM doc d JOIN embeddings ON vec_id = id LEFT JOIN edited n USING (source_file)")
+def drift_report(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.drift_report(T.passages(spark, d), T.edited_files(spark, d)).select("passage_idx", "drift_status")
+
+
+@registered(f"WITH {_DOCS}, {_EDIT}, s AS (SELECT {_STATUS} AS drift_status FROM doc d JOIN embeddings ON vec_id = id LEFT JOIN edited n USING (source_file)) SELECT x.drift_status, count(s.drift_status)::BIGINT AS n FROM (VALUES ('verified'), ('drifted'), ('missing')) x(drift_status) LEFT JOIN s USING (drift_status) GROUP BY x.drift_status")
+def drift_counts(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.drift_counts(retrieval.drift_report(T.passages(spark, d), T.edited_files(spark, d)))
+
+
+def _evidence(spark: SparkSession, d: str, queries: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    return retrieval.evidence(T.passages(spark, d), T.edited_files(spark, d), T.asked(spark, d) if queries is None else queries, 5)
+
+
+@registered(f"WITH {_EVIDENCE} SELECT query_id, rank, score, passage_idx, source_file, drift_status, text FROM hit")
+def evidence(spark: SparkSession, d: str) -> DataFrame:
+    return _evidence(spark, d)[0].select("query_id", "rank", "score", "passage_idx", "source_file", "drift_status", "text")
+
+
+@registered(f"WITH {_EVIDENCE} SELECT query_id, rank, passage_idx FROM hit WHERE drift_status = 'verified'")
+def verified_only(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.verified_only(_evidence(spark, d)[0]).select("query_id", "rank", "passage_idx")
+
+
+@registered(f"WITH {_EVIDENCE} SELECT * FROM metric")
+def confidence(spark: SparkSession, d: str) -> DataFrame:
+    return _evidence(spark, d)[1]
+
+
+_GATE = "CASE mode WHEN 'augment' THEN top1_score < 0.30 OR drift_fraction > 0.30 WHEN 'knowledge' THEN top1_score < 0.15 ELSE top1_score < 0 END"
+
+
+@registered(f"WITH {_EVIDENCE} SELECT query_id, mode, {_GATE} AS suppressed FROM metric, (VALUES ('augment'), ('knowledge'), ('constrain')) g(mode)")
+def mode_gate(spark: SparkSession, d: str) -> DataFrame:
+    modes = spark.createDataFrame([(m,) for m in context.GATES], "mode string")
+    return _evidence(spark, d)[1].crossJoin(F.broadcast(modes)).select("query_id", "mode", context.suppressed("mode").alias("suppressed"))
+
+
+# -- several corpora ------------------------------------------------------------------------------------------------------
+
+
+@registered(f"""WITH {_V}, {_W}, ve AS (SELECT unnest(x) AS a, generate_subscripts(x, 1) AS pos FROM v), we AS (SELECT unnest(x) AS a, generate_subscripts(x, 1) AS pos FROM w),
+    vm AS (SELECT pos, avg(a) AS a FROM ve GROUP BY pos), wm AS (SELECT pos, avg(a) AS a FROM we GROUP BY pos),
+    r AS (SELECT (SELECT round(sum(vm.a * wm.a) / sqrt((SELECT sum(a * a) FROM vm)) / sqrt((SELECT sum(a * a) FROM wm)), 6) FROM vm JOIN wm USING (pos)) AS centroid_cosine,
+    {_COVER.format(dot=_dot('a.x', 'b.x'), a=_SAMPLE.format(t='v', n=512), b='w')} AS coverage_ab, {_COVER.format(dot=_dot('a.x', 'b.x'), a=_SAMPLE.format(t='w', n=512), b='v')} AS coverage_ba) SELECT *, round((coverage_ab + coverage_ba) / 2, 6) AS overlap FROM r""")
+def compare_corpora(spark: SparkSession, d: str) -> DataFrame:
+    return compare.compare(T.vectors(spark, d), T.other_vectors(spark, d))
+
+
+@registered(f"WITH {_V}, {_W}, m AS (SELECT v.id AS a, max({_dot('v.x', 'w.x')}) AS score FROM v, w GROUP BY v.id) SELECT * FROM m WHERE score < 0.7")
+def unique(spark: SparkSession, d: str) -> DataFrame:
+    return compare.unique(T.vectors(spark, d), T.other_vectors(spark, d))
+
+
+@registered(f"WITH {_V}, {_W}, p AS (SELECT v.id AS a, w.id AS b, {_dot('v.x', 'w.x')} AS score FROM v, w) SELECT * FROM p WHERE score >= {ALIKE} ORDER BY score DESC, a, b LIMIT 10000")
+def intersect_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return compare.intersection(T.vectors(spark, d), T.other_vectors(spark, d), ALIKE)
+
+
+@registered(f"""WITH {_V}, {_W}, u AS (SELECT 'new' AS label, * FROM w UNION ALL SELECT 'old', id, x FROM v), s AS (SELECT q.id AS query_id, u.label, u.id AS passage_idx, {_dot('u.x', 'q.x')} AS score FROM v q, u)
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label, passage_idx)::INT AS rank, label, passage_idx, score FROM s QUALIFY rank <= 5""")
+def compose_search(spark: SparkSession, d: str) -> DataFrame:
+    members = {"old": T.vectors(spark, d), "new": T.other_vectors(spark, d)}
+    return compare.composed_search(T.asked(spark, d), 5, **{k: v.withColumnRenamed("id", "passage_idx") for k, v in members.items()})
+
+
+@registered(f"""WITH RECURSIVE {_V}, {_W}, u AS (SELECT row_number() OVER (ORDER BY side, old_id) AS id, side, old_id, x FROM (SELECT 0 AS side, id AS old_id, x FROM v UNION ALL SELECT 1, id, x FROM w)),
+    edge AS (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.id < b.id WHERE {_dot('a.x', 'b.x')} >= 0.92), {_REACH.format(p='edge', n='u')}
+    SELECT side::INT AS side, old_id, row_number() OVER (ORDER BY u.id) - 1 AS passage_idx FROM u JOIN c ON c.id = u.id AND c.cluster_id = u.id""")
+def merge_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    return compare.merged(T.vectors(spark, d), T.other_vectors(spark, d))
+
+
+@registered(f"""WITH {_V}, {_W}, p AS (SELECT v.id AS a, w.id AS b, {_dot('v.x', 'w.x')} AS score FROM v, w)
+    SELECT a AS id, CASE WHEN max(score) < 0.95 THEN 'removed' ELSE 'unchanged' END AS side FROM p GROUP BY a UNION ALL SELECT b, 'added' FROM p GROUP BY b HAVING max(score) < 0.95""")
+def corpus_diff(spark: SparkSession, d: str) -> DataFrame:
+    return compare.corpus_diff(T.vectors(spark, d), T.other_vectors(spark, d))
+
+
+_GRAMS = f"""tok AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '{text.SPACE}'), lambda y: y <> '') AS t FROM documents WHERE text <> ''),
+    gram AS (SELECT id, CASE WHEN len(t) >= 3 THEN list_distinct(list_transform(range(1, len(t) - 1), lambda i: t[i] || chr(31) || t[i + 1] || chr(31) || t[i + 2])) END AS g FROM tok)"""
+_JACCARD = "round(CASE WHEN x.g IS NULL OR y.g IS NULL THEN 1.0::DOUBLE ELSE len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))) END, 6)"
+
+
+@registered(f"WITH {_GRAMS}, pair AS (SELECT doc_id AS a, lag(doc_id) OVER (ORDER BY doc_id) AS b FROM documents) SELECT a, b, {_JACCARD} AS jaccard FROM pair JOIN gram x ON x.id = a JOIN gram y ON y.id = b")
+def jaccard3(spark: SparkSession, d: str) -> DataFrame:
+    """Each document against the one before it."""
+    grams = T.texts(spark, d).where("text <> ''").select("id", text.trigrams("text").alias("g"))
+    ids = chunks.numbered(T.texts(spark, d).select("id"), ["id"], "at")
+    pairs = ids.select(F.col("id").alias("a"), "at").join(ids.select(F.col("id").alias("b"), (F.col("at") + 1).alias("at")), "at")
+    rows = pairs.join(grams.select(F.col("id").alias("a"), F.col("g").alias("x")), "a").join(grams.select(F.col("id").alias("b"), F.col("g").alias("y")), "b")
+    return rows.select("a", "b", F.round(text.jaccard("x", "y"), 6).alias("jaccard"))
+
+
+@registered(f"WITH {_V}, {_PAIRS}, {_GRAMS}, s AS (SELECT a, b, score, {_JACCARD} AS jaccard FROM p JOIN gram x ON x.id = a JOIN gram y ON y.id = b WHERE score >= {NEAR}) SELECT * FROM s WHERE jaccard <= 0.3 ORDER BY score DESC, a, b LIMIT 1000")
+def contradictions(spark: SparkSession, d: str) -> DataFrame:
+    return compare.contradictions(T.vectors(spark, d), T.texts(spark, d), NEAR)
+
+
+_SUPPORT = f"near AS (SELECT q.id AS query_id, d.id AS passage_idx, {_dot('d.x', 'q.x')} AS score FROM v q, v d), support AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_idx)::INT AS rank FROM near QUALIFY rank <= 10) WHERE score >= {BARELY})"
+
+
+@registered(f"WITH {_V}, {_SUPPORT} SELECT query_id, rank, passage_idx, score FROM support")
+def audit_support(spark: SparkSession, d: str) -> DataFrame:
+    return compare.audit(T.vectors(spark, d), T.texts(spark, d), T.asked(spark, d), BARELY, 10, NEAR)[0].select("query_id", "rank", "passage_idx", "score")
+
+
+@registered(f"""WITH {_V}, {_SUPPORT}, {_GRAMS}, pair AS (SELECT s.query_id, s.rank, s.passage_idx AS a, d.id AS b, {_dot('sv.x', 'd.x')} AS score FROM support s JOIN v sv ON sv.id = s.passage_idx JOIN v d ON d.id <> sv.id WHERE {_dot('sv.x', 'd.x')} >= {NEAR}),
+    other AS (SELECT * FROM pair ANTI JOIN (SELECT query_id, passage_idx AS b FROM support) USING (query_id, b)),
+    j AS (SELECT query_id, b AS passage_idx, a AS supporter, score, {_JACCARD} AS jaccard, rank FROM other JOIN gram x ON x.id = a JOIN gram y ON y.id = b)
+    SELECT query_id, passage_idx, supporter, score, jaccard FROM j WHERE jaccard <= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id, passage_idx ORDER BY rank) = 1""")
+def audit_against(spark: SparkSession, d: str) -> DataFrame:
+    return compare.audit(T.vectors(spark, d), T.texts(spark, d), T.asked(spark, d), BARELY, 10, NEAR)[1]
+
+
+# -- texts and upkeep -----------------------------------------------------------------------------------------------------
+
+
+@registered()
+def chunk_passages(spark: SparkSession, d: str) -> DataFrame:
+    return chunks.registry(T.files(spark, d)).drop("text")
+
+
+@registered(f"WITH {_DOCS} SELECT source_file, content_hash, passage_id FROM doc")
+def passage_hash_id(spark: SparkSession, d: str) -> DataFrame:
+    return T.whole(T.files(spark, d)).select("source_file", "content_hash", "passage_id")
+
+
+_NEW = f"new AS (SELECT source_file, 'sha256:' || sha256(text) AS content_hash, {_ID.format(f='source_file', t='text')} AS passage_id FROM edited)"
+_BUCKET = "CASE WHEN o.content_hash IS NULL THEN 'added' WHEN n.content_hash IS NULL THEN 'removed' WHEN o.content_hash = n.content_hash THEN 'unchanged' ELSE 'updated' END"
+
+
+@registered(f"WITH {_DOCS}, {_EDIT}, {_NEW} SELECT coalesce(o.passage_id, n.passage_id) AS passage_id, {_BUCKET} AS bucket FROM doc o FULL JOIN new n ON o.passage_id = n.passage_id")
+def delta_buckets(spark: SparkSession, d: str) -> DataFrame:
+    return delta.bucketise(T.whole(T.files(spark, d)), T.whole(T.edited_files(spark, d)))
+
+
+@registered(f"WITH {_DOCS}, {_EDIT}, {_NEW}, b AS (SELECT {_BUCKET} AS bucket FROM doc o FULL JOIN new n ON o.passage_id = n.passage_id) SELECT x.bucket, count(b.bucket)::BIGINT AS n FROM (VALUES ('unchanged'), ('updated'), ('added'), ('removed')) x(bucket) LEFT JOIN b USING (bucket) GROUP BY x.bucket")
+def delta_counts(spark: SparkSession, d: str) -> DataFrame:
+    return delta.bucket_counts(delta.bucketise(T.whole(T.files(spark, d)), T.whole(T.edited_files(spark, d))))
+
+
+@registered(f"WITH {_DOCS}, {_EDIT}, {_NEW} SELECT row_number() OVER (ORDER BY n.source_file, n.passage_id) - 1 AS passage_idx, n.source_file, n.passage_id, n.content_hash, coalesce(o.content_hash = n.content_hash, false) AS kept FROM new n LEFT JOIN doc o ON o.passage_id = n.passage_id")
+def apply_delta(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors that were there are marked by a size of one; new ones are encoded."""
+    old = T.whole(T.files(spark, d)).withColumn("vector", F.array(F.lit(0.0).cast("float")))
+    done = delta.apply_delta(old, T.whole(T.edited_files(spark, d)), encoders.encode_with(encoders.HashingEncoder(8)))
+    return done.select("passage_idx", "source_file", "passage_id", "content_hash", (F.size("vector") == 1).alias("kept"))
+
+
+_PINNED = f"pinned AS (SELECT source_file, '{T.URL_BASE}/' || source_file AS url, sha256(text) AS sha256 FROM doc), catalog AS (SELECT source_file, '{T.URL_BASE}/' || source_file AS url, sha256(text) AS sha256 FROM edited)"
+
+
+@registered(f"WITH {_DOCS}, {_EDIT}, {_PINNED} SELECT coalesce(o.source_file, n.source_file) AS source_file, CASE WHEN o.url IS NULL THEN 'added' WHEN n.url IS NULL THEN 'removed' WHEN o.url = n.url AND o.sha256 = n.sha256 THEN 'unchanged' ELSE 'modified' END AS bucket FROM pinned o FULL JOIN catalog n ON o.source_file = n.source_file")
+def manifest_delta(spark: SparkSession, d: str) -> DataFrame:
+    return delta.manifest_delta(remote.compose_manifest(T.files(spark, d), T.URL_BASE), remote.compose_manifest(T.edited_files(spark, d), T.URL_BASE))
+
+
+@registered(f"WITH {_DOCS}, {_EDIT}, {_PINNED} SELECT o.source_file, CASE WHEN n.url IS NULL THEN 'unavailable' WHEN o.sha256 = n.sha256 THEN 'unchanged' ELSE 'modified' END AS bucket FROM pinned o LEFT JOIN catalog n ON o.source_file = n.source_file")
+def poll_delta(spark: SparkSession, d: str) -> DataFrame:
+    return delta.poll_delta(remote.compose_manifest(T.files(spark, d), T.URL_BASE), T.edited_files(spark, d))
+
+
+@registered(f"WITH {_DOCS}, {_EDIT}, {_PINNED} SELECT o.source_file, CASE WHEN n.url IS NULL THEN 'missing' WHEN o.sha256 = n.sha256 THEN 'verified' ELSE 'drifted' END AS drift_status FROM pinned o LEFT JOIN catalog n ON o.source_file = n.source_file")
+def freshness(spark: SparkSession, d: str) -> DataFrame:
+    return delta.freshness(remote.compose_manifest(T.files(spark, d), T.URL_BASE), T.edited_files(spark, d))
+
+
+@registered(f"SELECT url AS source_file, '{T.URL_BASE}/' || list_aggregate(list_transform(string_split(url, '/'), lambda s: url_encode(s)), 'string_agg', '/') AS url, sha256(html) AS sha256 FROM pages")
+def compose_manifest(spark: SparkSession, d: str) -> DataFrame:
+    return remote.compose_manifest(T.table(spark, d, "pages").select(F.col("url").alias("source_file"), F.col("html").alias("text")), T.URL_BASE)
+
+
+# -- names and context ----------------------------------------------------------------------------------------------------
+
+_STOPS = "[" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "]"
+
+
+def _names_sql(q: str) -> str:
+    quoted = f"list_filter(list_transform(regexp_extract_all({q}, '[''\"]([^''\"]+)[''\"]', 1), lambda s: regexp_replace(s, '^{text.SPACE}|{text.SPACE}$', '', 'g')), lambda s: length(s) >= 3)"
+    words = f"list_filter(regexp_extract_all(regexp_replace({q}, '[''\"]([^''\"]+)[''\"]', ' ', 'g'), '[A-Za-z][A-Za-z0-9-]*'), lambda s: length(s) >= 2 AND (s = upper(s) OR regexp_matches(s, '[0-9]')) AND NOT list_contains({_STOPS}, lower(s)))"
+    return f"list_concat({quoted}, {words})"
+
+
+_HAS = "CASE WHEN length(s) <= 6 AND s = upper(s) AND s <> lower(s) THEN regexp_matches({t}, '(^|[^\\p{{L}}\\p{{N}}_])' || regexp_escape(s) || '($|[^\\p{{L}}\\p{{N}}_])') ELSE contains(lower({t}), lower(s)) END"
+
+
+@registered(f"""WITH turn AS (SELECT conv_id, turn, coalesce(text, '') AS q, coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text), '') AS answer FROM conversations)
+    SELECT conv_id, turn, q AS question, (SELECT coalesce(string_agg(s, ',' ORDER BY i), '') FROM (SELECT s, min(i) AS i FROM (SELECT unnest({_names_sql('q')}) AS s, generate_subscripts({_names_sql('q')}, 1) AS i) GROUP BY s) WHERE NOT ({_HAS.format(t='answer')})) AS missing FROM turn""")
+def name_check(spark: SparkSession, d: str) -> DataFrame:
+    """Names of each turn that the next one doesn't hold."""
+    nxt = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    rows = T.table(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("question"), nxt.alias("answer"))
+    return rows.select("conv_id", "turn", "question", F.array_join(text.missing_names("question", "answer"), ",").alias("missing"))
+
+
+_BLOCK = "(length(source_file || ':' || char_offset || '+' || char_length) + length(drift_status) + length(text) + 24)"
+
+
+@registered(f"""WITH {_EVIDENCE}, sized AS (SELECT *, {_BLOCK} AS n FROM hit WHERE drift_status <> 'missing' AND text <> ''),
+    run AS (SELECT *, sum(n) OVER w AS used, row_number() OVER w AS nth FROM sized WINDOW w AS (PARTITION BY query_id ORDER BY rank)) SELECT query_id, rank, passage_idx, n::INT AS n_chars FROM run WHERE nth = 1 OR used <= 12000""")
+def context_budget(spark: SparkSession, d: str) -> DataFrame:
+    return context.rendered(_evidence(spark, d)[0]).select("query_id", "rank", "passage_idx", F.length("block").alias("n_chars"))
+
+
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of the benchmark, in the name of the vectors."""
+    return T.asked(spark, d).join(T.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), "query_id", "left").select("query_id", F.coalesce("question", F.lit("")).alias("question"))
+
+
+@registered(f"""WITH {_EVIDENCE}, sized AS (SELECT *, {_BLOCK} AS n FROM hit WHERE drift_status <> 'missing' AND text <> ''),
+    run AS (SELECT *, sum(n) OVER w AS used, row_number() OVER w AS nth FROM sized WINDOW w AS (PARTITION BY query_id ORDER BY rank)),
+    body AS (SELECT query_id, count(*) AS n FROM run WHERE nth = 1 OR used <= 12000 GROUP BY query_id), gate AS (SELECT query_id, {_GATE.replace('CASE mode', "CASE 'augment'")} AS suppressed FROM metric)
+    SELECT query_id, suppressed, CASE WHEN suppressed THEN 0 ELSE coalesce(n, 0) END::BIGINT AS n_passages FROM gate LEFT JOIN body USING (query_id)""")
+def contexts(spark: SparkSession, d: str) -> DataFrame:
+    hits, metrics = _evidence(spark, d)
+    return context.contexts(hits, metrics, _questions(spark, d)).select("query_id", "suppressed", "n_passages")
+
+
+@registered()
+def skill_context(spark: SparkSession, d: str) -> DataFrame:
+    hits, metrics = _evidence(spark, d)
+    return context.question_blocks(hits, metrics, _questions(spark, d), "knowledge").select("query_id", "drifted", F.array_join("missing_names", ",").alias("missing"), "block")
+
+
+@registered(f"""WITH {_V}, {_DOCS}, {_EDIT}, e AS (SELECT unnest(x) AS a, generate_subscripts(x, 1) AS pos FROM v JOIN doc USING (id)), m AS (SELECT pos, avg(a) AS a FROM e GROUP BY pos), mid AS (SELECT list(a / (SELECT sqrt(sum(a * a)) FROM m) ORDER BY pos) AS x FROM m),
+    near AS (SELECT 0 AS query_id, v.id AS passage_idx, {_dot('v.x', 'mid.x')} AS score FROM v JOIN doc USING (id), mid), top5 AS (SELECT *, row_number() OVER (ORDER BY score DESC, passage_idx)::INT AS rank FROM near QUALIFY rank <= 10), {_HITS},
+    run AS (SELECT *, sum(length(text)) OVER w AS used, row_number() OVER w AS nth FROM hit WHERE drift_status <> 'missing' AND text <> '' WINDOW w AS (ORDER BY rank)) SELECT rank, passage_idx, score FROM run WHERE nth = 1 OR used <= 2400""")
+def summary_landscape(spark: SparkSession, d: str) -> DataFrame:
+    rows = T.passages(spark, d)
+    middle = clusters.centroid(rows).select(F.lit(0).cast("long").alias("query_id"), "vector")
+    hits = retrieval.evidence(rows, T.edited_files(spark, d), middle)[0]
+    return context.primer(hits, 600 * context.CHARS_PER_TOKEN).select("rank", "passage_idx", "score")
+
+
+@registered("""WITH c AS (SELECT source AS source_file, count(*)::BIGINT AS n_passages FROM documents GROUP BY source), o AS (SELECT *, row_number() OVER (ORDER BY n_passages DESC, source_file)::INT AS place FROM c),
+    run AS (SELECT *, sum(length('- `' || source_file || '`: ' || n_passages || ' passages')) OVER (ORDER BY place) AS used FROM o) SELECT place, source_file, n_passages FROM run WHERE place = 1 OR used <= 3200""")
+def summary_structure(spark: SparkSession, d: str) -> DataFrame:
+    return context.structure(T.table(spark, d, "documents").select(F.col("source").alias("source_file")))
+
+
+@registered(f"""WITH {_EVIDENCE}, run AS (SELECT *, sum(length(text)) OVER w AS used, row_number() OVER w AS nth FROM hit WHERE drift_status <> 'missing' AND text <> '' WINDOW w AS (PARTITION BY query_id ORDER BY rank))
+    SELECT query_id, rank, passage_idx FROM run WHERE nth = 1 OR used <= greatest(200, 6400 // (SELECT count(*) FROM v))""")
+def summary_evidence(spark: SparkSession, d: str) -> DataFrame:
+    budget = context.evidence_budget(T.asked(spark, d).count())
+    return context.primer(_evidence(spark, d)[0], budget).select("query_id", "rank", "passage_idx")
+
+
+@registered("""WITH l AS (SELECT label AS query_id, vec_id AS variant, embedding::DOUBLE[] AS x FROM embeddings), s AS (SELECT q.query_id, q.variant, d.vec_id AS passage_idx, d.label, d.vec_id % 20 AS o, round(list_dot_product(d.embedding::DOUBLE[], q.x), 6) AS score FROM l q, embeddings d),
+    one AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY variant, label, o ORDER BY score DESC, passage_idx) = 1), top AS (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY score DESC, passage_idx) AS rank FROM one QUALIFY rank <= 5),
+    f AS (SELECT * FROM top QUALIFY row_number() OVER (PARTITION BY query_id, label, o ORDER BY variant, rank) = 1) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY variant, rank)::INT AS place, passage_idx, score FROM f""")
+def fused_search(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector of a label as another wording of one question."""
+    rows = T.by_label(spark, d)
+    hits = blocks.best_of(rows, T.asked(spark, d), 5, True).withColumnRenamed("query_id", "variant")
+    labels = T.table(spark, d, "embeddings").select(F.col("vec_id").alias("variant"), F.col("label").alias("query_id"))
+    hits = hits.join(labels, "variant").join(rows.select("passage_idx", "source_file", "char_offset"), "passage_idx")
+    return retrieval.fused(hits).select("query_id", "place", "passage_idx", "score")
+
+
+@registered("""WITH raw AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'no action here' ELSE 'So: {"action": "search", "query": "' || event_type || ' ' || user_id || '"} done' END AS r FROM events), j AS (SELECT event_id, regexp_extract(r, '(?s)(\\{[^{}]*"action"[^{}]*\\})', 1) AS o FROM raw)
+    SELECT event_id, CASE WHEN o <> '' THEN json_extract_string(o, '$.action') END AS action, CASE WHEN o <> '' THEN json_extract_string(o, '$.query') END AS query FROM j""")
+def refiner_actions(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.when(F.col("event_type") == "click", "no action here").otherwise(F.concat(F.lit('So: {"action": "search", "query": "'), "event_type", F.lit(" "), F.col("user_id").cast("string"), F.lit('"} done')))
+    rows = T.table(spark, d, "events").select("event_id", deep.parsed_action(raw).alias("a"))
+    return rows.select("event_id", F.col("a.action").alias("action"), F.col("a.query").alias("query"))
+
+
+# -- memory ---------------------------------------------------------------------------------------------------------------
+
+_MEMORY = """m AS (SELECT vec_id AS memory_id, embedding::DOUBLE[] AS x, label, 0.5::DOUBLE + label / 10::DOUBLE AS salience, CASE WHEN label < 3 THEN 'working' WHEN label < 7 THEN 'episodic' ELSE 'semantic' END AS tier, greatest(0, epoch(TIMESTAMP '2024-01-31') - 1704067200 - vec_id * 3600)::DOUBLE AS age FROM embeddings)"""
+_EFFECT = "salience * CASE tier WHEN 'working' THEN pow(0.5::DOUBLE, age / 86400) WHEN 'episodic' THEN pow(0.5::DOUBLE, age / 1209600) ELSE 1 END"
+
+
+@registered(f"WITH {_MEMORY}, s AS (SELECT m.memory_id, m.tier, round({_dot('m.x', 'q.x')} * CASE m.tier WHEN 'working' THEN 0.5 WHEN 'episodic' THEN 0.3 ELSE 0.2 END::DOUBLE * m.salience, 6) AS score FROM m, m q WHERE q.memory_id = 0) SELECT row_number() OVER (ORDER BY score DESC, memory_id)::INT AS rank, memory_id, tier, score FROM s QUALIFY rank <= 10")
+def memory_recall(spark: SparkSession, d: str) -> DataFrame:
+    return memory.recall(T.memory(spark, d), list(T.first_vector(spark, d).first().vector))
+
+
+@registered(f"WITH {_MEMORY} SELECT memory_id, tier, age AS age_seconds, round({_EFFECT}, 6) AS effective FROM m")
+def memory_decay(spark: SparkSession, d: str) -> DataFrame:
+    return memory.effective(T.memory(spark, d), T.NOW).select("memory_id", "tier", "age_seconds", F.round("effective", 6).alias("effective"))
+
+
+@registered(f"WITH {_MEMORY}, e AS (SELECT memory_id, tier, {_EFFECT} AS eff FROM m), o AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY eff DESC, memory_id) AS nth FROM e WHERE eff >= 1e-3) SELECT memory_id, tier FROM o WHERE nth <= CASE tier WHEN 'working' THEN 200 WHEN 'episodic' THEN 2000 ELSE 20000 END")
+def memory_gc(spark: SparkSession, d: str) -> DataFrame:
+    return memory.collected(T.memory(spark, d), T.NOW).select("memory_id", "tier")
+
+
+@registered(f"""WITH RECURSIVE {_MEMORY}, v AS (SELECT memory_id AS id, x FROM m WHERE tier = 'episodic'), edge AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id < b.id WHERE {_dot('a.x', 'b.x')} >= {NEAR}), {_REACH.format(p='edge', n='v')},
+    s AS (SELECT cluster_id, count(*) AS n FROM c GROUP BY cluster_id HAVING count(*) >= 3), k AS (SELECT c.id, s.cluster_id, s.n FROM c JOIN s USING (cluster_id))
+    SELECT memory_id, CASE WHEN n IS NULL THEN tier ELSE 'semantic' END AS tier, coalesce(n, 1)::BIGINT AS recurrence_count FROM m LEFT JOIN k ON k.id = memory_id WHERE cluster_id IS NULL OR cluster_id = memory_id""")
+def memory_consolidate(spark: SparkSession, d: str) -> DataFrame:
+    return memory.consolidated(T.memory(spark, d), 3, NEAR).select("memory_id", "tier", "recurrence_count")
+
+
+@registered(f"""WITH {_MEMORY}, e AS (SELECT unnest(x) AS a, generate_subscripts(x, 1) AS pos FROM m WHERE tier <> 'working'), c AS (SELECT pos, avg(a) AS a FROM e GROUP BY pos), mid AS (SELECT list(a / (SELECT sqrt(sum(a * a)) FROM c) ORDER BY pos) AS y FROM c),
+    s AS (SELECT memory_id, tier, label, {_dot('x', 'y')} AS cos, salience FROM m, mid WHERE tier <> 'working'), r AS (SELECT *, round(cos * CASE tier WHEN 'semantic' THEN 1.0 ELSE 0.7 END::DOUBLE * salience, 6) AS score FROM s WHERE cos >= 0.1),
+    o AS (SELECT r.*, row_number() OVER (PARTITION BY tier ORDER BY score DESC, memory_id)::INT AS rank, regexp_replace(coalesce(text, ''), '^{text.SPACE}|{text.SPACE}$', '', 'g') AS t FROM r LEFT JOIN documents ON doc_id = memory_id),
+    l AS (SELECT *, sum(length('- (+0.000, seen 1 times) label_' || label || ': ') + least(length(t), 280)) OVER (PARTITION BY tier ORDER BY rank) AS used FROM o) SELECT tier, rank, memory_id, score FROM l WHERE rank = 1 OR used <= CASE tier WHEN 'semantic' THEN 2400 ELSE 6400 END""")
+def memory_primer(spark: SparkSession, d: str) -> DataFrame:
+    return memory.primer(T.memory(spark, d), 0.1).select("tier", "rank", "memory_id", "score")
+
+
+# -- samples, training data, evaluation -----------------------------------------------------------------------------------
+
+
+@registered("""WITH p AS (SELECT vec_id AS passage_idx, label, sha256('0:' || vec_id) AS draw FROM embeddings), e AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY label ORDER BY draw, passage_idx) <= 3) SELECT passage_idx FROM e ORDER BY draw, passage_idx LIMIT 6000""")
+def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
+    return projection.stratified_sample(T.by_label(spark, d)).select("passage_idx")
+
+
+@registered("SELECT conv_id, turn, text FROM conversations WHERE length(trim(text, ' ')) BETWEEN 10 AND 400 AND NOT contains(lower(substring(trim(text, ' '), 1, 40)), 'passage')")
+def query_filter(spark: SparkSession, d: str) -> DataFrame:
+    return T.table(spark, d, "conversations").where(projection.usable_query("text")).select("conv_id", "turn", "text")
+
+
+_PART = "sum(('0x' || substring(h, {at}, 12))::BIGINT)::VARCHAR"
+
+
+@registered(f"""WITH r AS (SELECT sha256({_FILE} || chr(31) || '0' || chr(31) || {_TEXT}) AS h FROM documents) SELECT sha256(concat_ws(chr(30), count(*)::VARCHAR, {', '.join(_PART.format(at=1 + 12 * k) for k in range(5))})) AS fingerprint, count(*)::BIGINT AS n FROM r""")
+def corpus_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    return projection.corpus_fingerprint(T.whole(T.files(spark, d)))
+
+
+@registered(f"""WITH {_V}, s AS (SELECT q.id AS query_id, d.id AS passage_idx, {_dot('d.x', 'q.x')} AS score FROM v q, v d), near AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_idx) <= 64),
+    o AS (SELECT query_id, passage_idx, row_number() OVER (PARTITION BY query_id ORDER BY sha256('0:' || query_id || ':' || passage_idx), passage_idx) - 1 AS place FROM near WHERE query_id <> passage_idx) SELECT query_id, place::INT AS place, passage_idx FROM o WHERE place < 7""")
+def hard_negatives(spark: SparkSession, d: str) -> DataFrame:
+    return projection.hard_negatives(T.asked(spark, d).withColumn("positive", F.col("query_id")), T.by_label(spark, d))
+
+
+@registered(f"""WITH {_V}, s AS (SELECT q.id AS query_id, d.id AS passage_idx, {_dot('d.x', 'q.x')} AS score, (q.label = d.label)::INT AS gain FROM v q, v d), top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_idx) AS rank FROM s QUALIFY rank <= 10),
+    n AS (SELECT query_id, sum(gain) AS n FROM s GROUP BY query_id), best AS (SELECT query_id, n, (SELECT sum(1 / log2(i + 1)) FROM range(1, least(n, 10)::BIGINT + 1) x(i)) AS ideal FROM n)
+    SELECT query_id, round(sum(gain / log2(rank + 1)) / any_value(ideal), 6) AS ndcg, round(sum(gain) / any_value(n), 6)::DOUBLE AS recall, round(coalesce(1 / min(rank) FILTER (gain = 1), 0), 6)::DOUBLE AS reciprocal_rank FROM top JOIN best USING (query_id) GROUP BY query_id""")
+def ranking_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Passages of a query's label are what it looks for."""
+    ranked = blocks.best_of(T.by_label(spark, d), T.asked(spark, d), 10, False)
+    labels = T.table(spark, d, "embeddings").select("vec_id", "label")
+    wanted = labels.withColumnRenamed("vec_id", "query_id").join(labels.withColumnRenamed("vec_id", "passage_idx"), "label").select("query_id", "passage_idx", F.lit(1).alias("gain"))
+    return evaluation.ranking_metrics(ranked, wanted)
+
+
+_TRIAL = """t AS (SELECT event_id AS trial_id, event_type AS approach, CASE WHEN user_id % 4 = 0 THEN 'distractor' ELSE 'answerable' END AS kind, user_id % 4 + 1 AS tier, CASE floor(value)::BIGINT % 5 WHEN 0 THEN 'correct' WHEN 1 THEN 'partial' WHEN 2 THEN 'wrong' WHEN 3 THEN 'refused' END AS v,
+    CASE floor(value)::BIGINT % 5 WHEN 4 THEN 'correct' WHEN 0 THEN 'correct' WHEN 1 THEN 'refused' END AS v2, value / 1000 AS cost, value AS wall, CASE WHEN event_id % 3 = 0 THEN 'It doesn''t cover ' || props ELSE props END AS answer FROM events)"""
+_MEANS = "round(avg(coalesce(cost, 0)), 6) AS mean_cost_usd, round(avg(coalesce(wall, 0)), 6) AS mean_wall_seconds"
+
+
+def _rate(part: str, whole: str, name: str) -> str:
+    return f"round({part} / greatest({whole}, 1), 6)::DOUBLE AS {name}"
+
+
+@registered(f"""WITH {_TRIAL}, u AS (SELECT *, coalesce(v, 'wrong') AS w FROM t), s AS (SELECT approach, count(*) FILTER (kind = 'answerable') AS n_answerable, count(*) FILTER (kind <> 'answerable') AS n_distractor, {', '.join(f"count(*) FILTER (kind = 'answerable' AND w = '{x}') AS answerable_{x}" for x in evaluation.VERDICTS)},
+    count(*) FILTER (kind <> 'answerable' AND w = 'refused') AS distractor_refused, count(*) FILTER (kind <> 'answerable' AND w <> 'refused') AS distractor_hallucinated, {_MEANS} FROM u GROUP BY approach)
+    SELECT *, {_rate('answerable_correct', 'n_answerable', 'answerable_accuracy')}, {_rate('answerable_wrong', 'n_answerable', 'answerable_hallucination_rate')}, {_rate('distractor_refused', 'n_distractor', 'distractor_refusal_rate')}, {_rate('distractor_hallucinated', 'n_distractor', 'distractor_hallucination_rate')} FROM s""")
+def approach_aggregate(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.by_approach(T.trials(spark, d))
+
+
+@registered(f"""WITH {_TRIAL}, u AS (SELECT *, coalesce(v, 'wrong') AS w1, coalesce(v2, 'wrong') AS w2 FROM t), s AS (SELECT approach, count(*) AS n, {', '.join(f"count(*) FILTER (w{k} = '{x}') AS turn{k}_{x}" for k in (1, 2) for x in evaluation.VERDICTS)}, count(*) FILTER (w1 = 'correct' AND w2 = 'correct') AS both_correct,
+    {', '.join(f"count(*) FILTER (tier = {k}) AS tier{k}_n, count(*) FILTER (tier = {k} AND w1 = 'correct') AS tier{k}_correct" for k in range(1, 5))}, {_MEANS} FROM u GROUP BY approach) SELECT *, {', '.join(_rate(c, 'n', c + '_rate') for c in ('turn1_correct', 'turn2_correct', 'both_correct'))} FROM s""")
+def two_turn_aggregate(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.two_turns(T.trials(spark, d))
+
+
+@registered(f"""WITH {_TRIAL} SELECT trial_id, CASE WHEN kind = 'distractor' THEN CASE WHEN v = 'refused' THEN 'ok_refused' WHEN v IN ('correct', 'partial') THEN 'ok_partial_refusal' ELSE 'distractor_hallucination' END WHEN v = 'correct' THEN 'ok'
+    WHEN v = 'partial' THEN CASE WHEN contains(lower(answer), 'doesn''t cover') THEN 'partial_overrefusal' ELSE 'judge_partial' END WHEN v = 'refused' THEN 'augment_over_refuse' WHEN v = 'wrong' THEN 'hallucination' ELSE 'other' END AS failure FROM t""")
+def failure_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return T.trials(spark, d).select("trial_id", evaluation.failure_kind().alias("failure"))
+
+
+@registered("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
+def percentile_latency(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.percentiles(T.table(spark, d, "events"), "value", ["event_type"])
+
+
+# -- windows (beyond what a passage engine needs) -------------------------------------------------------------------------
+
+
+@registered("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def tumbling_windows(spark: SparkSession, d: str) -> DataFrame:
+    return streams.windowed(T.table(spark, d, "events"))
+
+
+@registered("""WITH g AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE, true)::INT AS fresh FROM events), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM g)
+    SELECT user_id, min(ts) AS start, count(*)::BIGINT AS n FROM s GROUP BY user_id, k""")
+def session_windows(spark: SparkSession, d: str) -> DataFrame:
+    return streams.sessions(T.table(spark, d, "events"))

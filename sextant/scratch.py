@@ -13,7 +13,7 @@ def scratch_dir(spark: SparkSession) -> str:
     executors don't share one, is refused."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="sextant-")
         spark.conf.set("spark.checkpoint.dir", where)
