@@ -16,16 +16,18 @@ ORDERS = (3, 4, 5)
 BITS = 18
 MAX_LABELLED = 4096
 THRESHOLD = 0.5
+LENGTH = 10.0
 
 
 class Grams:
-    """Places of the distinct character n-grams of a text (lower case, each run of white space one blank, a blank at both ends),
-    hashed to ``2 ** BITS``. A scratch table marks each place's last use, so no sort is needed."""
+    """Places of the character n-grams of a text (lower case, each run of white space one blank, a blank at both ends), hashed to
+    ``2 ** BITS``, and how often each occurs. Scratch tables count and mark each place's last use, so no sort is needed."""
 
     def __init__(self) -> None:
         self.last = np.zeros(1 << BITS, np.int64)
+        self.times = np.zeros(1 << BITS, np.int64)
 
-    def of(self, text: str) -> np.ndarray:
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         c = np.frombuffer((" " + " ".join(text.lower().split()) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
         parts, h = [], c
         for n in range(2, max(ORDERS) + 1):
@@ -35,41 +37,50 @@ class Grams:
         g = np.concatenate(parts)
         at = np.arange(len(g))
         self.last[g] = at
-        return g[self.last[g] == at]
+        np.add.at(self.times, g, 1)
+        g = g[self.last[g] == at]
+        n = self.times[g]
+        self.times[g] = 0
+        return g, n
+
+
+def _shares(n: np.ndarray) -> np.ndarray:
+    """Counts at length ``LENGTH``: a long text counts no more than a short one, and what it says often more than what it says once."""
+    return n * (LENGTH / np.sqrt(max(1.0, float((n * n).sum()))))
 
 
 def fit(texts: pa.Array, labels: np.ndarray, steps: int = 80, penalty: float = 1.0) -> dict[str, np.ndarray]:
     """Weights by hashed n-gram and the intercept.
 
     The log-count ratio r of an n-gram compares its smoothed share among toxic and other texts; a logistic regression with
-    both classes of equal weight runs over presence times r, by accelerated gradient steps."""
+    both classes of equal weight runs over shares times r, by accelerated gradient steps."""
     grams, y = Grams(), labels.astype(np.float64)
     if y.min() == y.max():
         return {"weights": np.zeros(1 << BITS, np.float32), "bias": np.array([60.0 if y.max() else -60.0])}
     rows = [grams.of(t) for t in texts.to_pylist()]
-    size = np.array([len(r) for r in rows])
-    places = np.concatenate(rows).astype(np.int64)
-    starts = np.concatenate([[0], np.cumsum(size)])[:-1]
-    toxic = np.repeat(y, size)
-    p = np.bincount(places, weights=toxic, minlength=1 << BITS)
-    q = np.bincount(places, minlength=1 << BITS) - p
-    ratio = np.log((p + 1) / (y.sum() + 2)) - np.log((q + 1) / ((1 - y).sum() + 2))
-    used = np.flatnonzero((p + q >= 3) & (np.abs(ratio) > 0.1))
+    size = np.array([len(g) for g, _ in rows])
+    places = np.concatenate([g for g, _ in rows]).astype(np.int64)
+    value = np.concatenate([_shares(n) for _, n in rows])
+    row = np.repeat(np.arange(len(y)), size)
+    least = value.mean() if len(value) else 1.0
+    total = np.bincount(places, weights=value, minlength=1 << BITS)
+    p = np.bincount(places, weights=y[row] * value, minlength=1 << BITS)
+    ratio = np.log((p + least) / y.sum()) - np.log((np.maximum(total - p, 0) + least) / (1 - y).sum())
+    used = np.flatnonzero((np.bincount(places, minlength=1 << BITS) >= 3) & (np.abs(ratio) > 0.1))
     index = np.full(1 << BITS, -1)
     index[used] = np.arange(len(used))
     col = index[places]
-    row = np.repeat(np.arange(len(y)), size)[col >= 0]
-    col = col[col >= 0]
-    size = np.bincount(row, minlength=len(y))
+    row, value, col = row[col >= 0], value[col >= 0], col[col >= 0]
     r = ratio[used]
+    x = r[col] * value
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
-    scale = np.bincount(row, weights=r[col] ** 2, minlength=len(y))
+    scale = np.bincount(row, weights=x * x, minlength=len(y))
     step = 1.0 / (0.25 * (scale * weight).sum() + penalty / len(y) + 0.25)
     w, bias, pw, pb, t = np.zeros(len(used)), 0.0, np.zeros(len(used)), 0.0, 1.0
     for _ in range(steps):
-        z = np.bincount(row, weights=(w * r)[col], minlength=len(y)) + bias
+        z = np.bincount(row, weights=w[col] * x, minlength=len(y)) + bias
         slope = weight * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y)
-        nw = w - step * (r * np.bincount(col, weights=slope[row], minlength=len(used)) + penalty / len(y) * w)
+        nw = w - step * (np.bincount(col, weights=slope[row] * x, minlength=len(used)) + penalty / len(y) * w)
         nb = bias - step * slope.sum()
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         w, bias, pw, pb, t = nw + (t - 1) / nt * (nw - pw), nb + (t - 1) / nt * (nb - pb), nw, nb, nt
@@ -80,7 +91,12 @@ def fit(texts: pa.Array, labels: np.ndarray, steps: int = 80, penalty: float = 1
 
 def scores(texts: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
     grams = Grams()
-    z = np.array([weights[grams.of(t)].sum(dtype=np.float64) for t in texts]) + bias
+
+    def one(text: str) -> float:
+        g, n = grams.of(text)
+        return float((weights[g] * _shares(n)).sum(dtype=np.float64))
+
+    z = np.array([one(t) for t in texts]) + bias
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
