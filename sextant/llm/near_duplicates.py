@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sextant.llm.smallworld import audited_pairs
 from sextant.llm.words import bigrams, distinct, hash_strings, mix, rows_reduce, simhash, split_words, word_hashes
-from sextant.operators.components import connected_components
+from sextant.operators.components import connected_components, min_labels
 from sextant.scratch import written
 
 RADIUS = 28
@@ -21,7 +21,35 @@ SHARD_ROWS = 24_000
 #: Ids up to which the documents of candidate pairs are picked by a broadcast; beyond it by a shuffled join.
 BROADCAST_IDS = 1_000_000
 
-_SIGNATURE = "doc_id long, c1 long, c2 long, s1 long, s2 long, " + ", ".join(f"r{k} long" for k in range(ROUTES))
+#: Min-hashes of neighbouring words by which routes with too many nodes are split, twice if need be.
+SPLITS = (("q0", "q1"), ("q2", "q3"))
+#: Bytes of a sketch: as many buckets of the neighbouring words' hashes, each with a byte of its least one.
+SKETCH = 128
+#: Spanning forests whose edges are verified, the second and third among what the first leaves unsure.
+FORESTS = 3
+
+_KEYS = [*(f"r{k}" for k in range(ROUTES)), *(q for pair in SPLITS for q in pair)]
+_SIGNATURE = "doc_id long, c1 long, c2 long, s1 long, s2 long, sketch binary, " + ", ".join(f"{c} long" for c in _KEYS)
+
+
+def sketches(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """One-permutation min-hash of each row: uint8 [rows, SKETCH], 0 for a bucket without a hash."""
+    rows = len(bounds) - 1
+    h = mix(grams, 31)
+    shift = np.uint64(64 - SKETCH.bit_length() + 1)
+    none = np.uint64(0xFFFFFFFFFFFFFFFF)
+    least = np.full(rows * SKETCH, none)
+    place = np.repeat(np.arange(rows), np.diff(bounds)) * SKETCH + (h >> shift).astype(np.int64)
+    np.minimum.at(least, place, h)
+    out = (mix(least, 32) % np.uint64(255)).astype(np.uint8) + np.uint8(1)
+    out[least == none] = 0
+    return out.reshape(rows, SKETCH)
+
+
+def estimated(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The share of buckets that agree, of those that either row uses, and the number of these."""
+    used = ((a | b) > 0).sum(1)
+    return ((a == b) & (a > 0)).sum(1) / np.maximum(used, 1), used
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -35,14 +63,18 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = hashes[words]
         code = simhash(words, ends)
         routes = [rows_reduce(np.minimum, mix(words, 21 + k), ends, 0) for k in range(ROUTES)]
+        grams, edges = bigrams(hashes[codes], bounds)
+        sketch = sketches(grams, edges)
+        routes += [rows_reduce(np.minimum, mix(grams, 41 + k), edges, 0) for k in range(2 * len(SPLITS))]
         some = n > 0
-        columns = [batch.column(0).cast(pa.int64()).filter(pa.array(some)), *(pa.array(x[some].view(np.int64)) for x in (*content, np.ascontiguousarray(code[:, 0]), np.ascontiguousarray(code[:, 1]), *routes))]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "c1", "c2", "s1", "s2", *(f"r{k}" for k in range(ROUTES))])
+        longs = lambda *xs: [pa.array(np.ascontiguousarray(x)[some].view(np.int64)) for x in xs]
+        columns = [batch.column(0).cast(pa.int64()).filter(pa.array(some)), *longs(*content, code[:, 0], code[:, 1]), pa.array([x.tobytes() for x in sketch[some]], pa.binary()), *longs(*routes)]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "c1", "c2", "s1", "s2", "sketch", *_KEYS])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
     """For every document with an id and a word: its content hash over the word sequence (letter case and
-    white space aside), the 128-bit SimHash of its word set, and ``ROUTES`` min-hashes of that set."""
+    white space aside), the 128-bit SimHash of its word set, a sketch and min-hashes of its neighbouring words, and ``ROUTES`` min-hashes of the word set."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     return rows.mapInArrow(_signatures, _SIGNATURE)
 
@@ -71,35 +103,70 @@ def spanning(a: np.ndarray, b: np.ndarray, weight: np.ndarray, n: int) -> np.nda
             x, y = label[a[pick]], label[b[pick]]
 
 
-def _search_shard(radius: int, beam: int):
+def likely(a: np.ndarray, b: np.ndarray, sketch: np.ndarray, n: int, similarity: float) -> np.ndarray:
+    """Places of the edges worth verifying so that all copies join, at most ``FORESTS`` times as many as nodes.
+
+    Edges whose sketches are four standard deviations below ``similarity`` are out. Of the others the spanning forest of most alike edges
+    is taken, so that no edge to something else stands in for one between copies. Where it joins what the sketches can't tell for
+    sure, a failed edge may hide another, so further forests are taken of the edges between what is surely joined."""
+    est, used = (np.concatenate(x) for x in zip(*(estimated(sketch[a[i : i + 65536]], sketch[b[i : i + 65536]]) for i in range(0, max(1, len(a)), 65536))))
+    margin = 4 * np.sqrt(similarity * (1 - similarity) / np.maximum(used, 1))
+    left = np.flatnonzero(est >= similarity - margin)
+    out = []
+    for _ in range(FORESTS):
+        pick = left[spanning(a[left], b[left], np.round((1 - est[left]) * 1000).astype(np.int64), n)]
+        out.append(pick)
+        sure = np.concatenate(out)
+        sure = sure[est[sure] >= similarity + margin[sure]]
+        label = min_labels(a[sure], b[sure], n)
+        left = np.setdiff1d(left[label[a[left]] != label[b[left]]], pick)
+        if not len(left):
+            break
+    return np.concatenate(out)
+
+
+def _search_shard(radius: int, beam: int, similarity: float):
     def search(table: pa.Table) -> pa.Table:
-        ids = table["rep"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        codes = np.stack([table[c].to_numpy()[order] for c in ("s1", "s2")], axis=1).view(np.uint64)
-        kinds, place = np.unique(codes, axis=0, return_inverse=True)
-        place = place.ravel()
-        first = np.full(len(kinds), len(ids))
-        np.minimum.at(first, place, np.arange(len(ids)))
-        a, b, d, recall = audited_pairs(kinds, radius, beam)
-        same = np.flatnonzero(first[place] != np.arange(len(ids)))  # equal codes: linked to the first of them
-        a, b, d = np.concatenate([first[a], first[place[same]]]), np.concatenate([first[b], same]), np.concatenate([d, np.zeros(len(same), np.int64)])
-        keep = spanning(a, b, d, len(ids))
-        return pa.table({"a": pa.array(ids[a[keep]]), "b": pa.array(ids[b[keep]]), "distance": pa.array(d[keep].astype(np.int32)), "recall": pa.array(np.full(len(keep), recall))})
+        ids, first = np.unique(table["rep"].to_numpy(), return_index=True)
+        codes = np.stack([table[c].to_numpy()[first] for c in ("s1", "s2")], axis=1).view(np.uint64)
+        sketch = np.frombuffer(b"".join(table["sketch"].take(pa.array(first)).to_pylist()), np.uint8).reshape(-1, SKETCH)
+        _, first, place = np.unique(np.concatenate([codes, sketch.view(np.uint64)], axis=1), axis=0, return_index=True, return_inverse=True)
+        first = np.sort(first)  # in order of the least id with this code and sketch
+        kind = np.empty(len(ids), np.int64)
+        order = np.argsort(place.ravel(), kind="stable")
+        heads = np.concatenate([[True], np.diff(place.ravel()[order]) > 0])
+        kind[order] = order[np.maximum.accumulate(np.where(heads, np.arange(len(order)), 0))]
+        a, b, _, recall = audited_pairs(codes[first], radius, beam)
+        a, b = first[a], first[b]
+        if len(a):
+            keep = likely(a, b, sketch, len(ids), similarity)
+            a, b = a[keep], b[keep]
+        same = np.flatnonzero(kind != np.arange(len(ids)))  # alike in code and sketch: linked to the first of them
+        a, b = np.concatenate([a, kind[same]]), np.concatenate([b, same])
+        return pa.table({"a": pa.array(ids[a]), "b": pa.array(ids[b]), "recall": pa.array(np.full(len(a), recall))})
 
     return search
 
 
-def candidate_edges(nodes: DataFrame, radius: int = RADIUS, beam: int = 12, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """``(a, b, distance, recall)``: the edges of each shard's least spanning forest among its pairs within ``radius``.
+def candidate_edges(nodes: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, beam: int = 12, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """``(a, b, recall)``: of each shard's pairs within ``radius`` those that ``likely`` picks, and the shard's audited recall.
 
-    A node enters one shard by each of its min-hashes, which near copies share with a probability of their Jaccard
-    similarity, and queries every other node there."""
-    count = nodes.count()
-    shards = max(1, -(-count // shard_rows))
-    place = F.posexplode(F.array(*(F.col(f"r{k}") for k in range(ROUTES)))).alias("k", "route")
-    rows = nodes.select("rep", "s1", "s2", place).select("rep", "s1", "s2", (F.col("k") * shards + F.pmod("route", F.lit(shards))).alias("shard"))
-    return rows.groupBy("shard").applyInArrow(_search_shard(radius, beam), "a long, b long, distance int, recall double")
+    A node enters a shard by each of its min-hashes, which near copies share with a probability of their Jaccard
+    similarity, and queries every other node there. A min-hash that more than ``shard_rows`` nodes have, as a common word may
+    be, is no shard: its nodes go on by two min-hashes of their neighbouring words each."""
+    routes = F.array(*(F.xxhash64(F.lit(k), f"r{k}") for k in range(ROUTES)))
+    rows = nodes.select("rep", "s1", "s2", "sketch", *_KEYS[ROUTES:], F.explode(routes).alias("key"))
+    for split in SPLITS:
+        hot = written(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > shard_rows).select("key", F.lit(True).alias("hot")), "hot")
+        n = hot.count()
+        if not n:
+            break
+        rows = rows.join(F.broadcast(hot) if n <= BROADCAST_IDS else hot, "key", "left")
+        keys = F.when(F.col("hot"), F.array(*(F.xxhash64("key", F.lit(q), q) for q in split))).otherwise(F.array("key"))
+        rows = rows.withColumn("key", F.explode(keys)).drop("hot")
+    shards = max(1, -(-rows.count() // shard_rows))
+    rows = rows.select("rep", "s1", "s2", "sketch", F.pmod("key", F.lit(shards)).alias("shard"))
+    return rows.groupBy("shard").applyInArrow(_search_shard(radius, beam, similarity), "a long, b long, recall double")
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,9 +211,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, similarity: float = S
     are not read. An empty table gives no rows."""
     signed = written(signatures(docs), "signatures")
     parts = ["c1", "c2"]
-    nodes = written(signed.groupBy(*parts).agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("s1", "s2", *(f"r{k}" for k in range(ROUTES))))), "nodes")
+    nodes = written(signed.groupBy(*parts).agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("s1", "s2", "sketch", *_KEYS))), "nodes")
     copies = signed.select("doc_id", *parts).join(nodes.select("rep", *parts), parts).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    found = written(candidate_edges(nodes, radius, beam, shard_rows).select("a", "b").where("a <> b").distinct(), "candidates")
+    found = written(candidate_edges(nodes, radius, similarity, beam, shard_rows).select("a", "b").where("a <> b").distinct(), "candidates")
     edges = verified_edges(docs, found, similarity).select("a", "b").union(copies)
     return connected_components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"), (F.col("node") == F.col("component")).alias("keep"))
 
