@@ -57,7 +57,6 @@ def with_copies(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with each row as often as its ``copies``."""
-    columns = [c for c in docs.columns if c != "copies"]
+    """``docs`` with each row as often as its ``copies``. See ``with_copies``; the column itself goes."""
     rows = with_copies(docs, **options).where("copies > 0")
-    return rows.select(*columns, F.explode(F.sequence(F.lit(1), "copies")).alias("mix_copy")).select(*columns)
+    return rows.withColumn("copies", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies")
