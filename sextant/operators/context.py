@@ -86,6 +86,7 @@ def question_blocks(hits: DataFrame, metrics: DataFrame, questions: DataFrame, m
     head = F.format_string(f"<!-- question %d, mode={mode} top1_score=%.3f gap=%.3f source_diversity=%.2f drift_fraction=%.2f missing=%s -->\n## %s\n\n", "query_id", "top1_score", "top1_top2_gap", "source_diversity", "drift_fraction", F.when(F.size("missing_names") > 0, F.array_join("missing_names", ",")).otherwise("-"), F.coalesce("question", F.lit("")))
     block = F.concat(head, F.coalesce(note, F.concat(refusal("missing_names"), F.col("body"))))
     rows = rows.select("query_id", (F.col("drift_fraction") > 0).alias("drifted"), "missing_names", block.alias("block"))
+    rows = rows.orderBy("query_id").limit(budget_chars // 100 + 1)  # no block is shorter than its header, over a hundred characters
     return within_budget(rows, F.length("block"), budget_chars, [], ["query_id"])
 
 

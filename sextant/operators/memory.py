@@ -73,13 +73,15 @@ def effective(memory: DataFrame, now: str) -> DataFrame:
 
 
 def collected(memory: DataFrame, now: str, floor: float = FLOOR, caps: dict[str, int] | None = None) -> DataFrame:
-    """``memory`` without entries faded below ``floor``, and of each tier only the strongest up to its cap."""
-    cap = _by_tier(caps or {t: p[1] for t, p in POLICIES.items()}, 0, "int")
-    order = Window.partitionBy("tier").orderBy(F.desc("effective"), "memory_id")
-    rows = effective(memory, now).where(F.col("effective") >= floor).withColumn("at_", F.row_number().over(order))
-    # a bound that doesn't depend on the row lets every task drop all but so many before the shuffle
-    widest = max((caps or {t: p[1] for t, p in POLICIES.items()}).values())
-    return rows.where(F.col("at_") <= widest).where(F.col("at_") <= cap).select(*memory.columns)
+    """``memory`` without entries faded below ``floor``, and of each tier only the strongest up to its cap.
+
+    Each task keeps its strongest of a tier, so no tier is sorted as a whole in one. ``memory_id`` names one entry."""
+    rows = effective(memory, now).where(F.col("effective") >= floor).select("memory_id", "tier", "effective")
+    kept = None
+    for tier, most in (caps or {t: p[1] for t, p in POLICIES.items()}).items():
+        top = rows.where(F.col("tier") == tier).orderBy(F.desc("effective"), "memory_id").limit(most).select("memory_id")
+        kept = top if kept is None else kept.unionByName(top)
+    return memory.join(kept, "memory_id", "left_semi")
 
 
 def consolidated(memory: DataFrame, recurrence: int = 3, threshold: float = 0.92, session: str | None = None) -> DataFrame:

@@ -54,13 +54,18 @@ def told_once(memories: DataFrame, within: str = "1 hour") -> DataFrame:
     return rows.dropDuplicatesWithinWatermark(["text_hash"])
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """A stream's events with a watermark, which wants times with a zone."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def windowed(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """``(start, event_type, n, total)`` per tumbling window; as a stream, events later than ``late`` are left out."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = _timed(events, late)
     return rows.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """``(user_id, start, n)`` per run of a user's events with gaps below ``gap``."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = _timed(events, late)
     return rows.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), "n")
