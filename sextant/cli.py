@@ -319,6 +319,8 @@ def convert_model(spark, a) -> int:
 
 def deep_search(spark, a) -> int:
     km, encoder = _load(spark, a.model), encoder_of(a.encoder)
+    if not a.client:
+        raise Failed(2, "--client names the language model: package.module:function(instructions, prompt) -> (text, tokens in, tokens out)")
     module, _, name = a.client.partition(":")
     got = deep.deep_search(spark, a.question, lambda q: _hits(spark, km, encoder, [q], a.top_k, a.source_root)[0].orderBy("rank"), getattr(importlib.import_module(module), name), a.max_hops, a.strict_names)
     print(json.dumps({"answer": got.answer, "hops": [vars(h) for h in got.hops], "missing": got.missing, "cost_usd": got.cost_usd}) if a.format == "json" else got.answer)
@@ -365,103 +367,62 @@ def memory_command(spark, a) -> int:
     return 0
 
 
+def _options(p: argparse.ArgumentParser, *needed: str, **others) -> argparse.ArgumentParser:
+    """Places and flags by their defaults: False is a switch, a list may repeat, a tuple holds the choices with the default first."""
+    for name in needed:
+        p.add_argument(name)
+    for name, default in others.items():
+        flag = ["--" + name.replace("_", "-")]
+        if name == "output":
+            flag.append("-o")
+        if default is False:
+            kind = {"action": "store_true"}
+        elif isinstance(default, list):
+            kind = {"action": "append"}
+        elif isinstance(default, tuple):
+            kind = {"choices": default, "default": default[0]}
+        else:
+            kind = {"default": default} | ({} if default is None else {"type": type(default)})
+        p.add_argument(*flag, **kind)
+    return p
+
+
 def parser() -> argparse.ArgumentParser:
-    top = argparse.ArgumentParser(prog="sextant")
-    top.add_argument("--encoder", default="hashing:64", help=encoder_of.__doc__)
+    top = _options(argparse.ArgumentParser(prog="sextant"), encoder="hashing:64")
     verbs = top.add_subparsers(dest="verb", required=True)
 
-    def verb(name: str, run, *, km: bool = True, root: bool = True) -> argparse.ArgumentParser:
-        p = verbs.add_parser(name)
+    def verb(name: str, run, *needed: str, **others) -> argparse.ArgumentParser:
+        p = _options(verbs.add_parser(name), *needed, **others)
         p.set_defaults(run=run)
-        if km:
-            p.add_argument("model")
-        if root:
-            p.add_argument("--source-root")
         return p
 
-    def grounded(p: argparse.ArgumentParser, k: int) -> None:
-        p.add_argument("--top-k", type=int, default=k)
-        p.add_argument("--mode", choices=list(context.GATES), default="augment")
-        p.add_argument("--token-budget", type=int, default=context.TOKEN_BUDGET)
-        p.add_argument("--strict-names", action="store_true")
-
-    p = verb("build", build, km=False)
+    root = {"source_root": None}
+    modes = tuple(context.GATES)
+    grounded = {"mode": modes, "token_budget": context.TOKEN_BUDGET, "strict_names": False}
+    where = tuple(sorted(model.MODES, key=lambda m: m != "local"))
+    p = verb("build", build, store_mode=where, remote_url_base=None, kind=("corpus", "intent"), min_chars=chunks.LEAST, max_chars=chunks.MOST, ext=[], **root)
     p.add_argument("sources", nargs="+")
     p.add_argument("-o", "--output", required=True)
-    p.add_argument("--store-mode", choices=model.MODES, default="local")
-    p.add_argument("--remote-url-base")
-    p.add_argument("--kind", choices=("corpus", "intent"), default="corpus")
-    p.add_argument("--min-chars", type=int, default=chunks.LEAST)
-    p.add_argument("--max-chars", type=int, default=chunks.MOST)
-    p.add_argument("--ext", action="append")
-    p = verb("init-project", init_project, km=False, root=False)
-    p.add_argument("-o", "--output")
-    p.add_argument("--source", action="append")
-    p.add_argument("--primer", default="primer.md")
-    p.add_argument("--no-primer", action="store_true")
-    p = verb("search", search)
-    p.add_argument("query")
-    grounded(p, 10)
-    p.add_argument("--format", choices=("text", "json", "context"), default="text")
-    p.add_argument("--verified-only", action="store_true")
-    p = verb("skill-context", skill_context)
-    p.add_argument("--query", action="append", required=True)
-    grounded(p, 5)
-    p.add_argument("--strict", action="store_true")
-    verb("profile", profile).add_argument("--no-drift", action="store_true")
-    p = verb("compare", compare_models, km=False, root=False)
-    p.add_argument("a")
-    p.add_argument("b")
-    p.add_argument("--sample", type=int, default=512)
-    p = verb("summary", summary)
-    p.add_argument("-o", "--output")
-    p.add_argument("--query", action="append")
-    verb("install-encoder", install_encoder, km=False, root=False)
-    for name, run in (("refresh", refresh), ("sync", sync)):
-        p = verb(name, run)
-        p.add_argument("--dry-run", action="store_true")
-        p.add_argument("--discard-optimised", action="store_true")
-        if name == "sync":
-            p.add_argument("--catalog")
-            p.add_argument("--allow-unavailable", action="store_true")
-    verb("freshness", freshness)
-    p = verb("optimise", optimise)
-    p.add_argument("--queries")
-    p.add_argument("--estimate", action="store_true")
-    p.add_argument("--least-queries", type=int, default=128)
-    p = verb("convert", convert_model)
-    p.add_argument("--mode", choices=model.MODES, required=True)
-    p.add_argument("--remote-url-base")
-    p.add_argument("-o", "--output")
-    p = verb("deep-search", deep_search)
-    p.add_argument("question")
-    p.add_argument("--client", required=True, help="package.module:function(instructions, prompt) -> (text, tokens in, tokens out)")
-    p.add_argument("--max-hops", type=int, default=4)
-    p.add_argument("--top-k", type=int, default=5)
-    p.add_argument("--format", choices=("text", "json"), default="text")
-    p.add_argument("--strict-names", action="store_true")
-    p = verb("memory", memory_command, km=False, root=False)
-    p.add_argument("--memory-root", default="./memory")
-    what = p.add_subparsers(dest="what", required=True)
-    p = what.add_parser("add")
-    p.add_argument("text")
-    p.add_argument("--tier", choices=memory.TIERS, default="working")
-    p.add_argument("--salience", type=float, default=1.0)
-    p.add_argument("--source-id", default="")
-    p.add_argument("--session")
-    p = what.add_parser("recall")
-    p.add_argument("query")
-    p.add_argument("--top-k", type=int, default=10)
-    p.add_argument("--tier-weights")
-    p.add_argument("--format", choices=("text", "json"), default="text")
-    p = what.add_parser("consolidate")
-    p.add_argument("--recurrence-threshold", type=int, default=3)
-    p.add_argument("--dup-threshold", type=float, default=0.92)
-    p.add_argument("--session")
-    p = what.add_parser("primer")
-    p.add_argument("-o", "--output")
-    p.add_argument("--novelty", type=float, default=0.3)
-    what.add_parser("gc").add_argument("--tier", action="append", choices=memory.TIERS)
+    verb("init-project", init_project, output=None, source=[], primer="primer.md", no_primer=False)
+    verb("search", search, "model", "query", top_k=10, format=("text", "json", "context"), verified_only=False, **grounded, **root)
+    verb("skill-context", skill_context, "model", top_k=5, strict=False, **grounded, **root).add_argument("--query", action="append", required=True)
+    verb("profile", profile, "model", no_drift=False, **root)
+    verb("compare", compare_models, "a", "b", sample=512)
+    verb("summary", summary, "model", output=None, query=[], **root)
+    verb("install-encoder", install_encoder)
+    upkeep = {"dry_run": False, "discard_optimised": False}
+    verb("refresh", refresh, "model", **upkeep, **root)
+    verb("sync", sync, "model", catalog=None, allow_unavailable=False, **upkeep)
+    verb("freshness", freshness, "model")
+    verb("optimise", optimise, "model", queries=None, estimate=False, least_queries=128)
+    verb("convert", convert_model, "model", mode=where, remote_url_base=None, output=None, **root)
+    verb("deep-search", deep_search, "model", "question", client=None, max_hops=4, top_k=5, format=("text", "json"), strict_names=False, **root)
+    what = verb("memory", memory_command, memory_root="./memory").add_subparsers(dest="what", required=True)
+    _options(what.add_parser("add"), "text", tier=memory.TIERS, salience=1.0, source_id="", session=None)
+    _options(what.add_parser("recall"), "query", top_k=10, tier_weights=None, format=("text", "json"))
+    _options(what.add_parser("consolidate"), recurrence_threshold=3, dup_threshold=0.92, session=None)
+    _options(what.add_parser("primer"), output=None, novelty=0.3)
+    _options(what.add_parser("gc"), tier=[])
     return top
 
 

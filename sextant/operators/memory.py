@@ -11,7 +11,7 @@ from sextant.operators.clusters import centroid, clusters
 from sextant.operators.context import CHARS_PER_TOKEN, within_budget
 
 TIERS = ("working", "episodic", "semantic")
-WEIGHTS = {"working": 0.5, "episodic": 0.3, "semantic": 0.2}
+WEIGHTS = dict(zip(TIERS, (0.5, 0.3, 0.2)))
 OTHER_WEIGHT = 0.1
 #: Half-life in seconds (None: no decay) and most entries of each tier.
 POLICIES = {"working": (86_400.0, 200), "episodic": (14 * 86_400.0, 2_000), "semantic": (None, 20_000)}

@@ -22,18 +22,27 @@ def small(df: DataFrame, count: int, most: int = BROADCAST_HITS) -> DataFrame:
 def drift_status(text: Column | str, char_offset: Column | str, char_length: Column | str, known: Column | str) -> Column:
     """Whether the slice of the current text still has the known hash; ``missing`` without a text."""
     text = F.col(text) if isinstance(text, str) else text
-    same = content_hash(text_slice(text, char_offset, char_length)) == (F.col(known) if isinstance(known, str) else known)
+    known = F.col(known) if isinstance(known, str) else known
+    same = content_hash(text_slice(text, char_offset, char_length)) == known
     return F.when(text.isNull(), "missing").when(same, "verified").otherwise("drifted")
 
 
 def verified(passages: DataFrame, sources: DataFrame) -> DataFrame:
-    """``passages`` with ``drift_status`` and ``text`` (empty unless verified). ``sources`` has one row per ``source_file``."""
+    """``passages`` with ``drift_status`` and ``text`` (empty unless verified). ``sources`` has one row per ``source_file``.
+
+    The passages of a file, without its text, are gathered first: so each text is joined once, not once for each of its passages."""
     now = sources.select(F.col("source_file").alias("now_file"), F.col("text").alias("now_text"))
     columns = [c for c in passages.columns if c not in ("drift_status", "text")]
-    joined = passages.select(*columns).join(now, passages["source_file"] == F.col("now_file"), "left")
-    status = drift_status("now_text", "char_offset", "char_length", "content_hash")
-    text = F.when(F.col("drift_status") == "verified", text_slice("now_text", "char_offset", "char_length")).otherwise("")
-    return joined.withColumn("drift_status", status).withColumn("text", text).select(*columns, "drift_status", "text")
+    gathered = passages.groupBy("source_file").agg(F.collect_list(F.struct(*(c for c in columns if c != "source_file"))).alias("own_"))
+    joined = gathered.join(now, gathered["source_file"] == F.col("now_file"), "left")
+
+    def check(p: Column) -> Column:
+        state = drift_status("now_text", p["char_offset"], p["char_length"], p["content_hash"])
+        cut = F.when(state == "verified", text_slice(F.col("now_text"), p["char_offset"], p["char_length"])).otherwise("")
+        return F.struct(*(p[c].alias(c) for c in columns if c != "source_file"), state.alias("drift_status"), cut.alias("text"))
+
+    rows = joined.select("source_file", F.explode(F.transform("own_", check)).alias("p_"))
+    return rows.select(*("source_file" if c == "source_file" else F.col("p_")[c].alias(c) for c in columns), F.col("p_.drift_status"), F.col("p_.text"))
 
 
 def search(passages: DataFrame, queries: DataFrame, k: int = 10, dedup: bool = True, vector: str = "vector", hits_at_most: int | None = None) -> DataFrame:

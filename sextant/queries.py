@@ -54,7 +54,7 @@ _METRICS = """metric AS (SELECT query_id, count(*)::BIGINT AS n_hits, max(score)
 _EVIDENCE = f"{_V}, {_DOCS}, {_EDIT}, {_TOP5}, {_HITS}, {_METRICS}"
 
 
-# -- search ---------------------------------------------------------------------------------------------------------------
+# Search.
 
 
 @registered(f"WITH {_V} SELECT 0::BIGINT AS query_id, row_number() OVER (ORDER BY score DESC, passage_idx)::INT AS rank, passage_idx, score FROM (SELECT d.id AS passage_idx, {_dot('d.x', 'q.x')} AS score FROM v d, v q WHERE q.id = 0) QUALIFY rank <= 10")
@@ -96,7 +96,7 @@ def coverage_sampled(spark: SparkSession, d: str) -> DataFrame:
     return compare.mean_coverage(T.vectors(spark, d), T.other_vectors(spark, d))
 
 
-# -- vectors --------------------------------------------------------------------------------------------------------------
+# Vectors.
 
 
 @registered(f"""WITH {_V}, {_W}, e AS (SELECT v.id, unnest(v.x) AS a, unnest(w.x) AS b, generate_subscripts(v.x, 1)::INT - 1 AS pos FROM v JOIN w USING (id))
@@ -132,7 +132,7 @@ def prefix_band(spark: SparkSession, d: str) -> DataFrame:
     return T.vectors(spark, d).select("id", F.posexplode(vectors.prefix("vector", 16)).alias("pos", "value")).select("id", "pos", F.round("value", 6).alias("value"))
 
 
-# -- one corpus -----------------------------------------------------------------------------------------------------------
+# One corpus.
 
 
 @registered(f"WITH {_V}, {_PAIRS} SELECT a, b, score FROM p WHERE score >= {ALIKE}")
@@ -208,7 +208,7 @@ def mode_gate(spark: SparkSession, d: str) -> DataFrame:
     return _evidence(spark, d)[1].crossJoin(F.broadcast(modes)).select("query_id", "mode", context.suppressed("mode").alias("suppressed"))
 
 
-# -- several corpora ------------------------------------------------------------------------------------------------------
+# Several corpora.
 
 
 @registered(f"""WITH {_V}, {_W}, ve AS (SELECT unnest(x) AS a, generate_subscripts(x, 1) AS pos FROM v), we AS (SELECT unnest(x) AS a, generate_subscripts(x, 1) AS pos FROM w),
@@ -285,7 +285,7 @@ def audit_against(spark: SparkSession, d: str) -> DataFrame:
     return compare.audit(T.vectors(spark, d), T.texts(spark, d), T.asked(spark, d), BARELY, 10, NEAR)[1]
 
 
-# -- texts and upkeep -----------------------------------------------------------------------------------------------------
+# Texts and upkeep.
 
 
 @registered()
@@ -343,7 +343,7 @@ def compose_manifest(spark: SparkSession, d: str) -> DataFrame:
     return remote.compose_manifest(T.table(spark, d, "pages").select(F.col("url").alias("source_file"), F.col("html").alias("text")), T.URL_BASE)
 
 
-# -- names and context ----------------------------------------------------------------------------------------------------
+# Names and context.
 
 _STOPS = "[" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "]"
 
@@ -438,7 +438,7 @@ def refiner_actions(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", F.col("a.action").alias("action"), F.col("a.query").alias("query"))
 
 
-# -- memory ---------------------------------------------------------------------------------------------------------------
+# Memory.
 
 _MEMORY = """m AS (SELECT vec_id AS memory_id, embedding::DOUBLE[] AS x, label, 0.5::DOUBLE + label / 10::DOUBLE AS salience, CASE WHEN label < 3 THEN 'working' WHEN label < 7 THEN 'episodic' ELSE 'semantic' END AS tier, greatest(0, epoch(TIMESTAMP '2024-01-31') - 1704067200 - vec_id * 3600)::DOUBLE AS age FROM embeddings)"""
 _EFFECT = "salience * CASE tier WHEN 'working' THEN pow(0.5::DOUBLE, age / 86400) WHEN 'episodic' THEN pow(0.5::DOUBLE, age / 1209600) ELSE 1 END"
@@ -474,7 +474,7 @@ def memory_primer(spark: SparkSession, d: str) -> DataFrame:
     return memory.primer(T.memory(spark, d), 0.1).select("tier", "rank", "memory_id", "score")
 
 
-# -- samples, training data, evaluation -----------------------------------------------------------------------------------
+# Samples, training data, evaluation.
 
 
 @registered("""WITH p AS (SELECT vec_id AS passage_idx, label, sha256('0:' || vec_id) AS draw FROM embeddings), e AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY label ORDER BY draw, passage_idx) <= 3) SELECT passage_idx FROM e ORDER BY draw, passage_idx LIMIT 6000""")
@@ -545,7 +545,7 @@ def percentile_latency(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.percentiles(T.table(spark, d, "events"), "value", ["event_type"])
 
 
-# -- windows (beyond what a passage engine needs) -------------------------------------------------------------------------
+# Windows (beyond what a passage engine needs).
 
 
 @registered("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sextant.functions.text import lines_normalized
 
 EXTENSIONS = ("md", "rst", "txt", "py", "js", "ts", "go", "rs", "java", "c", "h", "cpp", "html", "json", "yaml", "yml", "toml", "ipynb", "sql", "sh")
-PROJECT_DIRS, PROJECT_FILES = ("docs", "src", "lib", "notebooks", "examples"), ("md", "rst", "txt")
+PROJECT_DIRS, PROJECT_FILES = "docs src lib notebooks examples".split(), EXTENSIONS[:3]
 
 
 def common_root(paths: list[str]) -> str:
