@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from sextant.functions import chunks
 from sextant.operators import ann, clusters, compare, context, delta, memory, projection, retrieval
-from sextant.plans import deep
+from sextant.plans import deep, synthesis
 from sextant.scratch import written
 from sextant.sources import convert, encoders, files, model, remote, store
 
@@ -49,6 +49,13 @@ def _load(spark: SparkSession, path: str) -> model.KnowledgeModel:
         raise Failed(1, f"{path}: {e}") from e
 
 
+def _client(spec: str | None) -> deep.Model:
+    if not spec:
+        raise Failed(2, "--client names the language model: package.module:function(instructions, prompt) -> (text, tokens in, tokens out)")
+    module, _, name = spec.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
 def _say(df: DataFrame, form: str = "json") -> None:
     for row in df.toLocalIterator():
         print(json.dumps(row.asDict(True), default=str, ensure_ascii=False) if form == "json" else "\t".join(str(x) for x in row))
@@ -270,13 +277,19 @@ def freshness(spark, a) -> int:
 
 
 def optimise(spark, a) -> int:
-    """Queries come from a table ``(query, passage_idx)``, as a language model would write them for ``stratified_sample``."""
+    """Queries are written by the caller's language model, or come from JSON lines of ``query`` and ``passage_idx``."""
     km = _load(spark, a.model)
     if a.estimate:
         n = projection.stratified_sample(km.passages.select("passage_idx", "source_file")).count()
         print(json.dumps({"passages": n, "usd": projection.estimated_cost(n), "seconds": projection.estimated_seconds(n, n)}))
         return 0
-    rows = spark.read.schema("query string, passage_idx long").json(a.queries)
+    if a.client:
+        texts = retrieval.verified_only(retrieval.verified(km.passages.select(*retrieval.CITATION), store.open_sources(km, a.source_root)))
+        rows = synthesis.synthesised(texts, _client(a.client), f"{a.model}/queries")
+    elif a.queries:
+        rows = spark.read.schema("query string, passage_idx long").json(a.queries)
+    else:
+        raise Failed(2, "queries come from --client or --queries")
     kept = rows.where(projection.usable_query("query")).join(km.passages.select("passage_idx", "vector"), "passage_idx").orderBy("passage_idx", "query").limit(projection.SAMPLE).collect()
     if len(kept) < a.least_queries:
         raise Failed(1, f"{len(kept)} usable queries; {a.least_queries} are needed")
@@ -319,10 +332,7 @@ def convert_model(spark, a) -> int:
 
 def deep_search(spark, a) -> int:
     km, encoder = _load(spark, a.model), encoder_of(a.encoder)
-    if not a.client:
-        raise Failed(2, "--client names the language model: package.module:function(instructions, prompt) -> (text, tokens in, tokens out)")
-    module, _, name = a.client.partition(":")
-    got = deep.deep_search(spark, a.question, lambda q: _hits(spark, km, encoder, [q], a.top_k, a.source_root)[0].orderBy("rank"), getattr(importlib.import_module(module), name), a.max_hops, a.strict_names)
+    got = deep.deep_search(spark, a.question, lambda q: _hits(spark, km, encoder, [q], a.top_k, a.source_root)[0].orderBy("rank"), _client(a.client), a.max_hops, a.strict_names)
     print(json.dumps({"answer": got.answer, "hops": [vars(h) for h in got.hops], "missing": got.missing, "cost_usd": got.cost_usd}) if a.format == "json" else got.answer)
     return 3 if got.aborted else 2 if any(h.kind == "search_failed" for h in got.hops) else 0
 
@@ -414,7 +424,7 @@ def parser() -> argparse.ArgumentParser:
     verb("refresh", refresh, "model", **upkeep, **root)
     verb("sync", sync, "model", catalog=None, allow_unavailable=False, **upkeep)
     verb("freshness", freshness, "model")
-    verb("optimise", optimise, "model", queries=None, estimate=False, least_queries=128)
+    verb("optimise", optimise, "model", queries=None, client=None, **root, estimate=False, least_queries=128)
     verb("convert", convert_model, "model", mode=where, remote_url_base=None, output=None, **root)
     verb("deep-search", deep_search, "model", "question", client=None, max_hops=4, top_k=5, format=("text", "json"), strict_names=False, **root)
     what = verb("memory", memory_command, memory_root="./memory").add_subparsers(dest="what", required=True)

@@ -18,6 +18,10 @@ def scripted(system, prompt):
     return ('{"action": "answer", "answer": "alpha"}' if "Evidence" in prompt else "alpha letter"), 10, 5
 
 
+def writer(system, prompt):
+    return "what is the first letter of all\nwhich of the letters comes first\nwho writes the lists of letters\n", 10, 5
+
+
 def test_models_from_the_command_line(run, tmp_path, monkeypatch):
     docs, km = tmp_path / "docs", tmp_path / "a.km"
     docs.mkdir()
@@ -53,7 +57,11 @@ def test_models_from_the_command_line(run, tmp_path, monkeypatch):
     assert run("search", tmp_path / "none", "x")[0] == 1 and run("build", docs, "-o", tmp_path / "y", "--store-mode", "remote")[0] == 2
     assert run("optimise", km, "--estimate")[0] == 0
     (tmp_path / "q.json").write_text('{"query": "what is the first letter", "passage_idx": 0}\n')
-    assert run("optimise", km, "--queries", tmp_path / "q.json")[0] == 1
+    assert run("optimise", km, "--queries", tmp_path / "q.json")[0] == 1 and run("optimise", km)[0] == 2
+    (docs / "a.md").write_text("Alpha is the first letter, MVE says, of all the letters there are.")
+    code, out = run("optimise", km, "--client", "tests.test_cli:writer", "--least-queries", 4)
+    assert code in (0, 4) and "recall_at_1" in out
+    (docs / "a.md").unlink()
     monkeypatch.chdir(docs)
     assert run("init-project", "-o", tmp_path / "p.km", "--primer", tmp_path / "primer.md")[0] == 0 and "# Primer" in (tmp_path / "primer.md").read_text()
 
