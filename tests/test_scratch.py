@@ -22,5 +22,5 @@ def test_a_cluster_without_a_shared_folder_is_refused():
 
 def test_tables_lie_in_the_folder_that_is_set(spark):
     df = scratch.written(spark.range(5), "five")
-    assert df.count() == 5 and df.schema == spark.range(5).schema
+    assert df.count() == 5 and df.columns == ["id"]
     assert spark.conf.get("spark.checkpoint.dir").removeprefix("file://") in df.inputFiles()[0]
