@@ -425,7 +425,7 @@ def parser() -> argparse.ArgumentParser:
     verb("sync", sync, "model", catalog=None, allow_unavailable=False, **upkeep)
     verb("freshness", freshness, "model")
     verb("optimise", optimise, "model", queries=None, client=None, **root, estimate=False, least_queries=128)
-    verb("convert", convert_model, "model", mode=where, remote_url_base=None, output=None, **root)
+    verb("convert", convert_model, "model", remote_url_base=None, output=None, **root).add_argument("--mode", choices=where, required=True)
     verb("deep-search", deep_search, "model", "question", client=None, max_hops=4, top_k=5, format=("text", "json"), strict_names=False, **root)
     what = verb("memory", memory_command, memory_root="./memory").add_subparsers(dest="what", required=True)
     _options(what.add_parser("add"), "text", tier=memory.TIERS, salience=1.0, source_id="", session=None)
