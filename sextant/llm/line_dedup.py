@@ -15,6 +15,8 @@ from sextant.scratch import written
 
 MIN_BLOCK_CHARS = 120
 RARE = 8
+#: Lines of both sides that are aligned at once.
+SLICE_LINES = 500_000
 _KEY = ["id_", "th_"]
 
 
@@ -71,29 +73,36 @@ def common_blocks(a: list, b: list, chars: list, least: int = MIN_BLOCK_CHARS, b
     return gone
 
 
+def windows(lines: pa.ListArray, chars: pa.ListArray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first place, place after the last and hash of the shortest runs of lines with ``least`` characters that start
+    or end at a line that isn't blank. A block that two documents share and that has so many characters is made of such runs, blank lines at its ends aside.
+    Places count through all rows."""
+    bounds = lines.offsets.to_numpy().astype(np.int64) - lines.offsets[0].as_py()
+    h, c = lines.flatten().to_numpy().view(np.uint64), chars.flatten().to_numpy().astype(np.int64)
+    total = np.concatenate([[0], np.cumsum(c)])
+    row = np.repeat(np.arange(len(lines)), np.diff(bounds))
+    place = np.arange(len(row))
+    end = np.searchsorted(total, total[place] + least, side="left")
+    start = np.searchsorted(total, total[place + 1] - least, side="right") - 1
+    ahead, back = (c > 0) & (end <= bounds[row + 1]), (c > 0) & (start >= bounds[row])
+    row, first, last = np.concatenate([row[ahead], row[back]]), np.concatenate([place[ahead], start[back]]), np.concatenate([end[ahead], place[back] + 1])
+    powers = np.uint64(0x9E3779B97F4A7C15)
+    key = np.zeros(len(first), np.uint64)
+    step, open_ = first.copy(), np.arange(len(first))
+    while len(open_):
+        key[open_] = (key[open_] ^ h[step[open_]]) * powers
+        key[open_] ^= key[open_] >> np.uint64(29)
+        step[open_] += 1
+        open_ = open_[step[open_] < last[open_]]
+    return row, first, last, key
+
+
 def _runs(least: int):
-    """The hash of each shortest run of lines, starting at a line that isn't blank, with ``least`` characters."""
+    """The hashes of each document's ``windows``."""
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines, chars = batch.column(2), batch.column(3)
-            bounds = lines.offsets.to_numpy().astype(np.int64)
-            h, c = lines.values.to_numpy().view(np.uint64), chars.values.to_numpy().astype(np.int64)
-            total = np.concatenate([[0], np.cumsum(c)])
-            row = np.repeat(np.arange(len(batch)), np.diff(bounds))
-            start = bounds[0] + np.arange(len(row))
-            need = total[start] + least
-            end = np.searchsorted(total, need, side="left")
-            ok = (c[start] > 0) & (end <= bounds[row + 1])
-            start, end, row = start[ok], end[ok], row[ok]
-            powers = np.uint64(0x9E3779B97F4A7C15)
-            key = np.zeros(len(start), np.uint64)
-            step, open_ = start.copy(), np.ones(len(start), bool)
-            while open_.any():
-                key[open_] = (key[open_] ^ h[step[open_]]) * powers
-                key[open_] ^= key[open_] >> np.uint64(29)
-                step[open_] += 1
-                open_ &= step < end
+            row, _, _, key = windows(batch.column(2), batch.column(3), least)
             row_key = np.unique(np.stack([row.astype(np.uint64), key], axis=1), axis=0) if len(row) else np.zeros((0, 2), np.uint64)
             rows = pa.array(row_key[:, 0].astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(row_key[:, 1].view(np.int64))], ["id_", "th_", "run"])
@@ -101,13 +110,33 @@ def _runs(least: int):
     return runs
 
 
+def shared_runs(earlier: pa.ListArray, earlier_chars: pa.ListArray, later: pa.ListArray, chars: pa.ListArray, least: int) -> list[np.ndarray]:
+    """Per row the places in ``later`` of all ``windows`` that ``earlier`` has too, wherever and however often."""
+    salt = np.uint64(0xD6E8FEB86659FD93)
+    row, _, _, key = windows(earlier, earlier_chars, least)
+    known = key + row.astype(np.uint64) * salt
+    row, first, last, key = windows(later, chars, least)
+    hit = np.isin(key + row.astype(np.uint64) * salt, known)
+    bounds = later.offsets.to_numpy().astype(np.int64) - later.offsets[0].as_py()
+    depth = np.zeros(bounds[-1] + 1, np.int64)
+    np.add.at(depth, first[hit], 1)
+    np.add.at(depth, last[hit], -1)
+    gone = np.cumsum(depth)[:-1] > 0
+    return [np.flatnonzero(gone[i:j]) for i, j in zip(bounds[:-1], bounds[1:])]
+
+
 def _align(least: int):
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            earlier, later, chars = (batch.column(k) for k in (2, 3, 4))
-            gone = [common_blocks(x.values.to_pylist(), y.values.to_pylist(), z.values.to_pylist(), least) for x, y, z in zip(earlier, later, chars)]
-            some = pa.array([bool(g) for g in gone])
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(some), batch.column(1).filter(some), pa.array([g for g in gone if g], pa.list_(pa.int32()))], ["id_", "th_", "gone"])
+        for whole in batches:
+            size = np.cumsum(np.diff(whole.column(2).offsets.to_numpy()) + np.diff(whole.column(4).offsets.to_numpy()))
+            cuts = np.flatnonzero(np.diff(size // SLICE_LINES)) + 1
+            for i, j in zip([0, *cuts], [*cuts, len(whole)]):
+                batch = whole.slice(i, j - i)
+                earlier, later, chars = (batch.column(k) for k in (2, 4, 5))
+                gone = [common_blocks(x.values.to_pylist(), y.values.to_pylist(), z.values.to_pylist(), least) for x, y, z in zip(earlier, later, chars)]
+                gone = [sorted({*g, *r.tolist()}) for g, r in zip(gone, shared_runs(earlier, batch.column(3), later, chars, least))]
+                some = pa.array([bool(g) for g in gone])
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(some), batch.column(1).filter(some), pa.array([g for g in gone if g], pa.list_(pa.int32()))], ["id_", "th_", "gone"])
 
     return align
 
@@ -123,7 +152,8 @@ def overlapping(runs: DataFrame, rare: int = RARE) -> DataFrame:
     """Pairs ``(id_, th_, eid_, eth_)`` of a later and an earlier document that share a run of lines.
 
     A rare run, one that at most ``rare`` documents have, pairs all of them; a commoner one pairs each document with the first
-    that has it. As the first keeps its lines, every line of a common run still has its partner."""
+    that has it. The first keeps its lines and the others lose the run wherever they have it (``shared_runs``), also where no
+    alignment with the first holds, so further partners would add nothing."""
     doc = F.struct(*_KEY)
     stats = runs.groupBy("run").agg(F.count("*").alias("df"), F.min(doc).alias("first")).where("df > 1")
     shared = runs.join(stats, "run")
@@ -139,24 +169,24 @@ def deletions(docs: DataFrame, min_block_chars: int = MIN_BLOCK_CHARS, rare: int
     runs = written(lines.mapInArrow(_runs(min_block_chars), "id_ long, th_ long, run long").distinct(), "runs")
     pairs = written(overlapping(runs, rare), "pairs")
     sides = lines.dropDuplicates(_KEY)
-    early = sides.select(F.col("id_").alias("eid_"), F.col("th_").alias("eth_"), F.col("lines").alias("earlier"))
-    both = pairs.join(early, ["eid_", "eth_"]).join(sides, _KEY).select(*_KEY, "earlier", "lines", "chars")
+    early = sides.select(F.col("id_").alias("eid_"), F.col("th_").alias("eth_"), F.col("lines").alias("earlier"), F.col("chars").alias("earlier_chars"))
+    both = pairs.join(early, ["eid_", "eth_"]).join(sides, _KEY).select(*_KEY, "earlier", "earlier_chars", "lines", "chars")
     found = both.mapInArrow(_align(min_block_chars), "id_ long, th_ long, gone array<int>")
     return found.groupBy(*_KEY).agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
 
 def line_dedup(docs: DataFrame, min_block_chars: int = MIN_BLOCK_CHARS, rare: int = RARE) -> DataFrame:
-    """``docs`` with aligned common blocks deleted from the later document, ``n_chars`` set anew where lines went (if there
+    """``docs`` with common blocks deleted from the later document, ``n_chars`` set anew where lines went (if there
     is such a column), and ``removed_lines``, ``removed_chars``.
 
     Documents are ordered by (doc_id, hash of the text). Two overlap if they share a run of whole lines with
     ``min_block_chars`` characters, spaces and carriage returns at the ends of lines aside; ``overlapping`` says which pairs are aligned.
-    Of an aligned pair the later document loses each block with so many characters; shorter shared lines, such as
-    common short sentences, stay.
+    Of an aligned pair the later document loses each block with so many characters, and each run with so many that the earlier
+    one has in another order or more than once; shorter shared lines, such as common short sentences, stay.
 
     Rows without id or text, and empty texts, pass unchanged with 0 removed. Rows equal in id and text are one document and
-    lose the same lines; rows of one id with different texts are different documents. Repeated lines within a document
-    stay. A document that only has deleted lines keeps an empty text. Extra columns pass through; columns named
+    lose the same lines; rows of one id with different texts are different documents. Lines repeated within a document
+    stay if no earlier document has them. A document that only has deleted lines keeps an empty text. Extra columns pass through; columns named
     ``removed_lines`` or ``removed_chars`` are replaced. An empty table gives an empty one."""
     columns = [c for c in docs.columns if c not in ("removed_lines", "removed_chars")]
     gone = deletions(docs, min_block_chars, rare).withColumnsRenamed({"id_": "ld_id", "th_": "ld_hash", "gone": "ld_gone"})

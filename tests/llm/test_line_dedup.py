@@ -1,6 +1,7 @@
 import difflib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sextant.llm.line_dedup import common_blocks, line_dedup, patience_matches
@@ -84,3 +85,32 @@ def test_nulls_repeats_long_texts_extra_columns_and_empty_tables(spark):
     assert [(i, n) for i, _, n, _ in by] == [(0, 0), (1, 0), (2, 3000), (2, 3000), (3, 0), (4, 0), (5, 0), (6, 0)]
     assert [t for i, t, *_ in by if i == 2] == ["", ""] and all(g == 4 for *_, g in by)
     assert line_dedup(docs.limit(0)).count() == 0
+
+
+def held(rows, least):
+    """Every run of lines that an earlier document has too, wherever it is there."""
+    lines = [x.split("\n") for _, x in rows]
+    gone = [set() for _ in rows]
+    for n, d in enumerate(lines):
+        for e in lines[:n]:
+            for i in range(len(d)):
+                for j in range(len(e)):
+                    k = 0
+                    while i + k < len(d) and j + k < len(e) and d[i + k] == e[j + k]:
+                        k += 1
+                    if sum(len(x) for x in d[i : i + k]) >= least:
+                        gone[n] |= set(range(i, i + k))
+    return gone
+
+
+@pytest.mark.parametrize("holders", [2, 5, 9, 30])
+@pytest.mark.parametrize("kind", ["swapped", "twice", "longer"])
+def test_no_run_stays_in_a_later_document_however_the_first_has_it(spark, holders, kind):
+    one, two = " ".join(words(1, 40)), [" ".join(words(2 + k, 9)) for k in range(4)]
+    tail = " ".join(words(7, 4))
+    shapes = {"swapped": ([one, "-", *two], [*two, "+", one]), "twice": ([one, "-", one, *two], [*two, one]), "longer": ([one], [one, tail])}
+    rows = [(i, "\n".join([" ".join(words(50 + i, 9)), *shapes[kind][i > 0], f"end {i}"])) for i in range(holders)]
+    got = line_dedup(documents(spark, rows)).orderBy("doc_id").collect()
+    for (_, text), gone, x in zip(rows, held(rows, 120), got):
+        assert x.text == "\n".join(line for k, line in enumerate(text.split("\n")) if k not in gone)
+    assert got[0].text == rows[0][1] and not any(one in x.text or two[0] in x.text for x in got[1:])
