@@ -27,6 +27,8 @@ SPLITS = (("q0", "q1"), ("q2", "q3"))
 SKETCH = 128
 #: Spanning forests whose edges are verified, the second and third among what the first leaves unsure.
 FORESTS = 3
+#: Edges left by the forests that one task verifies, and grams that it looks at at once.
+PART_EDGES, PART_GRAMS = 1_000_000, 4_000_000
 
 _KEYS = [*(f"r{k}" for k in range(ROUTES)), *(q for pair in SPLITS for q in pair)]
 _SIGNATURE = "doc_id long, c1 long, c2 long, s1 long, s2 long, sketch binary, " + ", ".join(f"{c} long" for c in _KEYS)
@@ -104,7 +106,13 @@ def spanning(a: np.ndarray, b: np.ndarray, weight: np.ndarray, n: int) -> np.nda
 
 
 def likely(a: np.ndarray, b: np.ndarray, sketch: np.ndarray, n: int, similarity: float) -> np.ndarray:
-    """Places of the edges worth verifying so that all copies join, at most ``FORESTS`` times as many as nodes.
+    """Places of the edges to verify first, see ``narrowed``."""
+    return narrowed(a, b, sketch, n, similarity)[0]
+
+
+def narrowed(a: np.ndarray, b: np.ndarray, sketch: np.ndarray, n: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the edges to verify first, at most ``FORESTS`` times as many as nodes, and of those that are left: they
+    are to be verified too, unless the first have joined their ends.
 
     Edges whose sketches are four standard deviations below ``similarity`` are out. Of the others the spanning forest of most alike edges
     is taken, so that no edge to something else stands in for one between copies. Where it joins what the sketches can't tell for
@@ -122,7 +130,7 @@ def likely(a: np.ndarray, b: np.ndarray, sketch: np.ndarray, n: int, similarity:
         left = np.setdiff1d(left[label[a[left]] != label[b[left]]], pick)
         if not len(left):
             break
-    return np.concatenate(out)
+    return np.concatenate(out), left
 
 
 def _search_shard(radius: int, beam: int, similarity: float):
@@ -138,18 +146,23 @@ def _search_shard(radius: int, beam: int, similarity: float):
         kind[order] = order[np.maximum.accumulate(np.where(heads, np.arange(len(order)), 0))]
         a, b, _, recall = audited_pairs(codes[first], radius, beam)
         a, b = first[a], first[b]
+        more = np.zeros(0, bool)
         if len(a):
-            keep = likely(a, b, sketch, len(ids), similarity)
+            keep, left = narrowed(a, b, sketch, len(ids), similarity)
+            more = np.repeat([False, True], [len(keep), len(left)])
+            keep = np.concatenate([keep, left])
             a, b = a[keep], b[keep]
         same = np.flatnonzero(kind != np.arange(len(ids)))  # alike in code and sketch: linked to the first of them
-        a, b = np.concatenate([a, kind[same]]), np.concatenate([b, same])
-        return pa.table({"a": pa.array(ids[a]), "b": pa.array(ids[b]), "recall": pa.array(np.full(len(a), recall))})
+        a, b, more = np.concatenate([a, kind[same]]), np.concatenate([b, same]), np.concatenate([more, np.zeros(len(same), bool)])
+        shard = np.full(len(a), table["shard"][0].as_py(), np.int64)
+        return pa.table({"a": pa.array(ids[a]), "b": pa.array(ids[b]), "recall": pa.array(np.full(len(a), recall)), "more": pa.array(more), "shard": pa.array(shard)})
 
     return search
 
 
 def candidate_edges(nodes: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, beam: int = 12, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """``(a, b, recall)``: of each shard's pairs within ``radius`` those that ``likely`` picks, and the shard's audited recall.
+    """``(a, b, recall, more, shard)``: of each shard's pairs within ``radius`` those that ``narrowed`` picks or, with ``more``, leaves,
+    and the shard's audited recall.
 
     A node enters a shard by each of its min-hashes, which near copies share with a probability of their Jaccard
     similarity, and queries every other node there. A min-hash that more than ``shard_rows`` nodes have, as a common word may
@@ -166,7 +179,7 @@ def candidate_edges(nodes: DataFrame, radius: int = RADIUS, similarity: float =
         rows = rows.withColumn("key", F.explode(keys)).drop("hot")
     shards = max(1, -(-rows.count() // shard_rows))
     rows = rows.select("rep", "s1", "s2", "sketch", F.pmod("key", F.lit(shards)).alias("shard"))
-    return rows.groupBy("shard").applyInArrow(_search_shard(radius, beam, similarity), "a long, b long, recall double")
+    return rows.groupBy("shard").applyInArrow(_search_shard(radius, beam, similarity), "a long, b long, recall double, more boolean, shard long")
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,23 +200,81 @@ def _similarities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["a", "b", "similarity"])
 
 
-def verified_edges(docs: DataFrame, edges: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The edges whose documents' whole sets of neighbouring words have a Jaccard similarity of ``similarity`` or more."""
-    ids = edges.select(F.col("a").alias("id_")).union(edges.select("b")).distinct()
+def gram_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(doc_id, grams)`` of the documents whose id is in the one column of ``ids``."""
+    ids = written(ids.toDF("id_"), "ids")
     picked = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    grams = rows.join(picked, F.col("doc_id") == F.col("id_"), "left_semi").mapInArrow(_grams, "doc_id long, grams binary")
-    grams = written(grams, "grams")
+    return written(rows.join(picked, F.col("doc_id") == F.col("id_"), "left_semi").mapInArrow(_grams, "doc_id long, grams binary"), "grams")
+
+
+def verified_edges(docs: DataFrame, edges: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The edges whose documents' whole sets of neighbouring words have a Jaccard similarity of ``similarity`` or more."""
+    grams = gram_sets(docs, edges.select("a").union(edges.select("b")).distinct())
     left, right = grams.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), grams.select(F.col("doc_id").alias("b"), F.col("grams").alias("y"))
     pairs = edges.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
     return pairs.mapInArrow(_similarities, "a long, b long, similarity double").where(F.col("similarity") >= similarity)
 
 
+def _verify_part(similarity: float):
+    def verify(edges: pa.Table, members: pa.Table) -> pa.Table:
+        order = np.argsort(members["node"].to_numpy(), kind="stable")
+        node = members["node"].to_numpy()[order]
+        sets = [np.frombuffer(x.as_buffer(), np.uint32) for x in members["grams"].take(pa.array(order))]
+        size = np.array([len(x) for x in sets], np.int64)
+        values, codes = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint32), return_inverse=True)
+        codes, start = codes.ravel().astype(np.int32), np.concatenate([[0], np.cumsum(size)])
+        rank = np.argsort(edges["a"].to_numpy(), kind="stable")
+        a, b = edges["a"].to_numpy()[rank], edges["b"].to_numpy()[rank]
+        flag, good = np.zeros(len(values), bool), np.zeros(len(a), bool)
+        heads = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else []
+        for i, j in zip(heads, [*heads[1:], len(a)]):
+            lo, n = np.searchsorted(node, b[i:j]), np.searchsorted(node, b[i:j], side="right") - np.searchsorted(node, b[i:j])
+            edge = np.repeat(np.arange(i, j), n)
+            row = np.repeat(lo, n) + np.arange(len(edge)) - np.repeat(np.cumsum(n) - n, n)
+            cuts = np.flatnonzero(np.diff(np.cumsum(size[row]) // PART_GRAMS)) + 1
+            for own in range(np.searchsorted(node, a[i]), np.searchsorted(node, a[i], side="right")):
+                flag[codes[start[own] : start[own + 1]]] = True
+                for e, r in zip(np.split(edge, cuts), np.split(row, cuts)):
+                    ends = np.cumsum(size[r])
+                    grams = np.repeat(start[r] - (ends - size[r]), size[r]) + np.arange(ends[-1] if len(ends) else 0)
+                    total = np.concatenate([[0], np.cumsum(flag[codes[grams]])])
+                    both = total[ends] - total[ends - size[r]]
+                    good[e[both / np.maximum(1, size[own] + size[r] - both) >= similarity]] = True
+                flag[codes[start[own] : start[own + 1]]] = False
+        a, b = a[good], b[good]
+        known, ends = np.unique(np.concatenate([edges[c].to_numpy()[rank][good] for c in ("ca", "cb")]), return_inverse=True)
+        some = spanning(ends.ravel()[: len(a)], ends.ravel()[len(a) :], np.zeros(len(a), np.int64), len(known))
+        return pa.table({"a": pa.array(a[some], pa.int64()), "b": pa.array(b[some], pa.int64())})
+
+    return verify
+
+
+def verified_rest(docs: DataFrame, rest: DataFrame, edges: DataFrame, similarity: float = SIMILARITY, part_edges: int = PART_EDGES) -> DataFrame:
+    """``(a, b)``: the copies among all edges of ``rest`` (``a, b, shard``) whose ends ``edges`` doesn't join, as far as needed to join them.
+
+    The sets of neighbouring words go to each part of a shard once, not to each edge; a part has about ``part_edges`` edges."""
+    label = connected_components(edges)
+    for end in ("a", "b"):
+        to = label.select(F.col("node").alias(end), F.col("component").alias("at_"))
+        rest = rest.join(to, end, "left").withColumn(f"c{end}", F.coalesce("at_", end)).drop("at_")
+    open_ = written(rest.where("ca <> cb").groupBy("a", "b").agg(F.min("shard").alias("shard"), F.first("ca").alias("ca"), F.first("cb").alias("cb")), "open")
+    most = open_.groupBy("shard").count().agg(F.max("count")).first()[0]
+    if not most:
+        return edges.select("a", "b").limit(0)
+    open_ = open_.withColumn("part", F.pmod(F.xxhash64("a"), F.lit(-(-most // part_edges))))
+    members = open_.select(F.col("a").alias("node"), "shard", "part").union(open_.select("b", "shard", "part")).distinct()
+    grams = gram_sets(docs, members.select("node").distinct()).withColumnRenamed("doc_id", "node")
+    sides = open_.groupBy("shard", "part"), members.toDF("node", "in_shard", "in_part").join(grams, "node").groupBy("in_shard", "in_part")
+    return sides[0].cogroup(sides[1]).applyInArrow(_verify_part(similarity), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, beam: int = 12, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Groups of near copies: ``(doc_id, group_id, keep)`` for each document of a group of two or more.
 
     Documents with one word sequence (letter case and white space aside) are copies. The distinct ones enter shards and are
-    searched for others within ``radius`` of 128 bits; candidate edges are verified on the whole texts and unioned.
+    searched for others within ``radius`` of 128 bits; candidate edges are verified on the whole texts and unioned: forests of
+    the most alike first, then every other edge between what these have not joined.
     ``group_id`` is the smallest doc_id of the group, the only one with ``keep``.
 
     Rows without an id or without a word belong to no group. Rows that repeat a doc_id are one document, alike in
@@ -213,8 +284,10 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, similarity: float = S
     parts = ["c1", "c2"]
     nodes = written(signed.groupBy(*parts).agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("s1", "s2", "sketch", *_KEYS))), "nodes")
     copies = signed.select("doc_id", *parts).join(nodes.select("rep", *parts), parts).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    found = written(candidate_edges(nodes, radius, similarity, beam, shard_rows).select("a", "b").where("a <> b").distinct(), "candidates")
-    edges = verified_edges(docs, found, similarity).select("a", "b").union(copies)
+    found = written(candidate_edges(nodes, radius, similarity, beam, shard_rows).where("a <> b"), "candidates")
+    first = found.where("not more").select("a", "b").distinct()
+    edges = written(verified_edges(docs, first, similarity).select("a", "b").union(copies), "verified")
+    edges = edges.union(verified_rest(docs, found.where("more"), edges, similarity))
     return connected_components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"), (F.col("node") == F.col("component")).alias("keep"))
 
 

@@ -104,3 +104,36 @@ def test_nulls_blank_and_long_texts_repeats_extra_columns_and_empty_tables(spark
     assert rest.columns == docs.columns
     assert sorted((x.doc_id or 0) for x in rest.collect()) == [0, 3, 3, 7, 8, 9, 10, 11, 13]
     assert nd.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_a_copy_whose_family_looks_more_alike_by_sketch_is_left_for_verification():
+    r, n = np.random.default_rng(4), 40
+    sketch = np.tile(np.arange(nd.SKETCH, dtype=np.uint8) % 200 + 1, (n, 1))
+    for k in range(n):  # any two agree in about 0.66 to 0.8 of the buckets, the true pair in 0.62
+        sketch[k, r.permutation(nd.SKETCH)[:18]] = 201 + k
+    sketch[1, :24], sketch[0, 24:48] = 250, 251
+    a, b = np.triu_indices(n, 1)
+    keep, left = nd.narrowed(a, b, sketch, n, 0.6)
+    est, used = nd.estimated(sketch[a], sketch[b])
+    unsure = np.flatnonzero((est >= 0.6 - 4 * np.sqrt(0.24 / used)) & (est < 0.6 + 4 * np.sqrt(0.24 / used)))
+    assert not ((a[keep] == 0) & (b[keep] == 1)).any() and ((a[left] == 0) & (b[left] == 1)).any()
+    assert len(np.intersect1d(keep, left)) == 0 and {*unsure.tolist()} <= {*keep.tolist(), *left.tolist()}
+
+
+def test_all_that_the_forests_leave_is_verified(spark):
+    base, texts, r = words(77, 60), {}, random.Random(8)
+    for i in range(40):
+        w = list(base)
+        for x in r.sample(range(60), r.choice([2, 4, 6])):
+            w[x] = f"d{i}x{x}"
+        texts[i] = " ".join(w)
+    pairs = [(i, j) for i in texts for j in texts if i < j]
+    good = {(i, j) for i, j in pairs if jaccard(texts[i], texts[j]) >= nd.SIMILARITY}
+    first = sorted(good)[:3]
+    docs = documents(spark, [*texts.items(), (7, "another text under one id"), (7, "")])
+    rest = spark.createDataFrame([(i, j, k) for i, j in pairs for k in (0, 1)], "a long, b long, shard long")
+    for part_edges in (nd.PART_EDGES, 100):
+        got = [tuple(x) for x in nd.verified_rest(docs, rest, spark.createDataFrame(first, "a long, b long"), part_edges=part_edges).collect()]
+        assert 0 < len(good) < len(pairs) and {*got} <= good
+        label = lambda edges: nd.min_labels(*np.array(sorted(edges)).T, 40).tolist()
+        assert label([*first, *got]) == label(good)
