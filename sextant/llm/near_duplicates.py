@@ -9,43 +9,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.smallworld import audited_pairs
+from sextant.llm.smallworld import searched
 from sextant.llm.words import bigrams, distinct, hash_strings, mix, rows_reduce, simhash, split_words, word_hashes
 from sextant.operators.components import connected_components, min_labels
 from sextant.scratch import written
 
-RADIUS = 28
+RADIUS = 32
 SIMILARITY = 0.6
-ROUTES = 3
+#: Min-hashes of neighbouring words, each over its own share of them, by which nodes meet in shards.
+ROUTES = 8
 SHARD_ROWS = 24_000
 #: Ids up to which the documents of candidate pairs are picked by a broadcast; beyond it by a shuffled join.
 BROADCAST_IDS = 1_000_000
 
-#: Min-hashes of neighbouring words by which routes with too many nodes are split, twice if need be.
-SPLITS = (("q0", "q1"), ("q2", "q3"))
 #: Bytes of a sketch: as many buckets of the neighbouring words' hashes, each with a byte of its least one.
 SKETCH = 128
 #: Spanning forests whose edges are verified, the second and third among what the first leaves unsure.
 FORESTS = 3
+#: Pairs of a shard held before those that sure edges already join are let go.
+POOL_EDGES = 2_000_000
 #: Edges left by the forests that one task verifies, and grams that it looks at at once.
 PART_EDGES, PART_GRAMS = 1_000_000, 4_000_000
 
-_KEYS = [*(f"r{k}" for k in range(ROUTES)), *(q for pair in SPLITS for q in pair)]
-_SIGNATURE = "doc_id long, c1 long, c2 long, s1 long, s2 long, sketch binary, " + ", ".join(f"{c} long" for c in _KEYS)
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+_SIGNATURE = "doc_id long, c1 long, c2 long, s1 long, s2 long, sketch binary, routes array<long>"
 
 
-def sketches(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """One-permutation min-hash of each row: uint8 [rows, SKETCH], 0 for a bucket without a hash."""
+def _least(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The least hash of each row's grams in each of ``SKETCH`` buckets: uint64 [rows, SKETCH], ``_NONE`` for a bucket without any."""
     rows = len(bounds) - 1
     h = mix(grams, 31)
-    shift = np.uint64(64 - SKETCH.bit_length() + 1)
-    none = np.uint64(0xFFFFFFFFFFFFFFFF)
-    least = np.full(rows * SKETCH, none)
-    place = np.repeat(np.arange(rows), np.diff(bounds)) * SKETCH + (h >> shift).astype(np.int64)
-    np.minimum.at(least, place, h)
+    bits = np.uint64(SKETCH.bit_length() - 1)
+    least = np.full(rows * SKETCH, _NONE)
+    place = np.repeat(np.arange(rows), np.diff(bounds)) * SKETCH + (h >> (np.uint64(64) - bits)).astype(np.int64)
+    np.minimum.at(least, place, h << bits)
+    return least.reshape(rows, SKETCH)
+
+
+def _bytes(least: np.ndarray) -> np.ndarray:
     out = (mix(least, 32) % np.uint64(255)).astype(np.uint8) + np.uint8(1)
-    out[least == none] = 0
-    return out.reshape(rows, SKETCH)
+    out[least == _NONE] = 0
+    return out
+
+
+def sketches(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """One-permutation min-hash of each row: uint8 [rows, SKETCH], 0 for a bucket without a hash."""
+    return _bytes(_least(grams, bounds))
 
 
 def estimated(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,21 +71,21 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.arange(len(codes), dtype=np.uint64) - np.repeat(bounds[:-1], n).astype(np.uint64)
         content = [rows_reduce(np.add, mix(hashes[codes] + mix(place, salt), salt), bounds, 0) for salt in (11, 12)]
         words, ends = distinct(codes, bounds)
-        words = hashes[words]
-        code = simhash(words, ends)
-        routes = [rows_reduce(np.minimum, mix(words, 21 + k), ends, 0) for k in range(ROUTES)]
-        grams, edges = bigrams(hashes[codes], bounds)
-        sketch = sketches(grams, edges)
-        routes += [rows_reduce(np.minimum, mix(grams, 41 + k), edges, 0) for k in range(2 * len(SPLITS))]
+        code = simhash(hashes[words], ends)
         some = n > 0
+        least = _least(*bigrams(hashes[codes], bounds))[some]
+        routes = least.reshape(len(least), ROUTES, -1).min(2)
+        has = routes != _NONE
+        routes = mix(routes + np.arange(ROUTES, dtype=np.uint64), 33)  # a hash in one share of the grams is no route of another
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has.sum(1))]).astype(np.int32)), pa.array(routes[has].view(np.int64)))
         longs = lambda *xs: [pa.array(np.ascontiguousarray(x)[some].view(np.int64)) for x in xs]
-        columns = [batch.column(0).cast(pa.int64()).filter(pa.array(some)), *longs(*content, code[:, 0], code[:, 1]), pa.array([x.tobytes() for x in sketch[some]], pa.binary()), *longs(*routes)]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "c1", "c2", "s1", "s2", "sketch", *_KEYS])
+        columns = [batch.column(0).cast(pa.int64()).filter(pa.array(some)), *longs(*content, code[:, 0], code[:, 1]), pa.array([x.tobytes() for x in _bytes(least)], pa.binary()), lists]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "c1", "c2", "s1", "s2", "sketch", "routes"])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
     """For every document with an id and a word: its content hash over the word sequence (letter case and
-    white space aside), the 128-bit SimHash of its word set, a sketch and min-hashes of its neighbouring words, and ``ROUTES`` min-hashes of the word set."""
+    white space aside), the 128-bit SimHash of its word set, and of its pairs of neighbouring words a sketch and up to ``ROUTES`` min-hashes."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     return rows.mapInArrow(_signatures, _SIGNATURE)
 
@@ -105,6 +114,19 @@ def spanning(a: np.ndarray, b: np.ndarray, weight: np.ndarray, n: int) -> np.nda
             x, y = label[a[pick]], label[b[pick]]
 
 
+def _margin(used: np.ndarray, similarity: float) -> np.ndarray:
+    """Four standard deviations of an estimate at ``similarity``."""
+    return 4 * np.sqrt(similarity * (1 - similarity) / np.maximum(used, 1))
+
+
+def _weight(est: np.ndarray) -> np.ndarray:
+    return np.round((1 - est) * 1000).astype(np.int64)
+
+
+def _estimates(a: np.ndarray, b: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.concatenate(x) for x in zip(*(estimated(sketch[a[i : i + 65536]], sketch[b[i : i + 65536]]) for i in range(0, max(1, len(a)), 65536))))
+
+
 def likely(a: np.ndarray, b: np.ndarray, sketch: np.ndarray, n: int, similarity: float) -> np.ndarray:
     """Places of the edges to verify first, see ``narrowed``."""
     return narrowed(a, b, sketch, n, similarity)[0]
@@ -117,12 +139,12 @@ def narrowed(a: np.ndarray, b: np.ndarray, sketch: np.ndarray, n: int, similarit
     Edges whose sketches are four standard deviations below ``similarity`` are out. Of the others the spanning forest of most alike edges
     is taken, so that no edge to something else stands in for one between copies. Where it joins what the sketches can't tell for
     sure, a failed edge may hide another, so further forests are taken of the edges between what is surely joined."""
-    est, used = (np.concatenate(x) for x in zip(*(estimated(sketch[a[i : i + 65536]], sketch[b[i : i + 65536]]) for i in range(0, max(1, len(a)), 65536))))
-    margin = 4 * np.sqrt(similarity * (1 - similarity) / np.maximum(used, 1))
+    est, used = _estimates(a, b, sketch)
+    margin = _margin(used, similarity)
     left = np.flatnonzero(est >= similarity - margin)
     out = []
     for _ in range(FORESTS):
-        pick = left[spanning(a[left], b[left], np.round((1 - est[left]) * 1000).astype(np.int64), n)]
+        pick = left[spanning(a[left], b[left], _weight(est[left]), n)]
         out.append(pick)
         sure = np.concatenate(out)
         sure = sure[est[sure] >= similarity + margin[sure]]
@@ -133,19 +155,61 @@ def narrowed(a: np.ndarray, b: np.ndarray, sketch: np.ndarray, n: int, similarit
     return np.concatenate(out), left
 
 
+class Pool:
+    """Candidate edges of a shard as they are found. What can't be alike by its sketches is not held, and beyond ``most`` edges
+    only a spanning forest of the most alike and the edges between what no sure edge joins."""
+
+    def __init__(self, sketch: np.ndarray, similarity: float, most: int = POOL_EDGES):
+        self.sketch, self.similarity, self.most = sketch, similarity, most
+        self.parts: list[np.ndarray] = []
+        self.held = self.limit = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        for i in range(0, len(a), 65536):
+            x, y = a[i : i + 65536], b[i : i + 65536]
+            est, used = estimated(self.sketch[x], self.sketch[y])
+            good = (x != y) & (est >= self.similarity - _margin(used, self.similarity))
+            self.parts.append(np.stack([x[good], y[good]]))
+            self.held += int(good.sum())
+            if self.held > max(self.most, self.limit):
+                self.reduce()
+                self.limit = 2 * self.held
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        pairs = np.concatenate(self.parts, axis=1) if self.parts else np.zeros((2, 0), np.int64)
+        n = len(self.sketch)
+        key = np.unique(pairs[0] * n + pairs[1])
+        self.parts, self.held = [np.stack([key // n, key % n])], len(key)
+        return key // n, key % n
+
+    def reduce(self) -> None:
+        a, b = self.edges()
+        est, used = _estimates(a, b, self.sketch)
+        n = len(self.sketch)
+        keep = np.zeros(len(a), bool)
+        keep[spanning(a, b, _weight(est), n)] = True
+        sure = est >= self.similarity + _margin(used, self.similarity)
+        label = min_labels(a[sure], b[sure], n)
+        keep |= ~sure & (label[a] != label[b])
+        self.parts, self.held = [np.stack([a[keep], b[keep]])], int(keep.sum())
+
+
 def _search_shard(radius: int, beam: int, similarity: float):
     def search(table: pa.Table) -> pa.Table:
-        ids, first = np.unique(table["rep"].to_numpy(), return_index=True)
-        codes = np.stack([table[c].to_numpy()[first] for c in ("s1", "s2")], axis=1).view(np.uint64)
-        sketch = np.frombuffer(b"".join(table["sketch"].take(pa.array(first)).to_pylist()), np.uint8).reshape(-1, SKETCH)
+        table = table.sort_by([("rep", "ascending"), ("s1", "ascending")])
+        ids, member = table["rep"].to_numpy(), table["member"].to_numpy()
+        codes = np.stack([table[c].to_numpy() for c in ("s1", "s2")], axis=1).view(np.uint64)
+        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
         _, first, place = np.unique(np.concatenate([codes, sketch.view(np.uint64)], axis=1), axis=0, return_index=True, return_inverse=True)
-        first = np.sort(first)  # in order of the least id with this code and sketch
-        kind = np.empty(len(ids), np.int64)
-        order = np.argsort(place.ravel(), kind="stable")
-        heads = np.concatenate([[True], np.diff(place.ravel()[order]) > 0])
-        kind[order] = order[np.maximum.accumulate(np.where(heads, np.arange(len(order)), 0))]
-        a, b, _, recall = audited_pairs(codes[first], radius, beam)
-        a, b = first[a], first[b]
+        kind = first[place.ravel()]  # the row of the least id with this code and sketch
+        known = np.zeros(len(ids), bool)
+        known[kind[member]] = True
+        heads = np.unique(kind)
+        nodes = heads[known[heads]]
+        pool = Pool(sketch, similarity)
+        recall = searched(codes[nodes], codes[heads], radius, lambda q, node: pool.add(heads[q], nodes[node]), beam)
+        a, b = pool.edges()
         more = np.zeros(0, bool)
         if len(a):
             keep, left = narrowed(a, b, sketch, len(ids), similarity)
@@ -164,21 +228,22 @@ def candidate_edges(nodes: DataFrame, radius: int = RADIUS, similarity: float =
     """``(a, b, recall, more, shard)``: of each shard's pairs within ``radius`` those that ``narrowed`` picks or, with ``more``, leaves,
     and the shard's audited recall.
 
-    A node enters a shard by each of its min-hashes, which near copies share with a probability of their Jaccard
-    similarity, and queries every other node there. A min-hash that more than ``shard_rows`` nodes have, as a common word may
-    be, is no shard: its nodes go on by two min-hashes of their neighbouring words each."""
-    routes = F.array(*(F.xxhash64(F.lit(k), f"r{k}") for k in range(ROUTES)))
-    rows = nodes.select("rep", "s1", "s2", "sketch", *_KEYS[ROUTES:], F.explode(routes).alias("key"))
-    for split in SPLITS:
-        hot = written(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > shard_rows).select("key", F.lit(True).alias("hot")), "hot")
-        n = hot.count()
-        if not n:
-            break
-        rows = rows.join(F.broadcast(hot) if n <= BROADCAST_IDS else hot, "key", "left")
-        keys = F.when(F.col("hot"), F.array(*(F.xxhash64("key", F.lit(q), q) for q in split))).otherwise(F.array("key"))
-        rows = rows.withColumn("key", F.explode(keys)).drop("hot")
-    shards = max(1, -(-rows.count() // shard_rows))
-    rows = rows.select("rep", "s1", "s2", "sketch", F.pmod("key", F.lit(shards)).alias("shard"))
+    A node enters a shard by each of its min-hashes that other nodes have too, and queries every other node there. Two texts share a min-hash with a
+    probability of their Jaccard similarity s, so they miss each other with one of (1 - s) ** ``ROUTES``, 0.0007 at 0.6, at any size of the table.
+    Rare min-hashes fill shards of ``shard_rows`` nodes together. The nodes of one that more nodes have are cut into graphs
+    of that size, and each node's query goes to all of them."""
+    every = nodes.select("rep", F.explode("routes").alias("key"))
+    size = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = written(every.join(size, "key").select("rep", "key", "n"), "met")
+    total = met.where(F.col("n") <= shard_rows).count()
+    shards = F.lit(max(1, -(-total // shard_rows)))
+    parts = F.ceil(F.col("n") / shard_rows).cast("int")
+    own = F.when(parts > 1, F.pmod(F.xxhash64("rep", F.lit(5)), parts)).otherwise(0).cast("int")
+    rows = met.select("rep", "key", parts.alias("parts"), own.alias("own"))
+    rows = rows.select("*", F.explode(F.sequence("own", F.col("parts") - 1)).alias("part"))  # of two parts the earlier one's nodes query the later one
+    shard = F.when(F.col("parts") > 1, F.xxhash64("key", "part")).otherwise(F.pmod("key", shards))
+    rows = rows.select("rep", (F.col("part") == F.col("own")).alias("member"), shard.alias("shard")).distinct()
+    rows = rows.join(nodes.select("rep", "s1", "s2", "sketch"), "rep")
     return rows.groupBy("shard").applyInArrow(_search_shard(radius, beam, similarity), "a long, b long, recall double, more boolean, shard long")
 
 
@@ -270,25 +335,28 @@ def verified_rest(docs: DataFrame, rest: DataFrame, edges: DataFrame, similarity
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, beam: int = 12, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Groups of near copies: ``(doc_id, group_id, keep)`` for each document of a group of two or more.
+    """Groups of near copies: ``(doc_id, group_id, n_links, keep)`` for each document of a group of two or more; any other is a group of its own and has no row.
 
     Documents with one word sequence (letter case and white space aside) are copies. The distinct ones enter shards and are
     searched for others within ``radius`` of 128 bits; candidate edges are verified on the whole texts and unioned: forests of
-    the most alike first, then every other edge between what these have not joined.
-    ``group_id`` is the smallest doc_id of the group, the only one with ``keep``.
+    the most alike first, then every other edge between what these have not joined. So no link between different groups is left, while within
+    a group not every pair is looked at. ``n_links`` counts the verified links at the document that hold its group together; a copy has one, to the
+    first document with its words. ``group_id`` is the smallest doc_id of the group, the only one with ``keep``.
 
     Rows without an id or without a word belong to no group. Rows that repeat a doc_id are one document, alike in
     whatever its texts match. Ties of distance don't matter: all pairs within the radius count. Other columns, whatever their names,
     are not read. An empty table gives no rows."""
     signed = written(signatures(docs), "signatures")
     parts = ["c1", "c2"]
-    nodes = written(signed.groupBy(*parts).agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("s1", "s2", "sketch", *_KEYS))), "nodes")
+    nodes = written(signed.groupBy(*parts).agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("s1", "s2", "sketch", "routes"))), "nodes")
     copies = signed.select("doc_id", *parts).join(nodes.select("rep", *parts), parts).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     found = written(candidate_edges(nodes, radius, similarity, beam, shard_rows).where("a <> b"), "candidates")
     first = found.where("not more").select("a", "b").distinct()
     edges = written(verified_edges(docs, first, similarity).select("a", "b").union(copies), "verified")
-    edges = edges.union(verified_rest(docs, found.where("more"), edges, similarity))
-    return connected_components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"), (F.col("node") == F.col("component")).alias("keep"))
+    edges = written(edges.union(verified_rest(docs, found.where("more"), edges, similarity)).distinct(), "links")
+    ends = edges.select(F.col("a").alias("doc_id")).union(edges.select("b")).groupBy("doc_id").agg(F.count("*").alias("n_links"))
+    groups = connected_components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"))
+    return groups.join(ends, "doc_id").select("doc_id", "group_id", "n_links", (F.col("doc_id") == F.col("group_id")).alias("keep"))
 
 
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -121,63 +123,56 @@ class SmallWorld:
             out[live] = both[:, :beam]
         return out
 
-    def within(self, radius: int, beam: int = 16, chunk: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pairs (i < j in the order given to the constructor) and their distances, found by searching for every node.
-        A query whose whole beam lies within ``radius`` may have more neighbours: its beam doubles
+    def within(self, queries: np.ndarray, radius: int, found: Callable[[np.ndarray, np.ndarray], None], beam: int = 16, chunk: int = 4096) -> None:
+        """Tells ``found`` (places in ``queries``, nodes in the order given to the constructor) of all pairs within ``radius``, a chunk of
+        queries at a time. A query whose whole beam lies within ``radius`` may have more neighbours: its beam doubles
         until the beam ends outside, or holds every node."""
         n = len(self.codes)
-        found = []
-        todo, beam = np.arange(n), min(beam, n)
+        todo, beam = np.arange(len(queries)), min(beam, n)
         while len(todo):
             again = []
-            for i in range(0, len(todo), max(1, chunk * 16 // max(16, beam))):
-                part = todo[i : i + max(1, chunk * 16 // max(16, beam))]
-                keys = self.search(self.codes[part], beam)
-                d = (keys >> np.uint64(32)).astype(np.int64)
-                inside = (keys != _NONE) & (d <= radius)
+            size = max(1, chunk * 16 // max(16, beam))
+            for i in range(0, len(todo), size):
+                part = todo[i : i + size]
+                keys = self.search(queries[part], beam)
+                inside = (keys != _NONE) & ((keys >> np.uint64(32)).astype(np.int64) <= radius)
                 full = inside.all(1) & (beam < n)
                 again.append(part[full])
                 r, c = np.nonzero(inside & ~full[:, None])
-                found.append(np.stack([part[r], ((keys[r, c] >> np.uint64(1)) & np.uint64(0x7FFFFFFF)).astype(np.int64), d[r, c]]))
+                found(part[r], self.order[((keys[r, c] >> np.uint64(1)) & np.uint64(0x7FFFFFFF)).astype(np.int64)])
             todo, beam = np.concatenate(again), min(2 * beam, n)
-        a, b, d = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
-        a, b = self.order[a], self.order[b]
-        keep = a != b
-        lo, hi, d = np.minimum(a, b)[keep], np.maximum(a, b)[keep], d[keep]
-        _, first = np.unique(lo * n + hi, return_index=True)
-        return lo[first], hi[first], d[first]
-
-
-def exact_within(codes: np.ndarray, rows: np.ndarray, radius: int, chunk: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """(row, node) of all nodes within ``radius`` of the given rows, by looking at every node."""
-    out = []
-    for i in range(0, len(rows), chunk):
-        part = rows[i : i + chunk]
-        r, c = np.nonzero(_cross(codes[part], codes) <= radius)
-        keep = part[r] != c
-        out.append(np.stack([part[r][keep], c[keep]]))
-    return tuple(np.concatenate(out, axis=1)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def audited_pairs(codes: np.ndarray, radius: int, beam: int = 16, audit: int = 256, recall: float = 0.95, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Pairs within ``radius`` and the audited recall. ``audit`` seeded rows are also searched exactly;
-    while the graph search misses more than 1 - ``recall`` of their pairs, all beams start twice as wide, at last
-    as wide as the shard, which is exact."""
+
+
+def exact_within(codes: np.ndarray, queries: np.ndarray, radius: int, found: Callable[[np.ndarray, np.ndarray], None], chunk: int = 64) -> None:
+    """Tells ``found`` of the same pairs by looking at every node."""
+    for i in range(0, len(queries), chunk):
+        r, c = np.nonzero(_cross(queries[i : i + chunk], codes) <= radius)
+        found(i + r, c)
+
+
+def _keys(search: Callable, n: int) -> np.ndarray:
+    out = [np.zeros(0, np.int64)]
+    search(lambda q, node: out.append(q * n + node))
+    return np.unique(np.concatenate(out))
+
+
+def searched(codes: np.ndarray, queries: np.ndarray, radius: int, found: Callable[[np.ndarray, np.ndarray], None], beam: int = 16, audit: int = 256, recall: float = 0.95, seed: int = 7) -> float:
+    """Tells ``found`` of the pairs (query, node) within ``radius`` and returns the audited recall.
+
+    ``audit`` seeded queries are searched exactly too; while the graph misses more than 1 - ``recall`` of their pairs, all beams start twice as
+    wide, at last as wide as the shard; if even that misses some, as no link reaches parts of the graph, every node is looked at."""
     n = len(codes)
-    if n < 2:
-        none = np.zeros(0, np.int64)
-        return none, none, none, 1.0
+    if not n or not len(queries):
+        return 1.0
     world = SmallWorld(codes, seed=seed)
-    rows = np.sort(np.random.default_rng(seed + 1).permutation(n)[:audit])
-    r, c = exact_within(codes, rows, radius)
-    truth = np.unique(np.minimum(r, c) * n + np.maximum(r, c))
+    rows = queries[np.sort(np.random.default_rng(seed + 1).permutation(len(queries))[:audit])]
+    truth = _keys(lambda f: exact_within(codes, rows, radius, f), n)
     while True:
-        a, b, d = world.within(radius, beam)
-        got = float(np.isin(truth, a * n + b).mean()) if len(truth) else 1.0
+        got = float(np.isin(truth, _keys(lambda f: world.within(rows, radius, f, beam), n)).mean()) if len(truth) else 1.0  # noqa: B023
         if got >= recall:
-            return a, b, d, got
-        if beam >= n:  # parts of the graph that no link reaches: look at every node
-            r, c = exact_within(codes, np.arange(n), radius)
-            keep = r < c
-            return r[keep], c[keep], hamming(codes[r[keep]], codes[c[keep]]).astype(np.int64), 1.0
+            world.within(queries, radius, found, beam)
+            return got
+        if beam >= n:
+            exact_within(codes, queries, radius, found)
+            return 1.0
         beam = min(n, beam * 2)

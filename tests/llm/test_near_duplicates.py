@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sextant.llm import near_duplicates as nd
-from sextant.llm.smallworld import audited_pairs, exact_within
+from sextant.llm.smallworld import SmallWorld, exact_within, searched
 from tests.llm.common import documents, words
 
 
@@ -55,19 +55,104 @@ def test_pairs_of_brute_force_are_found(spark, shard_rows):
     assert all(want[i] == want[g] for i, g in got.items())
 
 
-def test_graph_search_against_looking_at_all():
+def pairs_of(search):
+    out = set()
+    search(lambda q, node: out.update(zip(q.tolist(), node.tolist())))
+    return out
+
+
+def planted_codes():
     r = np.random.default_rng(5)
     base = r.integers(0, 1 << 63, (400, 2), dtype=np.uint64)
     near = np.repeat(base, 5, axis=0)
     for _ in range(6):
         near[np.arange(len(near)), r.integers(0, 2, len(near))] ^= np.uint64(1) << r.integers(0, 63, len(near), dtype=np.uint64)
-    codes = np.unique(np.concatenate([near, r.integers(0, 1 << 63, (1000, 2), dtype=np.uint64)]), axis=0)
-    a, b, d, recall = audited_pairs(codes, 14)
-    x, y = exact_within(codes, np.arange(len(codes)), 14)
-    true = {(i, j) for i, j in zip(x.tolist(), y.tolist()) if i < j}
-    got = set(zip(a.tolist(), b.tolist()))
-    assert got <= true and len(got) >= 0.95 * len(true) and recall >= 0.95
-    assert (np.bitwise_count(codes[a] ^ codes[b]).sum(1) == d).all()
+    return np.unique(np.concatenate([near, r.integers(0, 1 << 63, (1000, 2), dtype=np.uint64)]), axis=0)
+
+
+@pytest.mark.parametrize("foreign", [False, True])
+def test_graph_search_against_looking_at_all(foreign):
+    codes = planted_codes()
+    queries = codes[::2] if foreign else codes
+    recall = []
+    got = pairs_of(lambda f: recall.append(searched(codes, queries, 14, f)))
+    true = pairs_of(lambda f: exact_within(codes, queries, 14, f))
+    assert got <= true and len(got) >= 0.95 * len(true) and recall[0] >= 0.95
+    want = np.argwhere(np.bitwise_count(queries[:, None] ^ codes[None]).sum(2) <= 14)
+    assert true == {(i, j) for i, j in want.tolist()}
+
+
+def test_a_graph_that_no_link_holds_together_is_searched_exactly():
+    codes, link = planted_codes(), SmallWorld._link
+    SmallWorld._link = lambda *_: None
+    try:
+        got = pairs_of(lambda f: searched(codes, codes, 14, f))
+    finally:
+        SmallWorld._link = link
+    assert got == pairs_of(lambda f: exact_within(codes, codes, 14, f))
+
+
+def edited(seed, n, share):
+    """Two texts of n words, the second with a share of its words replaced, never two neighbours."""
+    w = words(seed, n)
+    v = list(w)
+    for k in random.Random(seed).sample(range(n // 2), int(share * n)):
+        v[2 * k] = f"q{seed}x{k}"
+    return " ".join(w), " ".join(v)
+
+
+@pytest.mark.parametrize("shard_rows", [nd.SHARD_ROWS, 25])
+def test_pairs_of_two_are_found_in_every_band_of_similarity(spark, shard_rows):
+    texts, bands = {}, {}
+    for k in range(900):
+        a, b = edited(50_000 + k, 80, (0.06, 0.09, 0.115)[k % 3])
+        s = jaccard(a, b)
+        if s >= nd.SIMILARITY:
+            texts[2 * k], texts[2 * k + 1] = a, b
+            bands.setdefault(min(int(s * 20), 14), []).append(k)
+    got = {x.doc_id: x.group_id for x in nd.near_duplicates(documents(spark, list(texts.items())), shard_rows=shard_rows).collect()}
+    assert set(bands) >= {12, 13, 14}
+    for ks in bands.values():
+        assert np.mean([got.get(2 * k, -1) == got.get(2 * k + 1, -2) for k in ks]) >= 0.99
+    assert all(i // 2 == g // 2 for i, g in got.items())
+
+
+def test_a_route_that_many_share_loses_no_pair(spark):
+    """All texts share most of what they say, so that every route is cut into several graphs, and twenty pairs are alike beyond that."""
+    base, texts = words(3, 60), {}
+    for i in range(150):
+        w = list(base)
+        for x in random.Random(i % 130).sample(range(30), 11):
+            w[2 * x] = f"d{i % 130}x{x}"
+        if i >= 130:
+            w[1] = f"e{i}"
+        texts[i] = " ".join(w)
+    pairs = [(i, i + 130) for i in range(20)]
+    assert all(jaccard(texts[i], texts[j]) >= 0.8 for i, j in pairs)
+    got = {x.doc_id: x.group_id for x in nd.near_duplicates(documents(spark, list(texts.items())), shard_rows=40).collect()}
+    assert {i: got.get(i, i) for i in texts} == groups(texts, nd.SIMILARITY)
+
+
+def test_what_a_pool_lets_go_is_joined_by_what_it_keeps():
+    r, n = np.random.default_rng(6), 120
+    sketch = np.tile(r.integers(1, 200, nd.SKETCH).astype(np.uint8), (n, 1))
+    for k in range(n):
+        sketch[k, r.permutation(nd.SKETCH)[: (8, 20, 60)[k % 3]]] = 201 + k % 50
+    a, b = np.triu_indices(n, 1)
+    big, small = nd.Pool(sketch, 0.6), nd.Pool(sketch, 0.6, 200)
+    for i in range(0, len(a), 500):
+        for pool in (big, small):
+            pool.add(b[i : i + 500], a[i : i + 500])
+    (x, y), (u, v) = big.edges(), small.edges()
+    assert len(u) < len(x)
+    est, used = nd.estimated(sketch[x], sketch[y])
+    sure = est >= 0.6 + 4 * np.sqrt(0.24 / used)
+    label = nd.min_labels(x[sure], y[sure], n)
+    kept = {*zip(u.tolist(), v.tolist())}
+    assert all((i, j) in kept for i, j in zip(x[~sure].tolist(), y[~sure].tolist()) if label[i] != label[j])
+    e2, u2 = nd.estimated(sketch[u], sketch[v])
+    again = e2 >= 0.6 + 4 * np.sqrt(0.24 / u2)
+    assert (nd.min_labels(u[again], v[again], n) == label).all()
 
 
 def test_more_copies_than_a_beam_holds_are_one_group(spark):
@@ -97,9 +182,9 @@ def test_sketches_estimate_the_overlap():
 def test_nulls_blank_and_long_texts_repeats_extra_columns_and_empty_tables(spark):
     long = " ".join(words(8, 40_000))
     rows = [(5, long), (3, long.upper().replace(" ", "  ")), (3, long), (None, long), (7, None), (8, ""), (9, " \n "), (10, ""), (11, "one"), (12, "ONE "), (13, "two")]
-    docs = documents(spark, rows).withColumns({"rep": F.lit(1), "grams": F.lit(2), "group_id": F.lit(3), "gone_": F.lit(4), "keep": F.lit(False)})
+    docs = documents(spark, rows).withColumns({"rep": F.lit(1), "grams": F.lit(2), "group_id": F.lit(3), "routes": F.lit(5), "n_links": F.lit(6), "gone_": F.lit(4), "keep": F.lit(False)})
     got = sorted(tuple(x) for x in nd.near_duplicates(docs).collect())
-    assert got == [(3, 3, True), (5, 3, False), (11, 11, True), (12, 11, False)]
+    assert got == [(3, 3, 1, True), (5, 3, 1, False), (11, 11, 1, True), (12, 11, 1, False)]
     rest = nd.without_near_duplicates(docs)
     assert rest.columns == docs.columns
     assert sorted((x.doc_id or 0) for x in rest.collect()) == [0, 3, 3, 7, 8, 9, 10, 11, 13]
