@@ -110,33 +110,65 @@ def _runs(least: int):
     return runs
 
 
-def shared_runs(earlier: pa.ListArray, earlier_chars: pa.ListArray, later: pa.ListArray, chars: pa.ListArray, least: int) -> list[np.ndarray]:
-    """Per row the places in ``later`` of all ``windows`` that ``earlier`` has too, wherever and however often."""
-    salt = np.uint64(0xD6E8FEB86659FD93)
-    row, _, _, key = windows(earlier, earlier_chars, least)
-    known = key + row.astype(np.uint64) * salt
-    row, first, last, key = windows(later, chars, least)
-    hit = np.isin(key + row.astype(np.uint64) * salt, known)
-    bounds = later.offsets.to_numpy().astype(np.int64) - later.offsets[0].as_py()
+def _covered(bounds: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+    """Per row the places, from the row's start, that lie in one of the spans."""
     depth = np.zeros(bounds[-1] + 1, np.int64)
-    np.add.at(depth, first[hit], 1)
-    np.add.at(depth, last[hit], -1)
+    np.add.at(depth, first, 1)
+    np.add.at(depth, last, -1)
     gone = np.cumsum(depth)[:-1] > 0
     return [np.flatnonzero(gone[i:j]) for i, j in zip(bounds[:-1], bounds[1:])]
 
 
+_SALT = np.uint64(0xD6E8FEB86659FD93)
+
+
+def shared_runs(earlier: pa.ListArray, earlier_chars: pa.ListArray, later: pa.ListArray, chars: pa.ListArray, least: int) -> list[np.ndarray]:
+    """Per row the places in ``later`` of all ``windows`` that ``earlier`` has too, wherever and however often."""
+    row, _, _, key = windows(earlier, earlier_chars, least)
+    return _places(later, chars, key, row, least)
+
+
+def _places(lines: pa.ListArray, chars: pa.ListArray, key: np.ndarray, row: np.ndarray, least: int) -> list[np.ndarray]:
+    """Per row the places of its ``windows`` with a hash that ``key`` has for that ``row``."""
+    known = key + row.astype(np.uint64) * _SALT
+    row, first, last, key = windows(lines, chars, least)
+    hit = np.isin(key + row.astype(np.uint64) * _SALT, known)
+    return _covered(lines.offsets.to_numpy().astype(np.int64) - lines.offsets[0].as_py(), first[hit], last[hit])
+
+
+def _slices(batch: pa.RecordBatch, *lists: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``SLICE_LINES`` lines in the columns ``lists``."""
+    size = np.cumsum(sum(np.diff(batch.column(k).offsets.to_numpy()) for k in lists))
+    cuts = np.flatnonzero(np.diff(size // SLICE_LINES)) + 1
+    for i, j in zip([0, *cuts], [*cuts, len(batch)]):
+        yield batch.slice(i, j - i)
+
+
+def _gone(batch: pa.RecordBatch, gone: list) -> pa.RecordBatch:
+    some = pa.array([len(g) > 0 for g in gone], pa.bool_())
+    return pa.RecordBatch.from_arrays([batch.column(0).filter(some), batch.column(1).filter(some), pa.array([g for g in gone if len(g)], pa.list_(pa.int32()))], ["id_", "th_", "gone"])
+
+
+def _delete(least: int):
+    """The places of each document's runs that are listed beside its lines."""
+
+    def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in _slices(whole, 2):
+                runs = batch.column(4)
+                key, row = runs.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(runs)), np.diff(runs.offsets.to_numpy()))
+                yield _gone(batch, _places(batch.column(2), batch.column(3), key, row, least))
+
+    return delete
+
+
 def _align(least: int):
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            size = np.cumsum(np.diff(whole.column(2).offsets.to_numpy()) + np.diff(whole.column(4).offsets.to_numpy()))
-            cuts = np.flatnonzero(np.diff(size // SLICE_LINES)) + 1
-            for i, j in zip([0, *cuts], [*cuts, len(whole)]):
-                batch = whole.slice(i, j - i)
+            for batch in _slices(whole, 2, 4):
                 earlier, later, chars = (batch.column(k) for k in (2, 4, 5))
-                gone = [common_blocks(x.values.to_pylist(), y.values.to_pylist(), z.values.to_pylist(), least) for x, y, z in zip(earlier, later, chars)]
-                gone = [sorted({*g, *r.tolist()}) for g, r in zip(gone, shared_runs(earlier, batch.column(3), later, chars, least))]
-                some = pa.array([bool(g) for g in gone])
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(some), batch.column(1).filter(some), pa.array([g for g in gone if g], pa.list_(pa.int32()))], ["id_", "th_", "gone"])
+                blocks = [common_blocks(x.values.to_pylist(), y.values.to_pylist(), z.values.to_pylist(), least) for x, y, z in zip(earlier, later, chars)]
+                yield _gone(batch, [sorted({*g, *r.tolist()}) for g, r in zip(blocks, shared_runs(earlier, batch.column(3), later, chars, least))])
 
     return align
 
@@ -148,30 +180,31 @@ def line_table(docs: DataFrame) -> DataFrame:
     return rows.select(*_KEY, F.transform("l", lambda x: F.when(x == "", F.lit(0).cast("long")).otherwise(F.xxhash64(x))).alias("lines"), F.transform("l", F.length).alias("chars"))
 
 
-def overlapping(runs: DataFrame, rare: int = RARE) -> DataFrame:
-    """Pairs ``(id_, th_, eid_, eth_)`` of a later and an earlier document that share a run of lines.
+def overlapping(runs: DataFrame, rare: int = RARE) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``(id_, th_, eid_, eth_)`` of a later and an earlier document that share a rare run of lines, one that at most ``rare``
+    documents have; and the commoner runs ``(id_, th_, runs)`` of each document that isn't the first to have them.
 
-    A rare run, one that at most ``rare`` documents have, pairs all of them; a commoner one pairs each document with the first
-    that has it. The first keeps its lines and the others lose the run wherever they have it (``shared_runs``), also where no
-    alignment with the first holds, so further partners would add nothing."""
+    A common run needs no partner: all but the first lose it wherever they have it, which is what an alignment with the first and
+    ``shared_runs`` would come to. So no document's lines go to more partners than its rare runs have holders."""
     doc = F.struct(*_KEY)
     stats = runs.groupBy("run").agg(F.count("*").alias("df"), F.min(doc).alias("first")).where("df > 1")
     shared = runs.join(stats, "run")
-    common = shared.where(F.col("df") > rare).where(doc > F.col("first")).select(*_KEY, "first.*").toDF(*_KEY, "eid_", "eth_")
+    common = shared.where(F.col("df") > rare).where(doc > F.col("first")).groupBy(*_KEY).agg(F.collect_list("run").alias("runs"))
     groups = shared.where(F.col("df") <= rare).groupBy("run").agg(F.sort_array(F.collect_list(doc)).alias("docs"))
     pairs = groups.select(F.posexplode("docs").alias("k", "d"), "docs").select("d", F.explode(F.slice("docs", F.lit(1), F.col("k"))).alias("e"))
-    return common.union(pairs.select("d.*", "e.id_", "e.th_").toDF(*_KEY, "eid_", "eth_")).distinct()
+    return pairs.select("d.*", "e.id_", "e.th_").toDF(*_KEY, "eid_", "eth_").distinct(), common
 
 
 def deletions(docs: DataFrame, min_block_chars: int = MIN_BLOCK_CHARS, rare: int = RARE) -> DataFrame:
     """``(id_, th_, gone)``: the places of the lines to delete from each later document."""
     lines = written(line_table(docs), "lines")
     runs = written(lines.mapInArrow(_runs(min_block_chars), "id_ long, th_ long, run long").distinct(), "runs")
-    pairs = written(overlapping(runs, rare), "pairs")
+    pairs, common = (written(x, name) for x, name in zip(overlapping(runs, rare), ("pairs", "common")))
     sides = lines.dropDuplicates(_KEY)
     early = sides.select(F.col("id_").alias("eid_"), F.col("th_").alias("eth_"), F.col("lines").alias("earlier"), F.col("chars").alias("earlier_chars"))
+    schema = "id_ long, th_ long, gone array<int>"
     both = pairs.join(early, ["eid_", "eth_"]).join(sides, _KEY).select(*_KEY, "earlier", "earlier_chars", "lines", "chars")
-    found = both.mapInArrow(_align(min_block_chars), "id_ long, th_ long, gone array<int>")
+    found = both.mapInArrow(_align(min_block_chars), schema).union(sides.join(common, _KEY).select(*_KEY, "lines", "chars", "runs").mapInArrow(_delete(min_block_chars), schema))
     return found.groupBy(*_KEY).agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
 
@@ -180,24 +213,24 @@ def line_dedup(docs: DataFrame, min_block_chars: int = MIN_BLOCK_CHARS, rare: in
     is such a column), and ``removed_lines``, ``removed_chars``.
 
     Documents are ordered by (doc_id, hash of the text). Two overlap if they share a run of whole lines with
-    ``min_block_chars`` characters, spaces and carriage returns at the ends of lines aside; ``overlapping`` says which pairs are aligned.
-    Of an aligned pair the later document loses each block with so many characters, and each run with so many that the earlier
-    one has in another order or more than once; shorter shared lines, such as common short sentences, stay.
+    ``min_block_chars`` characters, spaces and carriage returns at the ends of lines aside. Those that share a rare one are aligned (``overlapping``):
+    the later document loses each block with so many characters, and each run with so many that the earlier
+    one has in another order or more than once. A common run goes from all but the first that has it; shorter shared lines, such as common short sentences, stay.
 
     Rows without id or text, and empty texts, pass unchanged with 0 removed. Rows equal in id and text are one document and
     lose the same lines; rows of one id with different texts are different documents. Lines repeated within a document
     stay if no earlier document has them. A document that only has deleted lines keeps an empty text. Extra columns pass through; columns named
-    ``removed_lines`` or ``removed_chars`` are replaced. An empty table gives an empty one."""
-    columns = [c for c in docs.columns if c not in ("removed_lines", "removed_chars")]
+    ``removed_lines`` or ``removed_chars``, in any case, are replaced. An empty table gives an empty one."""
+    columns = [c for c in docs.columns if c.lower() not in ("removed_lines", "removed_chars")]
     gone = deletions(docs, min_block_chars, rare).withColumnsRenamed({"id_": "ld_id", "th_": "ld_hash", "gone": "ld_gone"})
     hit = docs.join(gone, (docs["doc_id"] == gone["ld_id"]) & (F.xxhash64(docs["text"]) == gone["ld_hash"]), "left")
     kept = F.array_join(F.filter(F.split(docs["text"], "\n", -1), lambda x, i: ~F.array_contains(gone["ld_gone"], i)), "\n")
     text = F.when(gone["ld_gone"].isNull(), docs["text"]).otherwise(kept)
     out = []
     for c in columns:
-        if c == "text":
-            out.append(text.alias("text"))
-        elif c == "n_chars":
+        if c.lower() == "text":
+            out.append(text.alias(c))
+        elif c.lower() == "n_chars":
             out.append(F.when(gone["ld_gone"].isNull(), docs[c]).otherwise(F.length(text).cast(docs.schema[c].dataType)).alias(c))
         else:
             out.append(docs[c])

@@ -103,7 +103,7 @@ def held(rows, least):
     return gone
 
 
-@pytest.mark.parametrize("holders", [2, 5, 9, 30])
+@pytest.mark.parametrize("holders", [2, 8, 9, 200])
 @pytest.mark.parametrize("kind", ["swapped", "twice", "longer"])
 def test_no_run_stays_in_a_later_document_however_the_first_has_it(spark, holders, kind):
     one, two = " ".join(words(1, 40)), [" ".join(words(2 + k, 9)) for k in range(4)]
@@ -114,3 +114,18 @@ def test_no_run_stays_in_a_later_document_however_the_first_has_it(spark, holder
     for (_, text), gone, x in zip(rows, held(rows, 120), got):
         assert x.text == "\n".join(line for k, line in enumerate(text.split("\n")) if k not in gone)
     assert got[0].text == rows[0][1] and not any(one in x.text or two[0] in x.text for x in got[1:])
+
+
+def test_where_rare_ends_and_common_begins_changes_nothing(spark):
+    r = random.Random(11)
+    blocks = [[" ".join(words(700 + 10 * k + j, 9)) for j in range(3)] for k in range(8)]
+    rows = []
+    for i in range(60):
+        parts = [blocks[k] for k in r.sample(range(8), r.randint(1, 4))] + [[f"own {i} {n}"] for n in range(3)]
+        r.shuffle(parts)
+        rows.append((i, "\n".join(x for p in parts for x in p)))
+    docs = documents(spark, rows)
+    got = [sorted((x.doc_id, x.text) for x in line_dedup(docs, rare=rare).collect()) for rare in (1, 8, 1000)]
+    assert got[0] == got[1] == got[2]
+    for (_, text), gone, (_, left) in zip(rows, held(rows, 120), got[0]):
+        assert left == "\n".join(line for k, line in enumerate(text.split("\n")) if k not in gone)
