@@ -14,6 +14,8 @@ from sextant.llm.sample import bytes_of
 
 HEAD, MIDDLE, END = "<|im_start|>", "\n", "<|im_end|>\n"
 _PIECE = 8 << 20
+#: Bytes of conversations that are put together at once.
+BATCH_BYTES = 64 << 20
 
 
 def assemble(roles: pa.Array, texts: pa.Array, turns: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -54,9 +56,14 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = batch.column(1)
         turns = lists.offsets.to_numpy().astype(np.int64)
         rows = lists.values.slice(turns[0], turns[-1] - turns[0])
-        text, spoken = assemble(rows.field("role"), rows.field("text"), turns - turns[0])
-        n_bytes = pc.binary_length(text).cast(pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), text.cast(pa.string()), pa.array(np.diff(turns)), n_bytes, pa.array(spoken)], ["conv_id", "formatted", "n_turns", "n_bytes", "assistant_bytes"])
+        turns -= turns[0]
+        size = np.concatenate([[0], np.cumsum(sum(pc.fill_null(pc.binary_length(rows.field(c)), 0).to_numpy().astype(np.int64) for c in ("role", "text")))])
+        cuts = np.flatnonzero(np.diff(size[turns[1:]] // BATCH_BYTES)) + 1  # a batch of long texts doesn't fit into one string array
+        for i, j in zip([0, *cuts], [*cuts, len(batch)]):
+            own = rows.slice(turns[i], turns[j] - turns[i])
+            text, spoken = assemble(own.field("role"), own.field("text"), turns[i : j + 1] - turns[i])
+            n_bytes = pc.binary_length(text).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), text.cast(pa.string()), pa.array(np.diff(turns[i : j + 1])), n_bytes, pa.array(spoken)], ["conv_id", "formatted", "n_turns", "n_bytes", "assistant_bytes"])
 
 
 def chats(conversations: DataFrame) -> DataFrame:
@@ -64,7 +71,8 @@ def chats(conversations: DataFrame) -> DataFrame:
     ``<|im_start|>role``, a line break, the text, ``<|im_end|>`` and a line break.
 
     Turns go by (turn, role, text), nulls first, so ties and repeated rows have one order and all appear. A null role is ``unknown``,
-    a null text empty; rows without conv_id form one conversation without an id. Other columns are not read. An empty table gives no rows."""
+    a null text empty; rows without conv_id form one conversation without an id. A conversation may have up to
+    2 GB, the most that a string can. Other columns are not read. An empty table gives no rows."""
     turn = F.struct(F.col("turn").cast("long").alias("turn"), "role", "text")
     lists = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     return lists.mapInArrow(_format, "conv_id long, formatted string, n_turns long, n_bytes long, assistant_bytes long")

@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from sextant.llm import chat
 from sextant.llm.chat import chats
 from sextant.llm.queries import ORACLE, QUERIES
 from tests.oracle import assert_same
@@ -29,3 +30,17 @@ def test_against_string_building(spark):
 
 def test_empty(spark):
     assert chats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_batches_are_cut_by_their_bytes(monkeypatch):
+    import pyarrow as pa
+
+    r = random.Random(4)
+    turns = [[{"turn": t, "role": r.choice(["user", None, "assistant"]), "text": r.choice([None, "", "a" * r.randint(0, 500)])} for t in range(r.randint(0, 6))] for _ in range(80)]
+    kind = pa.list_(pa.struct([("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(80), pa.int64()), pa.array(turns, kind)], ["conv_id", "turns"]).slice(7, 60)
+    whole = pa.Table.from_batches(list(chat._format([batch])))
+    monkeypatch.setattr(chat, "BATCH_BYTES", 700)
+    parts = list(chat._format([batch]))
+    assert len(parts) > 10 and pa.Table.from_batches(parts).to_pydict() == whole.to_pydict()
+    assert whole["formatted"].to_pylist() == ["".join(f"<|im_start|>{t['role'] or 'unknown'}\n{t['text'] or ''}<|im_end|>\n" for t in c) for c in turns[7:67]]
