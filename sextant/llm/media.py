@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +15,12 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 _CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 _DEPTHS = {0: (1, 2, 4, 8, 16), 2: (8, 16), 3: (1, 2, 4, 8), 4: (8, 16), 6: (8, 16)}
 _ADAM7 = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
-#: Pixels above which an image is refused, as the bytes of a small file may claim any size.
-MAX_PIXELS = 1 << 26
+#: Bytes of a scan line above which an image is refused, as a small file may claim lines of any length; of images there is no limit.
+MAX_LINE = 1 << 26
+#: Bytes of scan lines above which an image is inflated and hashed by itself, band by band.
+WHOLE_BYTES = 1 << 24
+#: Pixels that are turned into luminance at once.
+BAND_PIXELS = 1 << 20
 
 
 class BadImage(ValueError):
@@ -43,27 +47,53 @@ def chunks(data: bytes) -> list[tuple[bytes, bytes]]:
 
 
 def parse(data: bytes) -> tuple[tuple[int, int, int, int, int], bytes, bytes]:
-    """(width, height, depth, colour type, interlace), the inflated scan lines, and the palette."""
+    """(width, height, depth, colour type, interlace), the deflated scan lines, and the palette."""
     parts = chunks(data)
     if not parts or parts[0][0] != b"IHDR" or len(parts[0][1]) != 13:
         raise BadImage("bad header")
     w, h, depth, colour, method, filters, lace = struct.unpack(">IIBBBBB", parts[0][1])
     if not w or not h or depth not in _DEPTHS.get(colour, ()) or method or filters or lace > 1:
         raise BadImage("bad header")
-    if w * h > MAX_PIXELS:
-        raise BadImage("too large")
+    if _stride(w, depth, colour) > MAX_LINE:
+        raise BadImage("too wide")
     palette = b"".join(b for k, b in parts if k == b"PLTE")
     if colour == 3 and (not palette or len(palette) % 3):
         raise BadImage("bad palette")
-    want = sum(ph * (1 + _stride(pw, depth, colour)) for _, _, pw, ph in _passes(w, h, lace))
-    inflate = zlib.decompressobj()
-    try:
-        raw = inflate.decompress(b"".join(b for k, b in parts if k == b"IDAT"), want + 1)
-    except zlib.error:
-        raise BadImage("bad data") from None
-    if len(raw) != want or not inflate.eof:
-        raise BadImage("bad data")
-    return (w, h, depth, colour, lace), raw, palette
+    return (w, h, depth, colour, lace), b"".join(b for k, b in parts if k == b"IDAT"), palette
+
+
+def line_bytes(shape: tuple[int, int, int, int, int]) -> int:
+    """Bytes of an image's scan lines with their filters."""
+    w, h, depth, colour, lace = shape
+    return sum(ph * (1 + _stride(pw, depth, colour)) for _, _, pw, ph in _passes(w, h, lace))
+
+
+class Inflated:
+    """Scan lines in order, inflated no further than asked for."""
+
+    def __init__(self, deflated: bytes):
+        self.inflate, self.rest = zlib.decompressobj(), deflated
+
+    def take(self, size: int) -> bytes:
+        out = []
+        try:
+            while size:
+                out.append(self.inflate.decompress(self.rest, size))
+                self.rest = self.inflate.unconsumed_tail
+                size -= len(out[-1])
+                if not out[-1]:
+                    raise BadImage("bad data")
+        except zlib.error:
+            raise BadImage("bad data") from None
+        return b"".join(out)
+
+    def end(self) -> None:
+        """Fails unless all has been taken."""
+        try:
+            if self.inflate.decompress(self.rest, 1) or not self.inflate.eof:
+                raise BadImage("bad data")
+        except zlib.error:
+            raise BadImage("bad data") from None
 
 
 def _stride(w: int, depth: int, colour: int) -> int:
@@ -77,13 +107,16 @@ def _passes(w: int, h: int, lace: int) -> list[tuple[tuple, tuple, int, int]]:
     return [p for p in each if p[2] > 0 and p[3] > 0]
 
 
-def unfilter(lines: np.ndarray, bpp: int) -> np.ndarray:
+def unfilter(lines: np.ndarray, bpp: int, above: np.ndarray | None = None) -> np.ndarray:
     """Undoes the line filters of many images of one shape: uint8 [images, rows, 1 + stride] to [images, rows, stride].
+    ``above`` has the rows before the first, if there are any.
 
     Rows go one by one; within a row, images with the same filter are done together. None, left (running sums) and up take whole rows; mean
     and Paeth advance by a pixel over all their images."""
     n, h, stride = lines.shape[0], lines.shape[1], lines.shape[2] - 1
     out = np.zeros((n, h + 1, stride), np.uint8)
+    if above is not None:
+        out[:, 0] = above
     if (lines[:, :, 0] > 4).any():
         raise BadImage("bad filter")
     for y in range(h):
@@ -102,10 +135,10 @@ def unfilter(lines: np.ndarray, bpp: int) -> np.ndarray:
                 continue
             r, u = row[m].astype(np.int16), up[m].astype(np.int16)
             done = np.zeros((len(m), stride + bpp), np.int16)
-            above = np.concatenate([np.zeros((len(m), bpp), np.int16), u], axis=1)
+            left_up = np.concatenate([np.zeros((len(m), bpp), np.int16), u], axis=1)
             for x in range(0, stride, bpp):
                 end = min(x + bpp, stride)
-                a, b, c = done[:, x : x + end - x], u[:, x:end], above[:, x : x + end - x]
+                a, b, c = done[:, x:end], u[:, x:end], left_up[:, x:end]
                 if k == 3:
                     guess = (a + b) >> 1
                 else:
@@ -146,23 +179,29 @@ def grey(x: np.ndarray, colour: int, palette: bytes = b"") -> np.ndarray:
     return light
 
 
-def _decode(shape: tuple[int, int, int, int, int], raws: list[bytes], palette: bytes) -> np.ndarray:
+def bands(shape: tuple[int, int, int, int, int], n: int, take: Callable[[int], np.ndarray], palette: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows, columns and luminance [images, rows, columns] of ``n`` images of one shape, some pixels at a time; ``take`` gives the next scan
+    lines' bytes, uint8 [images, bytes]."""
     w, h, depth, colour, lace = shape
-    data = np.frombuffer(b"".join(raws), np.uint8).reshape(len(raws), -1)
-    bpp = max(1, depth * _CHANNELS[colour] // 8)
-    out, at = np.zeros((len(raws), h, w, _CHANNELS[colour]), np.uint8), 0
+    bits = depth * _CHANNELS[colour]
+    wide = min(1 << 16, max(8, BAND_PIXELS // n // 8 * 8))  # whole bytes
     for (x, dx), (y, dy), pw, ph in _passes(w, h, lace):
-        size = ph * (1 + _stride(pw, depth, colour))
-        rows = unfilter(data[:, at : at + size].reshape(len(raws), ph, -1), bpp)
-        out[:, y::dy, x::dx] = samples(rows, pw, depth, colour)
-        at += size
-    return grey(out, colour, palette)
-
-
-def _shrink(n: int, to: int = 32) -> np.ndarray:
-    """Rows that average n places into ``to`` boxes of equal width."""
+        line, above = 1 + _stride(pw, depth, colour), None
+        step = max(1, BAND_PIXELS // (n * pw))
+        for top in range(0, ph, step):
+            k = min(step, ph - top)
+            rows = unfilter(take(k * line).reshape(n, k, line), max(1, bits // 8), above)
+            above = rows[:, -1]
+            for c in range(0, pw, wide):
+                m = min(wide, pw - c)
+                part = rows[:, :, c * bits // 8 : ((c + m) * bits + 7) // 8]
+                yield y + dy * np.arange(top, top + k), x + dx * np.arange(c, c + m), grey(samples(part, m, depth, colour), colour, palette)
+
+
+def _shrink(n: int, at: np.ndarray | None = None, to: int = 32) -> np.ndarray:
+    """Rows that average n places, or those at ``at`` of them, into ``to`` boxes of equal width."""
     edges = np.linspace(0, n, to + 1)
-    at = np.arange(n)
+    at = np.arange(n) if at is None else at
     part = np.minimum(edges[1:, None], at + 1) - np.maximum(edges[:-1, None], at)
     return np.maximum(part, 0) * (to / n)
 
@@ -170,44 +209,80 @@ def _shrink(n: int, to: int = 32) -> np.ndarray:
 _DCT = np.cos(np.pi * (2 * np.arange(32) + 1) * np.arange(8)[:, None] / 64)
 
 
-def cosine_hashes(light: np.ndarray) -> np.ndarray:
-    """64 bits per image as uint8 [images, 8]: which of the 8 x 8 lowest frequencies of the image, averaged to 32 x 32, exceed
+def cosine_hashes(small: np.ndarray) -> np.ndarray:
+    """64 bits for each image averaged to 32 x 32, as uint8 [images, 8]: which of its 8 x 8 lowest frequencies exceed
     the median of those without the constant one, whose bit is 0."""
-    small = _shrink(light.shape[1]) @ light @ _shrink(light.shape[2]).T
-    low = np.round(_DCT @ small @ _DCT.T, 4).reshape(len(light), 64)
-    bits = low > np.median(low[:, 1:], axis=1, keepdims=True)
-    bits[:, 0] = False
-    return np.packbits(bits, axis=1)
+    low = np.round(_DCT @ small @ _DCT.T, 4).reshape(len(small), 64)
+    out = low > np.median(low[:, 1:], axis=1, keepdims=True)
+    out[:, 0] = False
+    return np.packbits(out, axis=1)
+
+
+def averaged(shape: tuple[int, int, int, int, int], n: int, take: Callable[[int], np.ndarray], palette: bytes) -> np.ndarray:
+    """The images averaged to 32 x 32, band by band."""
+    small = np.zeros((n, 32, 32))
+    for rows, columns, light in bands(shape, n, take, palette):
+        small += _shrink(shape[1], rows) @ light @ _shrink(shape[0], columns).T
+    return small
+
+
+def _stacked(raws: list[bytes]) -> Callable[[int], np.ndarray]:
+    data, at = np.frombuffer(b"".join(raws), np.uint8).reshape(len(raws), -1), 0
+
+    def take(size: int) -> np.ndarray:
+        nonlocal at
+        at += size
+        return data[:, at - size : at]
+
+    return take
 
 
 def hash_images(images: list[bytes | None]) -> tuple[list, list, list, list]:
-    """Widths, heights, states and hashes. Images of one shape and palette are unfiltered and hashed together."""
+    """Widths, heights, states and hashes. Images of one shape and palette are unfiltered and hashed together, large ones by themselves."""
     n = len(images)
     width, height, state, out = [None] * n, [None] * n, [None] * n, [None] * n
     groups: dict[tuple, list[tuple[int, bytes]]] = {}
-    for i, data in enumerate(images):
-        if data is None:
-            continue
-        try:
-            shape, raw, palette = parse(data)
-            width[i], height[i] = shape[:2]
-            groups.setdefault((shape, palette), []).append((i, raw))
-        except BadImage as e:
-            state[i] = str(e)
-    for (shape, palette), rows in groups.items():
-        step = max(1, (1 << 24) // (shape[0] * shape[1]))
-        for k in range(0, len(rows), step):
-            parts = [rows[k : k + step]]
+    held = 0
+
+    def flush() -> None:
+        for (shape, palette), rows in groups.items():
+            parts = [rows]
             while parts:
                 part = parts.pop()
                 try:
-                    for (i, _), code in zip(part, cosine_hashes(_decode(shape, [r for _, r in part], palette))):
+                    small = averaged(shape, len(part), _stacked([r for _, r in part]), palette)
+                    for (i, _), code in zip(part, cosine_hashes(small)):
                         state[i], out[i] = "ok", code.tobytes()
                 except BadImage as e:
                     if len(part) == 1:
                         state[part[0][0]] = str(e)
                     else:  # one of them is bad: each alone
                         parts += [[x] for x in part]
+        groups.clear()
+
+    for i, data in enumerate(images):
+        if data is None:
+            continue
+        try:
+            shape, deflated, palette = parse(data)
+            lines, size = Inflated(deflated), line_bytes(shape)
+            width[i], height[i] = shape[:2]
+            if size > WHOLE_BYTES:
+                small = averaged(shape, 1, lambda k: np.frombuffer(lines.take(k), np.uint8)[None], palette)  # noqa: B023
+                lines.end()
+                state[i], out[i] = "ok", cosine_hashes(small)[0].tobytes()
+                continue
+            raw = lines.take(size)
+            lines.end()
+        except BadImage as e:
+            state[i] = str(e)
+            continue
+        groups.setdefault((shape, palette), []).append((i, raw))
+        held += size
+        if held > WHOLE_BYTES:
+            flush()
+            held = 0
+    flush()
     return width, height, state, out
 
 
@@ -215,7 +290,7 @@ def image_hashes(media: DataFrame, key: str, image: str = "image") -> DataFrame:
     """``(key, width, height, state, hash)`` for every row: ``hash`` is binary, 8 bytes; ``state`` is ``ok`` or why there is none.
 
     A null image has nulls throughout, an image that can't be read has its reason. All PNG colour types, depths, filters and
-    interlacing are read; the palette's transparency is not. Rows that repeat have equal results; null keys stay. Other
+    interlacing are read, of any size up to scan lines of ``MAX_LINE`` bytes; the palette's transparency is not. Rows that repeat have equal results; null keys stay. Other
     columns are not read. An empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sextant.llm.media import _ADAM7, SIGNATURE, _decode, cosine_hashes, encode, hash_images, image_hashes, parse, rendered
+from sextant.llm import media
+from sextant.llm.media import _ADAM7, SIGNATURE, Inflated, _shrink, averaged, bands, cosine_hashes, encode, hash_images, image_hashes, line_bytes, parse, rendered
 
 
 def build(raw: bytes, w, h, depth, colour, lace=0, extra=()):
@@ -14,8 +15,16 @@ def build(raw: bytes, w, h, depth, colour, lace=0, extra=()):
 
 
 def decoded(data):
-    shape, raw, palette = parse(data)
-    return _decode(shape, [raw], palette)[0]
+    shape, deflated, palette = parse(data)
+    lines, out = Inflated(deflated), np.full((shape[1], shape[0]), -1.0)
+    for rows, columns, light in bands(shape, 1, lambda k: np.frombuffer(lines.take(k), np.uint8)[None], palette):
+        out[np.ix_(rows, columns)] = light[0]
+    lines.end()
+    return out
+
+
+def whole(light):
+    return cosine_hashes((_shrink(light.shape[0]) @ light @ _shrink(light.shape[1]).T)[None])[0]
 
 
 def test_all_filters_round_trip():
@@ -52,9 +61,48 @@ def test_hash_against_the_sum_of_its_definition():
     low = np.array([[sum(x[i, j] * np.cos(np.pi * (2 * i + 1) * u / 64) * np.cos(np.pi * (2 * j + 1) * v / 64) for i in range(32) for j in range(32)) for v in range(8)] for u in range(8)]).ravel()
     bits = low > np.median(low[1:])
     bits[0] = False
-    assert (np.unpackbits(cosine_hashes(x[None])[0]) == bits).all()
-    bigger = x.repeat(3, 0).repeat(3, 1)
-    assert (cosine_hashes(bigger[None]) == cosine_hashes(x[None])).all()
+    assert (np.unpackbits(whole(x)) == bits).all()
+    assert (whole(x.repeat(3, 0).repeat(3, 1)) == whole(x)).all()
+
+
+@pytest.mark.parametrize("lace", [0, 1])
+@pytest.mark.parametrize("band,wide", [(1 << 20, 1 << 24), (300, 1 << 24), (300, 1000), (8, 0)])
+def test_bands_of_any_size_give_one_hash(monkeypatch, lace, band, wide):
+    monkeypatch.setattr(media, "BAND_PIXELS", band)
+    monkeypatch.setattr(media, "WHOLE_BYTES", wide)
+    r = np.random.default_rng(8)
+    grey, rgb = r.integers(0, 256, (61, 47), dtype=np.uint8), r.integers(0, 256, (61, 47, 3), dtype=np.uint8)
+    one = r.integers(0, 2, (61, 47), dtype=np.uint8)
+    passes = _ADAM7 if lace else ((0, 0, 1, 1),)
+    lines = lambda x, f: b"".join(b"\0" + f(row) for a, b, dx, dy in passes for row in x[b::dy, a::dx] if row.size)
+    cases = [(lines(grey, bytes), 8, 0, grey), (lines(rgb, lambda row: row.tobytes()), 8, 2, rgb @ np.array([0.299, 0.587, 0.114])), (lines(one, lambda row: np.packbits(row).tobytes()), 1, 0, one * 255.0)]
+    images = [build(raw, 47, 61, depth, colour, lace) for raw, depth, colour, _ in cases for _ in range(2)]
+    *_, states, out = hash_images(images)
+    assert states == ["ok"] * 6
+    assert [bytes(x) for x in out] == [whole(light).tobytes() for *_, light in cases for _ in range(2)]
+
+
+def test_a_large_image_takes_little_memory():
+    import tracemalloc
+
+    data = encode(np.zeros((6000, 6000), np.uint8), np.full(6000, 2))
+    tracemalloc.start()
+    *_, state, out = hash_images([data])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert state == ["ok"] and len(out[0]) == 8 and peak < 60 << 20
+    assert line_bytes(parse(data)[0]) == 6000 * 6001 and averaged(parse(data)[0], 1, Counted(6001), b"").max() == 0
+
+
+class Counted:
+    """Scan lines of nothing."""
+
+    def __init__(self, line):
+        self.line = line
+
+    def __call__(self, size):
+        assert size % self.line == 0
+        return np.zeros((1, size), np.uint8)
 
 
 @pytest.mark.parametrize("damage,state", [
@@ -65,7 +113,9 @@ def test_hash_against_the_sum_of_its_definition():
     (lambda d: build(b"\7" + bytes(4), 4, 1, 8, 0), "bad filter"),
     (lambda d: build(bytes(3), 4, 1, 8, 0), "bad data"),
     (lambda d: build(b"", 0, 1, 8, 0), "bad header"),
-    (lambda d: build(b"", 1 << 20, 1 << 20, 8, 0), "too large"),
+    (lambda d: build(b"", 1 << 20, 1 << 20, 8, 0), "bad data"),
+    (lambda d: build(b"", 1 << 28, 4, 8, 0), "too wide"),
+    (lambda d: build(bytes(6), 4, 1, 8, 0), "bad data"),
     (lambda d: build(bytes(5), 4, 1, 8, 3), "bad palette"),
 ])
 def test_damage_is_named(damage, state):
