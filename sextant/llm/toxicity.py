@@ -19,68 +19,96 @@ THRESHOLD = 0.5
 LENGTH = 10.0
 
 
-class Grams:
+def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Places of the character n-grams of a text (lower case, each run of white space one blank, a blank at both ends), hashed to
-    ``2 ** BITS``, and how often each occurs. Scratch tables count and mark each place's last use, so no sort is needed."""
-
-    def __init__(self) -> None:
-        self.last = np.zeros(1 << BITS, np.int64)
-        self.times = np.zeros(1 << BITS, np.int64)
-
-    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        c = np.frombuffer((" " + " ".join(text.lower().split()) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
-        parts, h = [], c
-        for n in range(2, max(ORDERS) + 1):
-            h = h[:-1] * np.uint32(0x01000193) + c[n - 1 :] if len(h) else h
-            if n in ORDERS:
-                parts.append(((h ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS))
-        g = np.concatenate(parts)
-        at = np.arange(len(g))
-        self.last[g] = at
-        np.add.at(self.times, g, 1)
-        g = g[self.last[g] == at]
-        n = self.times[g]
-        self.times[g] = 0
-        return g, n
+    ``2 ** BITS``, in rising order, and how often each occurs."""
+    c = np.frombuffer((" " + " ".join(text.lower().split()) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+    g = np.empty(sum(max(0, len(c) - n + 1) for n in ORDERS), np.uint32)
+    h, at = c, 0
+    for n in range(2, max(ORDERS) + 1):
+        h = h[:-1] * np.uint32(0x01000193)
+        h += c[n - 1 :]
+        if n in ORDERS and len(h):
+            out = g[at : at + len(h)]
+            np.multiply(h ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF), np.uint32(0x85EBCA6B), out=out)
+            at += len(h)
+        if not len(h):
+            break
+    g = g[:at] >> np.uint32(32 - BITS)
+    g.sort()
+    ends = np.append(np.flatnonzero(g[1:] != g[:-1]), len(g) - 1) if len(g) else np.zeros(0, np.int64)
+    return g[ends], np.diff(ends, prepend=-1)
 
 
 def _shares(n: np.ndarray) -> np.ndarray:
     """Counts at length ``LENGTH``: a long text counts no more than a short one, and what it says often more than what it says once."""
-    return n * (LENGTH / np.sqrt(max(1.0, float((n * n).sum()))))
+    x = n.astype(np.float64)
+    return x * (LENGTH / np.sqrt(max(1.0, float(x @ x))))
 
 
-def fit(texts: pa.Array, labels: np.ndarray, steps: int = 80, penalty: float = 1.0) -> dict[str, np.ndarray]:
+class _Table:
+    """A sparse matrix by rows and by columns, for products with vectors; all in single precision, as they steer steps only."""
+
+    def __init__(self, row: np.ndarray, col: np.ndarray, x: np.ndarray, shape: tuple[int, int]):
+        self.shape = shape
+        order = np.argsort(col, kind="stable")
+        self.sides = [self._side(row, col, x), self._side(col[order], row[order], x[order])]
+
+    @staticmethod
+    def _side(major: np.ndarray, minor: np.ndarray, x: np.ndarray) -> tuple:
+        starts = np.flatnonzero(np.concatenate([[True], major[1:] != major[:-1]])) if len(major) else np.zeros(0, np.int64)
+        return major[starts], starts, minor.astype(np.int32), x.astype(np.float32)
+
+    def times(self, v: np.ndarray, turned: bool = False) -> np.ndarray:
+        """The product with ``v``, or, ``turned``, that of the transpose."""
+        at, starts, minor, x = self.sides[turned]
+        out = np.zeros(self.shape[turned])
+        if len(starts):
+            out[at] = np.add.reduceat(v.astype(np.float32)[minor] * x, starts)
+        return out
+
+
+def ratios(places: np.ndarray, value: np.ndarray, toxic: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The naive Bayes log-count ratio of each place: its smoothed sum of shares a toxic text against that a text of the others."""
+    least = value.mean() if len(value) else 1.0
+    total = np.bincount(places, weights=value, minlength=1 << BITS)
+    p = np.bincount(places[toxic], weights=value[toxic], minlength=1 << BITS)
+    return np.log((p + least) / y.sum()) - np.log((np.maximum(total - p, 0) + least) / (1 - y).sum())
+
+
+def fit(texts: pa.Array, labels: np.ndarray, steps: int = 40, penalty: float = 1.0) -> dict[str, np.ndarray]:
     """Weights by hashed n-gram and the intercept.
 
     The log-count ratio r of an n-gram compares its smoothed share among toxic and other texts; a logistic regression with
-    both classes of equal weight runs over shares times r, by accelerated gradient steps."""
-    grams, y = Grams(), labels.astype(np.float64)
+    both classes of equal weight runs over shares times r, by accelerated gradient steps as long as the loss's largest curvature allows."""
+    y = labels.astype(np.float64)
     if y.min() == y.max():
         return {"weights": np.zeros(1 << BITS, np.float32), "bias": np.array([60.0 if y.max() else -60.0])}
-    rows = [grams.of(t) for t in texts.to_pylist()]
-    size = np.array([len(g) for g, _ in rows])
+    rows = [grams(t) for t in texts.to_pylist()]
+    row = np.repeat(np.arange(len(y)), [len(g) for g, _ in rows])
     places = np.concatenate([g for g, _ in rows]).astype(np.int64)
     value = np.concatenate([_shares(n) for _, n in rows])
-    row = np.repeat(np.arange(len(y)), size)
-    least = value.mean() if len(value) else 1.0
-    total = np.bincount(places, weights=value, minlength=1 << BITS)
-    p = np.bincount(places, weights=y[row] * value, minlength=1 << BITS)
-    ratio = np.log((p + least) / y.sum()) - np.log((np.maximum(total - p, 0) + least) / (1 - y).sum())
+    ratio = ratios(places, value, y[row] == 1, y)
     used = np.flatnonzero((np.bincount(places, minlength=1 << BITS) >= 3) & (np.abs(ratio) > 0.1))
     index = np.full(1 << BITS, -1)
     index[used] = np.arange(len(used))
     col = index[places]
-    row, value, col = row[col >= 0], value[col >= 0], col[col >= 0]
     r = ratio[used]
-    x = r[col] * value
+    row, value, col = row[col >= 0], value[col >= 0], col[col >= 0]
+    x = _Table(row, col, r[col] * value, (len(y), len(used)))
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
-    scale = np.bincount(row, weights=x * x, minlength=len(y))
-    step = 1.0 / (0.25 * (scale * weight).sum() + penalty / len(y) + 0.25)
+    v, vb, most = np.full(len(used), 1.0), 1.0, 1.0
+    for _ in range(10):  # the largest curvature, by powers
+        norm = np.sqrt(v @ v + vb * vb) or 1.0
+        u = weight * (x.times(v / norm) + vb / norm)
+        v, vb = x.times(u, True), u.sum()
+        most = np.sqrt(v @ v + vb * vb)
+    step = 1.0 / (0.25 * 1.1 * most + penalty / len(y))
     w, bias, pw, pb, t = np.zeros(len(used)), 0.0, np.zeros(len(used)), 0.0, 1.0
     for _ in range(steps):
-        z = np.bincount(row, weights=w[col] * x, minlength=len(y)) + bias
+        z = x.times(w) + bias
         slope = weight * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y)
-        nw = w - step * (np.bincount(col, weights=slope[row] * x, minlength=len(used)) + penalty / len(y) * w)
+        nw = w - step * (x.times(slope, True) + penalty / len(y) * w)
         nb = bias - step * slope.sum()
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         w, bias, pw, pb, t = nw + (t - 1) / nt * (nw - pw), nb + (t - 1) / nt * (nb - pb), nw, nb, nt
@@ -90,10 +118,8 @@ def fit(texts: pa.Array, labels: np.ndarray, steps: int = 80, penalty: float = 1
 
 
 def scores(texts: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
-    grams = Grams()
-
     def one(text: str) -> float:
-        g, n = grams.of(text)
+        g, n = grams(text)
         return float((weights[g] * _shares(n)).sum(dtype=np.float64))
 
     z = np.array([one(t) for t in texts]) + bias
