@@ -66,8 +66,13 @@ def edits(old: DataFrame, new: DataFrame) -> DataFrame:
     Roots are compared first, then the sections of documents whose roots differ, and only differing sections' paragraphs: each that one side has
     and the other has not, ``removed`` or ``added``, with its place in its own tree. Repeats count: a paragraph in a differing section twice before and once
     after is removed once, the last of them. A moved section is no change of paragraphs. A document on one side only has all its paragraphs removed or
-    added. Null trees have none; rows without an id are left out; rows that repeat an id must be made distinct before."""
-    o, n = (x.where("doc_id is not null").select("doc_id", *(F.coalesce(c, F.array()).alias(f"{s}_{c}") if c != "root" else F.col(c).alias(f"{s}_root") for c in ("root", "sections", "paragraphs"))) for x, s in ((old, "o"), (new, "n")))
+    added. Null trees have none; rows without an id are left out. Of rows that repeat an id on one side the one of the least root stands for them."""
+
+    def side(trees: DataFrame, s: str) -> DataFrame:
+        one = trees.where("doc_id is not null").groupBy("doc_id").agg(F.min("root").alias(f"{s}_root"), F.min_by(F.struct("sections", "paragraphs"), "root").alias("t"))
+        return one.select("doc_id", f"{s}_root", *(F.coalesce(F.col("t")[c], F.array()).alias(f"{s}_{c}") for c in ("sections", "paragraphs")))
+
+    o, n = side(old, "o"), side(new, "n")
     both = o.join(n, "doc_id", "full_outer").where(~F.col("o_root").eqNullSafe(F.col("n_root")))
 
     def leaves(side: str, other: str, change: str) -> DataFrame:

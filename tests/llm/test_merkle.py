@@ -14,6 +14,18 @@ def test_sql(spark, sf_dir):
     assert_same(spark, QUERIES["op6_fingerprints"], ORACLE["op6_fingerprints"], sf_dir)
 
 
+def test_sql_of_edits(spark, sf_dir):
+    assert_same(spark, QUERIES["fingerprint_edits"], ORACLE["fingerprint_edits"], sf_dir)
+
+
+def test_rows_that_repeat_an_id_have_one_tree(spark):
+    a = merkle_trees(documents(spark, [(1, "x\ny"), (1, "z"), (1, None), (None, "q"), (2, "same"), (2, "same")]))
+    b = merkle_trees(documents(spark, [(1, "z"), (1, "x\ny"), (2, "same"), (3, None)]))
+    assert edits(a, b).count() == 0
+    least = min((tree(t)[0], t) for t in ("x\ny", "z"))[1]
+    assert edits(a, b.limit(0)).where("doc_id = 1").count() == len(least.split("\n"))
+
+
 def test_edits_are_located(spark):
     r = random.Random(2)
     old, new = {}, {}
