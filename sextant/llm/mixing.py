@@ -45,11 +45,11 @@ def with_copies(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
     the fraction. Options are those of ``source_epochs``.
 
     Rows that repeat an id share its hash; a null id hashes like an empty one. Empty and null texts are drawn like any other and
-    add nothing to their source. A column named ``copies`` is replaced, others pass through. An empty table gives an empty one."""
+    add nothing to their source. A column named ``copies``, in any case, is replaced, others pass through. An empty table gives an empty one."""
     shares = written(source_epochs(docs, **options).select(F.col("source").alias("mix_source"), F.col("epochs").alias("mix_epochs")), "epochs")
     if shares.count() <= BROADCAST_SOURCES:
         shares = F.broadcast(shares)
-    columns = [c for c in docs.columns if c != "copies"]
+    columns = [c for c in docs.columns if c.lower() != "copies"]
     chance = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(docs["doc_id"].cast("string"), F.lit(""))), 256), 1, 8), 16, 10).cast("double") / 4294967296.0
     epochs = shares["mix_epochs"]
     copies = (F.floor(epochs) + F.when(chance < epochs - F.floor(epochs), 1).otherwise(0)).cast("int")

@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sextant.llm.sample import bytes_of, fitted, labelled_sample
 from sextant.llm.words import split_words
@@ -96,20 +95,18 @@ def with_quality(docs: DataFrame, model: dict[str, np.ndarray], neighbours: int
 
     The score compares each whole text with every labelled vector. A null text, one of fewer than three bytes, or any text
     while nothing is labelled has a null score and is kept: nothing speaks against it. Rows that repeat get equal
-    results. Columns of these two names are replaced; others pass through. An empty table gives an empty one."""
-    columns = [c for c in docs.columns if c not in ("quality_score", "keep")]
+    results. Columns of these two names, in any case, are replaced; others pass through. An empty table gives an empty one."""
+    columns = [c for c in docs.columns if c.lower() not in ("quality_score", "keep")]
     if not model:
         return docs.select(*columns, F.lit(None).cast("double").alias("quality_score"), F.lit(True).alias("keep"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
         m = shared.value
-        for batch in batches:
-            texts = batch.column(columns.index("text"))
-            found = [votes(latent(x, m["idf"], m["axes"]), m["vectors"], m["labels"], neighbours) for x in _pieces(texts)]
-            scores = pa.array(np.round(np.concatenate(found), 6) if found else np.zeros(0), from_pandas=True, type=pa.float64())
-            keep = pa.compute.fill_null(pa.compute.greater_equal(scores, threshold), True)
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores, keep], [*columns, "quality_score", "keep"])
-
-    schema = docs.select(*columns).schema.add("quality_score", T.DoubleType()).add("keep", T.BooleanType())
-    return docs.select(*columns).mapInArrow(score, schema)
+        found = [votes(latent(x, m["idf"], m["axes"]), m["vectors"], m["labels"], neighbours) for x in _pieces(texts)]
+        return pa.array(np.round(np.concatenate(found), 6) if found else np.zeros(0), from_pandas=True, type=pa.float64())
+
+    # only the texts go to Python; said not to be deterministic, it isn't worked out again for a filter on its result
+    scored = docs.select(*columns, score.asNondeterministic()(docs["text"]).alias("quality_score"))
+    return scored.withColumn("keep", F.coalesce(F.col("quality_score") >= threshold, F.lit(True)))
