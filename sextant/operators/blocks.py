@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of query vectors up to which they are broadcast; beyond it queries and passages meet in a grid of strips.
+#: Bytes of vectors up to which a side is broadcast and the other one scanned; beyond it both meet in a grid of strips.
 BROADCAST_BYTES = 64 << 20
-#: Rows of a strip: a cell of the grid multiplies two strips.
-STRIP_ROWS = 4096
+#: Bytes of a strip's vectors: a cell of the grid multiplies two strips.
+STRIP_BYTES = 32 << 20
+#: Scores that are worked out at once.
+SCORES = 1 << 22
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -32,43 +34,116 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.round(a @ b.T, 6) if len(a) and len(b) else np.zeros((len(a), len(b)))
 
 
-def strips(df: DataFrame, key: str, rows: int = STRIP_ROWS) -> tuple[int, Column]:
-    """How many strips ``df`` is cut into, and each row's."""
-    n = max(1, -(-df.count() // rows))
+def vector_bytes(df: DataFrame) -> tuple[int, int]:
+    """Rows of ``df`` and bytes of its ``vector`` in double precision."""
+    n, size = df.agg(F.count("vector"), F.sum(F.size("vector").cast("long") * 8)).first()
+    return n, size or 0
+
+
+def strips(counted: tuple[int, int], key: str, rows: int | None = None) -> tuple[int, Column]:
+    """How many strips so many rows and bytes are cut into, and each row's."""
+    n, size = counted
+    rows = rows or max(1, STRIP_BYTES * max(1, n) // max(1, size))
+    n = max(1, -(-n // rows))
     return n, F.pmod(F.xxhash64(key, F.lit(3)), F.lit(n)).cast("int")
 
 
-def pairs_over(left: DataFrame, right: DataFrame | None, threshold: float, strip_rows: int = STRIP_ROWS) -> DataFrame:
+def _pairs(df: DataFrame) -> DataFrame:
+    return df.where("id is not null and vector is not null").select(F.col("id").cast("long").alias("id"), "vector")
+
+
+def _gathered(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a table that was checked to be small."""
+    table = df.select("id", F.col("vector").cast("array<double>").alias("vector")).toArrow().combine_chunks()
+    return table["id"].to_numpy(), matrix(table["vector"].combine_chunks() if len(table) else pa.array([], pa.list_(pa.float64())))
+
+
+def _cuts(rows: int, columns: int) -> Iterator[slice]:
+    step = max(1, SCORES // max(1, columns))
+    return (slice(i, i + step) for i in range(0, rows, step))
+
+
+def pairs_over(left: DataFrame, right: DataFrame | None, threshold: float, strip_rows: int | None = None, broadcast_bytes: int | None = None) -> DataFrame:
     """``(a, b, score)`` of all pairs with a cosine of ``threshold`` or more; ``left`` and ``right`` are ``(id, vector)``.
 
-    Without ``right``, pairs a < b within ``left``. Each row goes to one row or column of a grid of strips and each cell is one
-    product of matrices: a row is sent as often as the other side has strips, and memory per task doesn't grow with the data.
+    Without ``right``, pairs a < b within ``left``. A side that is checked to be small goes to every task, which multiplies its batches of the
+    other side with it: nothing is shuffled. Beyond that each row goes to one row or column of a grid of strips, as often as the other side has
+    strips, and each cell is one product of matrices: memory per task doesn't grow with the data.
     Rows with a null id or vector take part in no pair."""
-    return _grid(left, right, _over(threshold, right is None), "a long, b long, score double", strip_rows)
-
+    most = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
+    one, left = right is None, _pairs(left)
+    right = left if one else _pairs(right)
+    sizes = vector_bytes(left), vector_bytes(left if one else right)
+    turned = sizes[1][1] > most
+    if min(sizes[0][1], sizes[1][1]) > most:
+        return _grid(left, None if one else right, sizes, _over(threshold, one), "a long, b long, score double", strip_rows)
+    shared = left.sparkSession.sparkContext.broadcast(_gathered(left if turned else right))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors = shared.value
+        for batch in batches:
+            a, x = batch.column(0).to_numpy(), matrix(batch.column(1))
+            for part in _cuts(len(a), len(ids)):
+                s = product(x[part], vectors)
+                r, c = np.nonzero(s >= threshold)
+                p, q, v = a[part][r], ids[c], s[r, c]
+                if one:
+                    keep = p < q
+                    p, q, v = p[keep], q[keep], v[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(q if turned else p), pa.array(p if turned else q), pa.array(v)], ["a", "b", "score"])
+
+    return (right if turned else left).mapInArrow(scan, "a long, b long, score double")
+
+
+def best_over(left: DataFrame, right: DataFrame, strip_rows: int | None = None, broadcast_bytes: int | None = None) -> DataFrame:
+    """``(a, score)``: for every row of ``left`` the largest cosine with ``right``; minus infinity if that is empty. See ``pairs_over``."""
+    most = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
+    every = left.select(F.col("id").cast("long").alias("a"))
+    left, right = _pairs(left), _pairs(right)
+    sizes = vector_bytes(left), vector_bytes(right)
+    if min(sizes[0][1], sizes[1][1]) > most:
+        found = _grid(left, right, sizes, _best, "a long, score double", strip_rows)
+    else:
+        turned = sizes[1][1] > most
+        shared = every.sparkSession.sparkContext.broadcast(_gathered(left if turned else right))
 
-def best_over(left: DataFrame, right: DataFrame, strip_rows: int = STRIP_ROWS) -> DataFrame:
-    """``(a, score)``: for every row of ``left`` the largest cosine with ``right``; minus infinity if that is empty."""
-    found = _grid(left, right, _best, "a long, score double", strip_rows).groupBy("a").agg(F.max("score").alias("score"))
-    return left.select(F.col("id").cast("long").alias("a")).join(found, "a", "left").select("a", F.coalesce("score", F.lit(float("-inf"))).alias("score"))
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, vectors = shared.value
+            top = np.full(len(ids), -np.inf)
+            for batch in batches:
+                a, x = batch.column(0).to_numpy(), matrix(batch.column(1))
+                if not len(a) or not len(ids):
+                    continue
+                if turned:  # the best so far of each row that all tasks have
+                    for part in _cuts(len(ids), len(a)):
+                        top[part] = np.maximum(top[part], product(vectors[part], x).max(1))
+                else:
+                    best = np.concatenate([product(x[part], vectors).max(1) for part in _cuts(len(a), len(ids))])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(best)], ["a", "score"])
+            if turned:
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(top)], ["a", "score"])
+
+        found = (right if turned else left).mapInArrow(scan, "a long, score double")
+    found = found.groupBy("a").agg(F.max("score").alias("score"))
+    return every.join(found, "a", "left").select("a", F.coalesce("score", F.lit(float("-inf"))).alias("score"))
 
 
 def _over(threshold: float, one: bool):
     def cell(a, x, b, y, same):
         if one and same:
             b, y = a, x
-        out = []
-        for i in range(0, len(a), 1024):
-            s = product(x[i : i + 1024], y)
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for part in _cuts(len(a), len(b)):
+            s = product(x[part], y)
             r, c = np.nonzero(s >= threshold)
-            p, q, v = a[i + r], b[c], s[r, c]
+            p, q, v = a[part][r], b[c], s[r, c]
             if one and same:
                 keep = p < q
                 p, q, v = p[keep], q[keep], v[keep]
             if one:
                 p, q = np.minimum(p, q), np.maximum(p, q)
             out.append((p, q, v))
-        p, q, v = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        p, q, v = (np.concatenate(z) for z in zip(*out))
         return pa.table({"a": p, "b": q, "score": v})
 
     return cell
@@ -77,19 +152,16 @@ def _over(threshold: float, one: bool):
 def _best(a, x, b, y, same):
     if not len(a) or not len(b):
         return pa.table({"a": np.zeros(0, np.int64), "score": np.zeros(0)})
-    return pa.table({"a": a, "score": np.concatenate([product(x[i : i + 1024], y).max(1) for i in range(0, len(a), 1024)])})
+    return pa.table({"a": a, "score": np.concatenate([product(x[part], y).max(1) for part in _cuts(len(a), len(b))])})
 
 
-def _grid(left: DataFrame, right: DataFrame | None, cell, schema: str, strip_rows: int) -> DataFrame:
-    take = lambda df: df.where("id is not null and vector is not null").select(F.col("id").cast("long").alias("id"), "vector")
-    left = take(left)
-    n, strip = strips(left, "id", strip_rows)
+def _grid(left: DataFrame, right: DataFrame | None, sizes: tuple[tuple[int, int], tuple[int, int]], cell, schema: str, strip_rows: int | None) -> DataFrame:
+    n, strip = strips(sizes[0], "id", strip_rows)
     if right is None:
         rows = left.withColumn("s", strip).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
         rows = rows.select("id", "vector", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j"), (F.col("s") > F.col("t")).alias("side"))
     else:
-        right = take(right)
-        m, other = strips(right, "id", strip_rows)
+        m, other = strips(sizes[1], "id", strip_rows)
         rows = left.select("id", "vector", strip.alias("i"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("j"), F.lit(False).alias("side"))
         rows = rows.unionByName(right.select("id", "vector", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), other.alias("j"), F.lit(True).alias("side")))
 
@@ -104,7 +176,7 @@ def _grid(left: DataFrame, right: DataFrame | None, cell, schema: str, strip_row
     return rows.groupBy("i", "j").applyInArrow(run, schema)
 
 
-def best_of(passages: DataFrame, queries: DataFrame, k: int, dedup: bool, vector: str = "vector", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def best_of(passages: DataFrame, queries: DataFrame, k: int, dedup: bool, vector: str = "vector", broadcast_bytes: int | None = None) -> DataFrame:
     """``(query_id, rank, passage_idx, score)``: each query's ``k`` passages of largest cosine.
 
     Ties go to the lower ``passage_idx``. With ``dedup`` the best passage stands for those of one ``(source_file, char_offset)``.
@@ -117,8 +189,8 @@ def best_of(passages: DataFrame, queries: DataFrame, k: int, dedup: bool, vector
         return spark.createDataFrame([], "query_id long, rank int, passage_idx long, score double")
     rows = passages.where(F.col(vector).isNotNull()).select(F.col("passage_idx").cast("long").alias("passage_idx"), F.col(vector).alias("vector"), *keys)
     asked = queries.where("vector is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
-    size = asked.agg(F.sum(F.size("vector") * 8)).first()[0] or 0
-    if size <= broadcast_bytes:
+    counted = vector_bytes(asked)
+    if counted[1] <= (BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes):
         table = asked.toArrow().combine_chunks()
         ids = table["query_id"].to_numpy()
         shared = spark.sparkContext.broadcast((ids, matrix(table["vector"].combine_chunks()) if len(ids) else np.zeros((0, 0))))
@@ -132,8 +204,8 @@ def best_of(passages: DataFrame, queries: DataFrame, k: int, dedup: bool, vector
 
         found = rows.mapInArrow(scan, schema)
     else:
-        n, strip = strips(asked, "query_id")
-        m, other = strips(rows, "passage_idx")
+        n, strip = strips(counted, "query_id")
+        m, other = strips(vector_bytes(rows), "passage_idx")
         every = rows.select("*", F.lit(None).cast("long").alias("query_id"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), other.alias("j"))
         every = every.withColumn("vector", F.col("vector").cast("array<double>"))
         every = every.unionByName(asked.select("query_id", "vector", strip.alias("i"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("j")), allowMissingColumns=True)
@@ -149,11 +221,16 @@ def best_of(passages: DataFrame, queries: DataFrame, k: int, dedup: bool, vector
             return pa.Table.from_batches(out) if out else empty
 
         found = every.groupBy("i", "j").applyInArrow(meet, schema)
+    return ranked(found, k, dedup)
+
+
+def ranked(found: DataFrame, k: int, dedup: bool) -> DataFrame:
+    """The best ``k`` of what tasks found, with ``dedup`` each place once."""
     if dedup:
-        best = Window.partitionBy("query_id", *keys).orderBy(F.desc("score"), "passage_idx")
+        best = Window.partitionBy("query_id", "source_file", "char_offset").orderBy(F.desc("score"), "passage_idx")
         found = found.withColumn("at", F.row_number().over(best)).where("at = 1")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "passage_idx")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "passage_idx", "score")
+    rows = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "passage_idx")))
+    return rows.where(F.col("rank") <= k).select("query_id", "rank", "passage_idx", "score")
 
 
 def _leading(batch: pa.RecordBatch, ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int, dedup: bool) -> Iterator[pa.RecordBatch]:
@@ -163,15 +240,15 @@ def _leading(batch: pa.RecordBatch, ids: np.ndarray, q: np.ndarray, floor: np.nd
         places = _codes(batch)
         order = np.argsort(places, kind="stable")
         starts = np.flatnonzero(np.concatenate([[True], np.diff(places[order]) > 0]))
-    for i in range(0, len(ids), 512):
-        s = product(q[i : i + 512], v)
+    for part in _cuts(len(ids), len(v)):
+        s = product(q[part], v)
         best = np.maximum.reduceat(s[:, order], starts, axis=1) if dedup else s
         if best.shape[1] >= k:
             kth = np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k]
-            floor[i : i + 512] = np.maximum(floor[i : i + 512], kth)
-        r, c = np.nonzero(s >= floor[i : i + 512, None])
+            floor[part] = np.maximum(floor[part], kth)
+        r, c = np.nonzero(s >= floor[part, None])
         at = pa.array(c)
-        columns = [pa.array(ids[i + r]), batch.column(0).take(at), pa.array(s[r, c])]
+        columns = [pa.array(ids[part][r]), batch.column(0).take(at), pa.array(s[r, c])]
         names = ["query_id", "passage_idx", "score"]
         if dedup:
             columns += [batch.column(2).take(at), batch.column(3).take(at).cast(pa.int64())]

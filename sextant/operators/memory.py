@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sextant.functions.text import preview
 from sextant.functions.vectors import cosine
+from sextant.operators.blocks import best_of
 from sextant.operators.clusters import centroid, clusters
 from sextant.operators.context import CHARS_PER_TOKEN, within_budget
 
@@ -39,15 +40,17 @@ def added(memory: DataFrame, entries: DataFrame) -> DataFrame:
     return memory.unionByName(checked(full))
 
 
-def recall(memory: DataFrame, query: list[float], k: int = 10, weights: dict[str, float] | None = None, tiers: list[str] | None = None) -> DataFrame:
-    """``(rank, memory_id, tier, score)``: the ``k`` entries of largest cosine x tier weight x salience."""
-    if k <= 0:
-        return memory.sparkSession.createDataFrame([], "rank int, memory_id long, tier string, score double")
+def recall(memory: DataFrame, query: list[float] | DataFrame, k: int = 10, weights: dict[str, float] | None = None, tiers: list[str] | None = None) -> DataFrame:
+    """``(rank, memory_id, tier, score)``: the ``k`` entries of largest cosine x tier weight x salience. For a table of queries
+    (``query_id``, ``vector``) with the ``query_id`` before them."""
+    many = isinstance(query, DataFrame)
+    names = [*["query_id"] * many, "rank", "memory_id", "tier", "score"]
+    asked = query if many else memory.sparkSession.createDataFrame([(0, [float(x) for x in query])], "query_id long, vector array<double>")
     rows = memory if tiers is None else memory.where(F.col("tier").isin(*tiers))
-    q = F.array(*(F.lit(float(x)) for x in query))
-    score = F.round(cosine("vector", q) * _by_tier(weights or WEIGHTS, OTHER_WEIGHT) * F.col("salience"), 6)
-    top = rows.select("memory_id", "tier", score.alias("score")).where("score is not null").orderBy(F.desc("score"), "memory_id").limit(k)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "memory_id"))).select("rank", "memory_id", "tier", "score")
+    weight = _by_tier(weights or WEIGHTS, OTHER_WEIGHT) * F.col("salience")
+    rows = rows.where(weight.isNotNull()).select(F.col("memory_id").alias("passage_idx"), F.transform("vector", lambda x: x.cast("double") * weight).alias("vector"))
+    found = best_of(rows, asked, k, False)
+    return found.join(memory.select(F.col("memory_id").alias("passage_idx"), "tier"), "passage_idx").withColumnRenamed("passage_idx", "memory_id").select(*names)
 
 
 def age_seconds(created: Column | str, now: str) -> Column:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import sha256
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sextant.functions.text import content_hash, text_slice
 from sextant.operators.blocks import best_of
@@ -28,21 +33,34 @@ def drift_status(text: Column | str, char_offset: Column | str, char_length: Col
 
 
 def verified(passages: DataFrame, sources: DataFrame) -> DataFrame:
-    """``passages`` with ``drift_status`` and ``text`` (empty unless verified). ``sources`` has one row per ``source_file``.
+    """``passages`` with ``drift_status`` and ``text`` (empty unless verified). ``sources`` has one row per ``source_file``; where it
+    has a column ``drifted``, a file so marked, which isn't the one pinned, has drifted as a whole.
 
-    The passages of a file, without its text, are gathered first: so each text is joined once, not once for each of its passages."""
-    now = sources.select(F.col("source_file").alias("now_file"), F.col("text").alias("now_text"))
+    The passages of a file, without its text, are gathered first, so each text is joined once, and decoded once: cutting it by
+    expressions would look for each passage from the text's start."""
+    pinned = F.coalesce("drifted", F.lit(False)) if "drifted" in sources.columns else F.lit(False)
+    now = sources.select(F.col("source_file").alias("now_file"), F.col("text").alias("now_text"), pinned.alias("now_other"))
     columns = [c for c in passages.columns if c not in ("drift_status", "text")]
-    gathered = passages.groupBy("source_file").agg(F.collect_list(F.struct(*(c for c in columns if c != "source_file"))).alias("own_"))
-    joined = gathered.join(now, gathered["source_file"] == F.col("now_file"), "left")
-
-    def check(p: Column) -> Column:
-        state = drift_status("now_text", p["char_offset"], p["char_length"], p["content_hash"])
-        cut = F.when(state == "verified", text_slice(F.col("now_text"), p["char_offset"], p["char_length"])).otherwise("")
-        return F.struct(*(p[c].alias(c) for c in columns if c != "source_file"), state.alias("drift_status"), cut.alias("text"))
-
-    rows = joined.select("source_file", F.explode(F.transform("own_", check)).alias("p_"))
-    return rows.select(*("source_file" if c == "source_file" else F.col("p_")[c].alias(c) for c in columns), F.col("p_.drift_status"), F.col("p_.text"))
+    own = [c for c in columns if c != "source_file"]
+    gathered = passages.groupBy("source_file").agg(F.collect_list(F.struct(*own)).alias("own_"))
+    joined = gathered.join(now, gathered["source_file"] == F.col("now_file"), "left").select("source_file", "own_", "now_text", "now_other")
+    at, many, known = (own.index(c) for c in ("char_offset", "char_length", "content_hash"))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, texts, other = batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            row, flat = lists.value_parent_indices(), lists.flatten()
+            states, cuts = [], []
+            for i, lo, n, hash_ in zip(row.to_pylist(), *(flat.field(k).to_pylist() for k in (at, many, known))):
+                text = texts[i]
+                cut = "" if text is None or lo is None or n is None else text[lo : lo + n]
+                same = text is not None and not other[i] and "sha256:" + sha256(cut.encode()).hexdigest() == hash_
+                states.append("missing" if text is None else "verified" if same else "drifted")
+                cuts.append(cut if same else "")
+            parts = [batch.column(0).take(row) if c == "source_file" else flat.field(own.index(c)) for c in columns]
+            yield pa.RecordBatch.from_arrays([*parts, pa.array(states, pa.string()), pa.array(cuts, pa.string())], [*columns, "drift_status", "text"])
+
+    return joined.mapInArrow(check, T.StructType([*(passages.schema[c] for c in columns), T.StructField("drift_status", T.StringType()), T.StructField("text", T.StringType())]))
 
 
 def search(passages: DataFrame, queries: DataFrame, k: int = 10, dedup: bool = True, vector: str = "vector", hits_at_most: int | None = None) -> DataFrame:
@@ -92,21 +110,29 @@ def evidence(passages: DataFrame, sources: DataFrame, queries: DataFrame, k: int
     return hits, with_all_queries(confidence(hits), queries)
 
 
-def locate(passages: DataFrame, passage_idx: int) -> DataFrame:
-    """The citation of one passage; raises ``IndexError`` if there is none."""
-    row = passages.where(F.col("passage_idx") == passage_idx).select(*CITATION)
+def locate(passages: DataFrame, wanted: int | DataFrame) -> DataFrame:
+    """The citation of one passage; raises ``IndexError`` if there is none. Of a table's ``passage_idx``: those that there are."""
+    if isinstance(wanted, DataFrame):
+        return passages.select(*CITATION).join(wanted.select("passage_idx").distinct(), "passage_idx", "left_semi")
+    row = passages.where(F.col("passage_idx") == wanted).select(*CITATION)
     if row.isEmpty():
-        raise IndexError(passage_idx)
+        raise IndexError(wanted)
     return row
 
 
-def neighbors(passages: DataFrame, passage_idx: int, k: int = 10, vector: str = "vector") -> DataFrame:
-    """``(rank, passage_idx, score)`` of the nearest other passages, places repeated. ``IndexError`` if there is no such passage."""
-    own = passages.where(F.col("passage_idx") == passage_idx).select(F.lit(0).alias("query_id"), F.col(vector).alias("vector"))
-    if own.isEmpty():
-        raise IndexError(passage_idx)
-    others = passages.where(F.col("passage_idx") != passage_idx)
-    return best_of(others, own, k, False, vector).select("rank", "passage_idx", "score")
+def neighbors(passages: DataFrame, wanted: int | DataFrame, k: int = 10, vector: str = "vector") -> DataFrame:
+    """``(rank, passage_idx, score)`` of the nearest other passages, places repeated. ``IndexError`` if there is no such passage.
+    For a table's ``passage_idx``, ``query_id`` says whose they are; those that aren't there have none."""
+    many = isinstance(wanted, DataFrame)
+    own = passages.join(wanted.select("passage_idx").distinct(), "passage_idx", "left_semi") if many else passages.where(F.col("passage_idx") == wanted)
+    own = own.select(F.col("passage_idx").alias("query_id"), F.col(vector).alias("vector"))
+    if not many and own.isEmpty():
+        raise IndexError(wanted)
+    if k <= 0:
+        return best_of(passages, own, 0, False, vector).select(*["query_id"] * many, "rank", "passage_idx", "score")
+    near = best_of(passages, own, k + 1, False, vector).where("passage_idx <> query_id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).select(*["query_id"] * many, "rank", "passage_idx", "score")
 
 
 def profile(passages: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+from hashlib import sha256
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -42,7 +44,7 @@ def model(x, q, k, dedup, files=3, offsets=4):
 @pytest.mark.parametrize("broadcast_bytes", [blocks.BROADCAST_BYTES, 0])
 @pytest.mark.parametrize("k", [0, 1, 7, 500])
 def test_best_of(spark, dedup, broadcast_bytes, k, monkeypatch):
-    monkeypatch.setattr(blocks, "STRIP_ROWS", 40)
+    monkeypatch.setattr(blocks, "STRIP_BYTES", 40 * 16 * 8)
     x = unit(150)
     x[50:60] = x[40:50]  # ties
     got = blocks.best_of(table(spark, x).repartition(5), asked(spark, x[:9]), k, dedup, broadcast_bytes=broadcast_bytes).collect()
@@ -60,16 +62,22 @@ def test_null_vectors_empty_sides_and_sizes_that_differ(spark):
         blocks.best_of(rows, asked(spark, unit(1, 8)), 3, False).collect()
 
 
-@pytest.mark.parametrize("strip", [7, 4096])
-def test_pairs_and_best(spark, strip):
+@pytest.mark.parametrize("small", ["both", "left", "right", "none"])
+@pytest.mark.parametrize("strip", [7, None])
+def test_pairs_and_best(spark, strip, small):
     x, y = unit(60, 6), unit(40, 6, 1)
+    if small == "left":
+        x, y = y, x
+    most = {"both": 1 << 20, "none": 0}.get(small, 40 * 6 * 8)
+    how = {"strip_rows": strip, "broadcast_bytes": most}
     s = np.round(x.astype(float) @ x.astype(float).T, 6)
-    got = {(r.a, r.b, r.score) for r in blocks.pairs_over(pairs(spark, x), None, 0.5, strip).collect()}
-    assert got == {(i, j, s[i, j]) for i in range(60) for j in range(i + 1, 60) if s[i, j] >= 0.5}
+    got = sorted((r.a, r.b, r.score) for r in blocks.pairs_over(pairs(spark, x), None, 0.5, **how).collect())
+    assert got == [(i, j, s[i, j]) for i in range(len(x)) for j in range(i + 1, len(x)) if s[i, j] >= 0.5]
     s = np.round(x.astype(float) @ y.astype(float).T, 6)
-    assert {(r.a, r.b) for r in blocks.pairs_over(pairs(spark, x), pairs(spark, y), 0.5, strip).collect()} == set(zip(*map(list, np.nonzero(s >= 0.5))))
-    assert {r.a: r.score for r in blocks.best_over(pairs(spark, x), pairs(spark, y), strip).collect()} == dict(enumerate(s.max(1)))
-    assert {r.score for r in blocks.best_over(pairs(spark, x), pairs(spark, y).limit(0), strip).collect()} == {float("-inf")}
+    assert {(r.a, r.b) for r in blocks.pairs_over(pairs(spark, x), pairs(spark, y), 0.5, **how).collect()} == set(zip(*map(list, np.nonzero(s >= 0.5))))
+    assert {r.a: r.score for r in blocks.best_over(pairs(spark, x), pairs(spark, y), **how).collect()} == dict(enumerate(s.max(1)))
+    assert {r.score for r in blocks.best_over(pairs(spark, x), pairs(spark, y).limit(0), **how).collect()} == {float("-inf")}
+    assert blocks.pairs_over(pairs(spark, x).limit(0), None, 0.5, **how).count() == 0
     assert blocks.best_over(pairs(spark, x).limit(0), pairs(spark, y)).count() == 0
 
 
@@ -125,22 +133,59 @@ def test_guards():
         compare.compose()
 
 
-def test_index_recall_and_storage(spark, tmp_path):
+@pytest.fixture(scope="module")
+def clustered():
     x = unit(6000, 32, 5)
     x = x[np.random.default_rng(1).integers(0, 300, 6000)] + 0.3 * x
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    rows = table(spark, x, 6000, 6000)
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+@pytest.fixture(scope="module")
+def index(spark, clustered, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("index") / "index")
+    ann.save(ann.build(table(spark, clustered, 6000, 6000)), path)
+    return ann.load(spark, path)
+
+
+def test_the_index_finds_the_nearest_in_few_cells(spark, clustered, index):
     assert ann.should_index(6000) and not ann.should_index(5000)
-    index = ann.build(rows)
-    ann.save(index, str(tmp_path / "index"))
-    index = ann.load(spark, str(tmp_path / "index"))
-    exact = blocks.best_of(rows, asked(spark, x[:20]), 10, True)
-    for probe in range(3):
-        q = asked(spark, x[:20]).where(F.col("query_id") == probe)
-        found = {r.passage_idx for r in ann.search(index, q, 10).collect()}
-        assert len(found & {r.passage_idx for r in exact.where(F.col("query_id") == probe).collect()}) >= 9
-    assert ann.retrieve(rows, asked(spark, x[:20]), 10, index).join(exact, ["query_id", "passage_idx"]).count() >= 190
-    assert ann.search(index, asked(spark, x).limit(0), 10).count() == 0
+    assert index.rows.count() == 6000 and index.probes < 0.1 * len(index.centres) and index.recall >= ann.RECALL
+    n, found = ann.recall(index, asked(spark, clustered[::50])).agg(F.sum("n_exact"), F.sum("n_found")).first()
+    assert n == 1200 and found >= 0.95 * n
+    assert ann.search(index, asked(spark, clustered).limit(0), 10).count() == 0
+    with pytest.raises(Exception, match="dimensions"):
+        ann.search(index, asked(spark, unit(1, 8)), 3).collect()
+
+
+@pytest.mark.parametrize("dedup", [False, True])
+def test_what_a_search_finds_depends_neither_on_other_queries_nor_on_the_way(spark, clustered, index, dedup, monkeypatch):
+    q = asked(spark, clustered[:12])
+    want = sorted(map(tuple, ann.search(index, q, 10, dedup).collect()))
+    alone = [r for i in (0, 7) for r in map(tuple, ann.search(index, q.where(F.col("query_id") == i), 10, dedup).collect())]
+    assert sorted(alone) == [r for r in want if r[0] in (0, 7)]
+    monkeypatch.setattr(blocks, "STRIP_BYTES", 5 * 8 * 32)
+    assert sorted(map(tuple, ann.search(index, q, 10, dedup, broadcast_bytes=0).collect())) == want
+    cells = (clustered[:12].astype(float) @ index.centres.T).argsort(1)[:, ::-1][:, : index.probes]
+    own = {r.passage_idx: r.cell for r in index.rows.select("passage_idx", "cell").collect()}
+    assert all(own[r[2]] in cells[r[0]] for r in want)
+
+
+def test_the_index_of_vectors_that_lie_any_way_looks_at_more_cells(spark):
+    index = ann.build(table(spark, unit(900, 16, 9)))
+    got = ann.recall(index, asked(spark, unit(900, 16, 9)[::30])).agg(F.sum("n_found") / F.sum("n_exact")).first()[0]
+    assert got >= 0.9 and 3 < index.probes <= len(index.centres)
+    none = ann.build(table(spark, unit(3)).limit(0))
+    assert ann.search(none, asked(spark, unit(2)), 3).count() == 0
+
+
+def test_sums_of_vectors_against_numpy(spark):
+    x = unit(90, 5)
+    rows = spark.createDataFrame([(i % 4, v.tolist()) for i, v in enumerate(x)] + [(1, None), (9, None)], "g int, vector array<float>").repartition(6)
+    got = {r.g: (r.sums, r.own, r.n) for r in clusters.vector_sums(rows, "g").collect()}
+    assert sorted(got) == [0, 1, 2, 3]
+    for g, (sums, own, n) in got.items():
+        mine = x[g::4].astype(float)
+        assert np.allclose(sums, mine.sum(0)) and np.isclose(own, (mine**2).sum()) and n == len(mine)
 
 
 def cited(spark, texts):
@@ -165,6 +210,21 @@ def test_drift_and_confidence(spark):
         with pytest.raises(IndexError):
             bad(rows, 99)
     assert retrieval.neighbors(rows, 2, 99).count() == 3
+    some = rows.select("passage_idx").where("passage_idx in (1, 3)").union(spark.createDataFrame([(77,)], "passage_idx long"))
+    assert sorted(r.passage_idx for r in retrieval.locate(rows, some).collect()) == [1, 3]
+    many = sorted(tuple(r) for r in retrieval.neighbors(rows, some, 2).collect())
+    assert many == [(q, *r) for q in (1, 3) for r in sorted(map(tuple, retrieval.neighbors(rows, q, 2).collect()))]
+
+
+def test_verified_against_slices_and_pins(spark):
+    text = "ab\u00e9 \U0001f642 and so on\n" * 40
+    cuts = [(0, 5), (3, 4), (100, 7), (500, 900), (9999, 3)]
+    rows = spark.createDataFrame([(i, "f", a, n, "sha256:" + sha256(text[a : a + n].encode()).hexdigest(), str(i)) for i, (a, n) in enumerate(cuts)], "passage_idx long, source_file string, char_offset int, char_length int, content_hash string, passage_id string")
+    now = spark.createDataFrame([("f", text)], "source_file string, text string")
+    got = retrieval.verified(rows, now).orderBy("passage_idx").collect()
+    assert [(r.drift_status, r.text) for r in got] == [("verified", text[a : a + n]) for a, n in cuts]
+    other = retrieval.verified(rows, now.withColumn("drifted", F.lit(True)))
+    assert {(r.drift_status, r.text) for r in other.collect()} == {("drifted", "")} and other.columns == [*rows.columns, "drift_status", "text"]
 
 
 @pytest.mark.parametrize("mode,top,drift,held", [("augment", 0.1, 0.4, True), ("augment", 0.2, 0.0, True), ("augment", 0.65, 0.0, False), ("augment", 0.4, 0.6, True), ("knowledge", 0.2, 0.9, False), ("knowledge", 0.1, 0.0, True), ("constrain", 0.0, 1.0, False)])
