@@ -345,7 +345,8 @@ def memory_command(spark, a) -> int:
             raise Failed(1, "nothing to add")
         next_id = (rows.agg(F.max("memory_id")).first()[0] if rows.count() else -1) + 1
         entry = [(next_id, text, a.salience, a.source_id, a.session, _now(), a.tier, 1, [float(x) for x in encoder_of(a.encoder).encode([text])[0]])]
-        rows = memory.added(rows, spark.createDataFrame(entry, memory.SCHEMA))
+        store.append_memory(spark.createDataFrame(entry, memory.SCHEMA), a.memory_root)
+        return 0
     elif a.what == "recall":
         try:
             weights = json.loads(a.tier_weights) if a.tier_weights else None

@@ -78,6 +78,16 @@ def compose(**members: DataFrame) -> DataFrame:
     return out
 
 
+def compose_models(**models) -> DataFrame:
+    """``compose`` of the base bands of whole models; those that differ in size or lack the band are refused. Revisions may differ: the order
+    of scores holds within each."""
+    first = None
+    for km in models.values():
+        first = first or km.metadata
+        require_pair(first, km.metadata, strict=False)
+    return compose(**{label: km.passages.drop("optimised") for label, km in models.items()})
+
+
 def composed_search(queries: DataFrame, k: int = 10, **members: DataFrame) -> DataFrame:
     """``(query_id, rank, label, passage_idx, score)``: the best ``k`` over all members, places repeated. Ties go by label, then index."""
     found = None
@@ -103,17 +113,38 @@ def merged(a: DataFrame, b: DataFrame, threshold: float = 0.92) -> DataFrame:
     return numbered(kept, ["id"]).select("side", "old_id", "passage_idx")
 
 
+def merged_model(a, b, threshold: float = 0.92):
+    """A model of local mode with what ``merged`` keeps of both, numbered anew, and the counts in its ``build_config``.
+
+    Bundled models are refused, as their texts would be lost, and so are pairs of another size or revision. Only base bands are merged."""
+    from sextant.scratch import written
+    from sextant.sources.model import KnowledgeModel
+
+    if "bundled" in (a.mode, b.mode):
+        raise ValueError("bundled models can't be merged: convert them to local ones first")
+    require_pair(a.metadata, b.metadata)
+    sides = [k.passages.select(F.col("passage_idx").alias("id"), "vector") for k in (a, b)]
+    kept = written(merged(*sides, threshold), "merged")
+    both = [k.passages.drop("optimised").withColumnRenamed("passage_idx", "old_id").withColumn("side", F.lit(i)) for i, k in enumerate((a, b))]
+    columns = [c for c in both[0].columns if c in both[1].columns]
+    rows = both[0].select(*columns).unionByName(both[1].select(*columns)).join(kept, ["side", "old_id"]).drop("side", "old_id")
+    n = [s.count() for s in sides]
+    config = {"merged_from": [k.metadata.get("build_config", {}).get("root", "") for k in (a, b)], "dedupe_threshold": threshold, "n_a": n[0], "n_b": n[1], "n_merged": kept.count()}
+    meta = {k: v for k, v in a.metadata.items() if k not in ("ann", "pinned_ref")} | {"store_mode": "local", "bands": {"base": a.metadata["bands"]["base"]}, "build_config": config}
+    return KnowledgeModel(rows.select("passage_idx", *(c for c in rows.columns if c != "passage_idx")), meta)
+
+
 def contradictions(vectors: DataFrame, texts: DataFrame, cosine: float = 0.85, lexical: float = 0.3, max_pairs: int = 1000) -> DataFrame:
     """``(a, b, score, jaccard)``: pairs that mean alike but are worded differently, the ``max_pairs`` most alike.
 
     Only ids and scores are paired; the trigram sets of passages in a pair are made once and joined after. Passages
     without a text are in no pair."""
-    from sextant.functions.text import jaccard, trigrams
+    from sextant.functions.text import hashed_trigrams, jaccard
     from sextant.scratch import written
 
     pairs = written(pairs_over(vectors, None, cosine), "alike")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    grams = texts.where("text is not null and text <> ''").select("id", "text").join(ids, "id", "left_semi").select("id", trigrams("text").alias("grams"))
+    grams = texts.where("text is not null and text <> ''").select("id", "text").join(ids, "id", "left_semi").select("id", hashed_trigrams("text").alias("grams"))
     left, right = grams.select(F.col("id").alias("a"), F.col("grams").alias("x")), grams.select(F.col("id").alias("b"), F.col("grams").alias("y"))
     scored = pairs.join(left, "a").join(right, "b").select("a", "b", "score", F.round(jaccard("x", "y"), 6).alias("jaccard"))
     return scored.where(F.col("jaccard") <= lexical).orderBy(F.desc("score"), "a", "b").limit(max_pairs)
@@ -123,7 +154,7 @@ def audit(vectors: DataFrame, texts: DataFrame, claims: DataFrame, support: floa
     """For claims ``(query_id, vector)``: supporters ``(query_id, rank, passage_idx, score)``, the ``k`` best with a score of
     ``support`` or more, and what speaks against them, ``(query_id, passage_idx, supporter, score, jaccard)``: passages
     near a readable supporter but worded differently, no supporters themselves, under the first supporter that finds them."""
-    from sextant.functions.text import jaccard, trigrams
+    from sextant.functions.text import hashed_trigrams, jaccard
     from sextant.scratch import written
 
     passages = vectors.select(F.col("id").alias("passage_idx"), "vector")
@@ -135,9 +166,20 @@ def audit(vectors: DataFrame, texts: DataFrame, claims: DataFrame, support: floa
     rows = readable.select("query_id", "rank", F.col("passage_idx").alias("a")).join(near, "a").join(found.select("query_id", F.col("passage_idx").alias("b")), ["query_id", "b"], "left_anti")
     rows = written(rows.select("query_id", "rank", "a", "b", "score"), "against")
     ids = rows.select(F.col("a").alias("passage_idx")).union(rows.select("b")).distinct()
-    grams = legible.join(ids, "passage_idx", "left_semi").select("passage_idx", trigrams("text").alias("grams"))
+    grams = legible.join(ids, "passage_idx", "left_semi").select("passage_idx", hashed_trigrams("text").alias("grams"))
     rows = rows.join(grams.select(F.col("passage_idx").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("passage_idx").alias("b"), F.col("grams").alias("y")), "b")
     rows = rows.withColumn("jaccard", F.round(jaccard("x", "y"), 6)).where(F.col("jaccard") <= lexical)
     first = F.row_number().over(Window.partitionBy("query_id", "b").orderBy("rank"))
     against = rows.withColumn("at", first).where("at = 1").select("query_id", F.col("b").alias("passage_idx"), F.col("a").alias("supporter"), "score", "jaccard")
     return found, against
+
+
+def audit_summary(support: DataFrame, claims: DataFrame, passages: DataFrame, sources: DataFrame) -> DataFrame:
+    """``(query_id, n_support, source_count, drift_fraction)`` of every claim: how many passages of how many files back it, and the share
+    of these that the sources no longer hold."""
+    from sextant.operators.retrieval import CITATION, verified
+
+    hits = verified(support.select("query_id", "passage_idx").join(passages.select(*CITATION), "passage_idx"), sources)
+    drifted = F.avg((F.col("drift_status") != "verified").cast("double"))
+    out = hits.groupBy("query_id").agg(F.count("*").alias("n_support"), F.count_distinct("source_file").alias("source_count"), F.round(drifted, 6).alias("drift_fraction"))
+    return claims.select("query_id").join(out, "query_id", "left").fillna(0)

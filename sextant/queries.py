@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +12,8 @@ from sextant import tables as T
 from sextant.functions import chunks, text, vectors
 from sextant.operators import ann, blocks, clusters, compare, context, delta, evaluation, memory, projection, retrieval
 from sextant.plans import deep
-from sextant.sources import encoders, remote
+from sextant.scratch import scratch_dir
+from sextant.sources import convert, encoders, model, remote, store
 from sextant.streaming import files as streams
 
 #: The tables' vectors are nearly orthogonal: thresholds of real corpora would find nothing.
@@ -46,7 +48,8 @@ _DOCS = f"""doc AS (SELECT doc_id AS id, {_FILE} AS source_file, 0 AS char_offse
 _EDIT = f"""edited AS (SELECT {_FILE} AS source_file, coalesce(CASE WHEN source = 'src5' THEN replace(text, 'e', '3') ELSE text END, '') AS text FROM documents WHERE source <> 'src3' OR source IS NULL
     UNION ALL SELECT 'page_' || page_id, coalesce(html, '') FROM pages)"""
 _STATUS = "CASE WHEN n.text IS NULL THEN 'missing' WHEN 'sha256:' || sha256(substring(n.text, d.char_offset + 1, d.char_length)) = d.content_hash THEN 'verified' ELSE 'drifted' END"
-_TOP5 = f"""near AS (SELECT q.id AS query_id, d.id AS passage_idx, {_dot('d.x', 'q.x')} AS score FROM v q, v d WHERE d.id IN (SELECT doc_id FROM documents)),
+_PV = "pv AS (SELECT doc.id, v.x FROM doc JOIN v ON v.id = doc.id % (SELECT count(*) FROM v))"
+_TOP5 = f"""{_PV}, near AS (SELECT q.id AS query_id, d.id AS passage_idx, {_dot('d.x', 'q.x')} AS score FROM v q, pv d),
     top5 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_idx)::INT AS rank FROM near QUALIFY rank <= 5)"""
 _HITS = f"hit AS (SELECT t.query_id, t.rank, t.score, d.id AS passage_idx, d.source_file, d.char_offset, d.char_length, {_STATUS} AS drift_status, CASE WHEN {_STATUS} = 'verified' THEN substring(n.text, d.char_offset + 1, d.char_length) ELSE '' END AS text FROM top5 t JOIN doc d ON d.id = t.passage_idx LEFT JOIN edited n ON n.source_file = d.source_file)"
 _METRICS = """metric AS (SELECT query_id, count(*)::BIGINT AS n_hits, max(score) FILTER (rank = 1) AS top1_score, round(coalesce(max(score) FILTER (rank = 1) - max(score) FILTER (rank = 2), 1.0), 6)::DOUBLE AS top1_top2_gap,
@@ -57,9 +60,12 @@ _EVIDENCE = f"{_V}, {_DOCS}, {_EDIT}, {_TOP5}, {_HITS}, {_METRICS}"
 # Search.
 
 
-@registered(f"WITH {_V} SELECT 0::BIGINT AS query_id, row_number() OVER (ORDER BY score DESC, passage_idx)::INT AS rank, passage_idx, score FROM (SELECT d.id AS passage_idx, {_dot('d.x', 'q.x')} AS score FROM v d, v q WHERE q.id = 0) QUALIFY rank <= 10")
+_TURN = f"q.id % {T.EVERY} = 0"
+
+
+@registered(f"WITH {_V} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_idx)::INT AS rank, passage_idx, score FROM (SELECT q.id AS query_id, d.id AS passage_idx, {_dot('d.x', 'q.x')} AS score FROM v d, v q WHERE {_TURN}) QUALIFY rank <= 10")
 def topk_cosine(spark: SparkSession, d: str) -> DataFrame:
-    return blocks.best_of(T.by_label(spark, d), T.first_vector(spark, d), 10, False)
+    return blocks.best_of(T.by_label(spark, d), T.asked_in_turn(spark, d), 10, False)
 
 
 _SQL_DEDUP = """WITH {v}, s AS (SELECT q.id AS query_id, d.id AS passage_idx, d.label, d.id % 20 AS o, {dot} AS score FROM v d, v q{where}),
@@ -67,9 +73,9 @@ _SQL_DEDUP = """WITH {v}, s AS (SELECT q.id AS query_id, d.id AS passage_idx, d.
     SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_idx)::INT AS rank, passage_idx, score FROM one QUALIFY rank <= {k}"""
 
 
-@registered(_SQL_DEDUP.format(v=_V, dot=_dot("d.x", "q.x"), where=" WHERE q.id = 0", k=10))
+@registered(_SQL_DEDUP.format(v=_V, dot=_dot("d.x", "q.x"), where=f" WHERE {_TURN}", k=10))
 def topk_cosine_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return blocks.best_of(T.by_label(spark, d), T.first_vector(spark, d), 10, True)
+    return blocks.best_of(T.by_label(spark, d), T.asked_in_turn(spark, d), 10, True)
 
 
 @registered(_SQL_DEDUP.format(v=_V, dot=_dot("d.x", "q.x"), where="", k=5))
@@ -79,7 +85,15 @@ def topk_batch(spark: SparkSession, d: str) -> DataFrame:
 
 @registered()
 def ann_topk(spark: SparkSession, d: str) -> DataFrame:
-    return ann.retrieve(T.by_label(spark, d), T.asked(spark, d), 10, ann.build(T.by_label(spark, d)))
+    return ann.retrieve(T.by_label(spark, d), T.asked_in_turn(spark, d), 10, ann.build(T.by_label(spark, d)))
+
+
+@registered(f"SELECT count(*)::BIGINT AS n_queries, sum(least(10, (SELECT count(*) FROM embeddings)))::BIGINT AS n_exact, (SELECT count(*) FROM embeddings)::BIGINT AS n_indexed, true AS recall_reached FROM embeddings WHERE vec_id % {T.EVERY} = 0")
+def ann_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a search by the index finds nine tenths of the nearest passages or more."""
+    index = ann.build(T.by_label(spark, d))
+    found = ann.recall(index, T.asked_in_turn(spark, d)).agg(F.count("*").alias("n_queries"), F.sum("n_exact").alias("n_exact"), (F.sum("n_found") >= 0.9 * F.sum("n_exact")).alias("recall_reached"))
+    return found.crossJoin(F.broadcast(index.rows.agg(F.count("cell").alias("n_indexed"))))
 
 
 @registered(f"WITH {_V}, {_W} SELECT v.id AS a, max({_dot('v.x', 'w.x')}) AS score FROM v, w GROUP BY v.id")
@@ -155,14 +169,15 @@ def near_duplicate_clusters(spark: SparkSession, d: str) -> DataFrame:
     return clusters.near_duplicates(T.vectors(spark, d), ALIKE).select("cluster_id", "size", "mean_cosine")
 
 
-@registered(f"WITH {_V} SELECT row_number() OVER (ORDER BY score DESC, passage_idx)::INT AS rank, passage_idx, score FROM (SELECT d.id AS passage_idx, {_dot('d.x', 'q.x')} AS score FROM v d, v q WHERE q.id = 0 AND d.id <> 0) QUALIFY rank <= 10")
+@registered(f"WITH {_V} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_idx)::INT AS rank, passage_idx, score FROM (SELECT q.id AS query_id, d.id AS passage_idx, {_dot('d.x', 'q.x')} AS score FROM v d, v q WHERE {_TURN} AND d.id <> q.id) QUALIFY rank <= 10")
 def neighbors(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.neighbors(T.by_label(spark, d), 0)
+    return retrieval.neighbors(T.by_label(spark, d), T.asked_in_turn(spark, d).select(F.col("query_id").alias("passage_idx")))
 
 
-@registered(f"WITH {_DOCS} SELECT id AS passage_idx, source_file, char_offset, char_length::INT AS char_length, content_hash, passage_id FROM doc JOIN embeddings ON id = vec_id WHERE id = 7")
+@registered(f"WITH {_DOCS} SELECT id AS passage_idx, source_file, char_offset, char_length::INT AS char_length, content_hash, passage_id FROM doc q WHERE {_TURN}")
 def locate(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.locate(T.passages(spark, d), 7)
+    rows = T.cited(spark, d)
+    return retrieval.locate(rows, rows.where(F.col("passage_idx") % T.EVERY == 0))
 
 
 @registered("SELECT 'label_' || label AS source_file, count(*)::BIGINT AS n_passages FROM embeddings GROUP BY label")
@@ -170,14 +185,14 @@ def profile(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.profile(T.by_label(spark, d))
 
 
-@registered(f"WITH {_DOCS}, {_EDIT} SELECT d.id AS passage_idx, {_STATUS} AS drift_status FROM doc d JOIN embeddings ON vec_id = id LEFT JOIN edited n USING (source_file)")
+@registered(f"WITH {_DOCS}, {_EDIT} SELECT d.id AS passage_idx, {_STATUS} AS drift_status FROM doc d LEFT JOIN edited n USING (source_file)")
 def drift_report(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.drift_report(T.passages(spark, d), T.edited_files(spark, d)).select("passage_idx", "drift_status")
+    return retrieval.drift_report(T.cited(spark, d), T.edited_files(spark, d)).select("passage_idx", "drift_status")
 
 
-@registered(f"WITH {_DOCS}, {_EDIT}, s AS (SELECT {_STATUS} AS drift_status FROM doc d JOIN embeddings ON vec_id = id LEFT JOIN edited n USING (source_file)) SELECT x.drift_status, count(s.drift_status)::BIGINT AS n FROM (VALUES ('verified'), ('drifted'), ('missing')) x(drift_status) LEFT JOIN s USING (drift_status) GROUP BY x.drift_status")
+@registered(f"WITH {_DOCS}, {_EDIT}, s AS (SELECT {_STATUS} AS drift_status FROM doc d LEFT JOIN edited n USING (source_file)) SELECT x.drift_status, count(s.drift_status)::BIGINT AS n FROM (VALUES ('verified'), ('drifted'), ('missing')) x(drift_status) LEFT JOIN s USING (drift_status) GROUP BY x.drift_status")
 def drift_counts(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.drift_counts(retrieval.drift_report(T.passages(spark, d), T.edited_files(spark, d)))
+    return retrieval.drift_counts(retrieval.drift_report(T.cited(spark, d), T.edited_files(spark, d)))
 
 
 def _evidence(spark: SparkSession, d: str, queries: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -285,14 +300,53 @@ def audit_against(spark: SparkSession, d: str) -> DataFrame:
     return compare.audit(T.vectors(spark, d), T.texts(spark, d), T.asked(spark, d), BARELY, 10, NEAR)[1]
 
 
+@registered(f"""WITH {_V}, {_SUPPORT}, {_DOCS}, {_EDIT}, h AS (SELECT s.query_id, d.source_file, {_STATUS} AS state FROM support s JOIN doc d ON d.id = s.passage_idx LEFT JOIN edited n ON n.source_file = d.source_file),
+    a AS (SELECT query_id, count(*) AS n, count(DISTINCT source_file) AS files, round(avg((state <> 'verified')::INT), 6) AS drift FROM h GROUP BY query_id)
+    SELECT v.id AS query_id, coalesce(n, 0)::BIGINT AS n_support, coalesce(files, 0)::BIGINT AS source_count, coalesce(drift, 0)::DOUBLE AS drift_fraction FROM v LEFT JOIN a ON a.query_id = v.id""")
+def audit_summary(spark: SparkSession, d: str) -> DataFrame:
+    claims = T.asked(spark, d)
+    support = compare.audit(T.vectors(spark, d), T.texts(spark, d), claims, BARELY, 10, NEAR)[0]
+    return compare.audit_summary(support, claims, T.cited(spark, d), T.edited_files(spark, d))
+
+
 # Texts and upkeep.
 
 
-@registered()
+def _chunks_sql(name: str, texts: str) -> str:
+    """Passages of texts without blank lines: runs of sentences of up to 3,200 characters; a longer sentence is cut, and what is left stands alone."""
+    sentence = f"(?s).*?[.!?]{text.SPACE}"
+    inside = f"list_filter(e, lambda z: z > {{at}} AND z <= {{at}} + {chunks.MOST})"
+    hi = f"CASE WHEN {{at}} > 0 AND NOT list_contains(e, {{at}}) THEN least(list_min(list_filter(e, lambda z: z > {{at}})), {{at}} + {chunks.MOST}) ELSE coalesce(list_max({inside}), {{at}} + {chunks.MOST}) END"
+    return f"""{name}_l AS (SELECT source_file, text, length(text) AS n, list_transform(regexp_extract_all(text, '{sentence}'), lambda z: length(z)) AS l FROM ({texts}) WHERE regexp_replace(text, '{text.SPACE}', '', 'g') <> ''),
+    {name}_e AS (SELECT source_file, n, list_append(list_transform(range(1, len(l) + 1), lambda i: list_sum(l[1:i])::BIGINT), n) AS e FROM {name}_l),
+    {name}_p AS (SELECT source_file, n, e, 0::BIGINT AS lo, {hi.format(at="0::BIGINT")} AS hi FROM {name}_e UNION ALL SELECT source_file, n, e, hi, {hi.format(at="hi")} FROM {name}_p WHERE hi < n),
+    {name} AS (SELECT source_file, lo::INT AS char_offset, (hi - lo)::INT AS char_length, substring(text, lo + 1, hi - lo) AS text, 'sha256:' || sha256(substring(text, lo + 1, hi - lo)) AS content_hash,
+        left(sha256(source_file || chr(31) || lo || chr(31) || (hi - lo)), 16) AS passage_id FROM {name}_p JOIN {name}_l USING (source_file))"""
+
+
+_CHUNKS = _chunks_sql("cut", f"SELECT {_FILE} AS source_file, text FROM documents WHERE text IS NOT NULL")
+_EDITED = f"SELECT {_FILE} AS source_file, CASE WHEN source = 'src5' THEN replace(text, 'e', '3') ELSE text END AS text FROM documents WHERE text IS NOT NULL AND (source <> 'src3' OR source IS NULL)"
+_CHUNKS2 = _chunks_sql("now", _EDITED)
+
+
+@registered(f"WITH RECURSIVE {_CHUNKS} SELECT row_number() OVER (ORDER BY source_file, char_offset) - 1 AS passage_idx, source_file, char_offset, char_length, content_hash, passage_id FROM cut")
 def chunk_passages(spark: SparkSession, d: str) -> DataFrame:
     return chunks.registry(T.files(spark, d)).drop("text")
 
 
+@registered(f"WITH RECURSIVE {_CHUNKS}, {_CHUNKS2} SELECT coalesce(o.passage_id, n.passage_id) AS passage_id, CASE WHEN o.content_hash IS NULL THEN 'added' WHEN n.content_hash IS NULL THEN 'removed' WHEN o.content_hash = n.content_hash THEN 'unchanged' ELSE 'updated' END AS bucket FROM cut o FULL JOIN now n ON o.passage_id = n.passage_id")
+def delta_of_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return delta.bucketise(chunks.candidates(T.files(spark, d)), chunks.candidates(T.edited_documents(spark, d)))
+
+
+@registered(f"""WITH RECURSIVE {_CHUNKS}, e AS ({_EDITED}) SELECT c.passage_id, CASE WHEN e.text IS NULL THEN 'missing' WHEN sha256(e.text) = sha256(d.text) THEN 'verified' ELSE 'drifted' END AS drift_status
+    FROM cut c JOIN documents d ON c.source_file = 'doc_' || d.doc_id LEFT JOIN e ON e.source_file = c.source_file""")
+def pinned_drift(spark: SparkSession, d: str) -> DataFrame:
+    """Passages of files whose hashes are pinned: one that differs has drifted as a whole."""
+    pins = remote.compose_manifest(T.files(spark, d), T.URL_BASE)
+    return retrieval.drift_report(chunks.registry(T.files(spark, d)), remote.against_pins(T.edited_documents(spark, d), pins)).select("passage_id", "drift_status")
+
+
 @registered(f"WITH {_DOCS} SELECT source_file, content_hash, passage_id FROM doc")
 def passage_hash_id(spark: SparkSession, d: str) -> DataFrame:
     return T.whole(T.files(spark, d)).select("source_file", "content_hash", "passage_id")
@@ -312,12 +366,30 @@ def delta_counts(spark: SparkSession, d: str) -> DataFrame:
     return delta.bucket_counts(delta.bucketise(T.whole(T.files(spark, d)), T.whole(T.edited_files(spark, d))))
 
 
-@registered(f"WITH {_DOCS}, {_EDIT}, {_NEW} SELECT row_number() OVER (ORDER BY n.source_file, n.passage_id) - 1 AS passage_idx, n.source_file, n.passage_id, n.content_hash, coalesce(o.content_hash = n.content_hash, false) AS kept FROM new n LEFT JOIN doc o ON o.passage_id = n.passage_id")
+def _hashed_sql(name: str, texts: str) -> str:
+    """Vectors of the hashing encoder: words counted by place and sign of their hash, at length one in single precision."""
+    return f"""{name}_w AS (SELECT key, sha256(w) AS h FROM (SELECT key, unnest(list_filter(regexp_split_to_array(lower(text), '{text.SPACE}'), lambda z: z <> '')) AS w FROM ({texts}))),
+    {name}_c AS (SELECT key, ('0x' || substring(h, 16, 1))::INT % 8 AS pos, sum(CASE WHEN ('0x' || left(h, 1))::INT >= 8 THEN 1 ELSE -1 END)::DOUBLE AS x FROM {name}_w GROUP BY ALL),
+    {name}_n AS (SELECT key, sqrt(sum(x * x)) AS norm FROM {name}_c GROUP BY key),
+    {name} AS (SELECT k.key, p.pos::INT AS pos, coalesce((x / greatest(norm, 1e-12))::FLOAT::DOUBLE, 0) AS value FROM (SELECT DISTINCT key FROM ({texts})) k CROSS JOIN range(8) p(pos) LEFT JOIN {name}_n n ON n.key = k.key LEFT JOIN {name}_c c ON c.key = k.key AND c.pos = p.pos)"""
+
+
+@registered(f"WITH {_hashed_sql('vec', f'SELECT {_FILE} AS key, {_TEXT} AS text FROM documents')} SELECT key AS source_file, pos, round(value, 6) AS value FROM vec")
+def encoded_texts(spark: SparkSession, d: str) -> DataFrame:
+    rows = encoders.encoded(T.files(spark, d), encoders.HashingEncoder(8), "source_file")
+    return rows.select("source_file", F.posexplode("vector").alias("pos", "value")).select("source_file", "pos", F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
+@registered(f"""WITH {_DOCS}, {_EDIT}, {_NEW}, {_hashed_sql('vec', 'SELECT source_file AS key, text FROM edited')}, r AS (SELECT n.*, coalesce(o.content_hash = n.content_hash, false) AS kept FROM new n LEFT JOIN doc o ON o.passage_id = n.passage_id)
+    SELECT row_number() OVER (ORDER BY r.source_file, r.passage_id) - 1 AS passage_idx, r.source_file, r.passage_id, r.content_hash, kept, CASE WHEN NOT kept THEN round(v0.value, 6) END AS first_entry, CASE WHEN NOT kept THEN round(v7.value, 6) END AS last_entry
+    FROM r JOIN vec v0 ON v0.key = r.source_file AND v0.pos = 0 JOIN vec v7 ON v7.key = r.source_file AND v7.pos = 7""")
 def apply_delta(spark: SparkSession, d: str) -> DataFrame:
     """Vectors that were there are marked by a size of one; new ones are encoded."""
     old = T.whole(T.files(spark, d)).withColumn("vector", F.array(F.lit(0.0).cast("float")))
     done = delta.apply_delta(old, T.whole(T.edited_files(spark, d)), encoders.encode_with(encoders.HashingEncoder(8)))
-    return done.select("passage_idx", "source_file", "passage_id", "content_hash", (F.size("vector") == 1).alias("kept"))
+    kept = F.size("vector") == 1
+    entry = lambda i: F.when(~kept, F.round(F.get("vector", F.lit(i)).cast("double"), 6))
+    return done.select("passage_idx", "source_file", "passage_id", "content_hash", kept.alias("kept"), entry(0).alias("first_entry"), entry(7).alias("last_entry"))
 
 
 _PINNED = f"pinned AS (SELECT source_file, '{T.URL_BASE}/' || source_file AS url, sha256(text) AS sha256 FROM doc), catalog AS (SELECT source_file, '{T.URL_BASE}/' || source_file AS url, sha256(text) AS sha256 FROM edited)"
@@ -343,6 +415,65 @@ def compose_manifest(spark: SparkSession, d: str) -> DataFrame:
     return remote.compose_manifest(T.table(spark, d, "pages").select(F.col("url").alias("source_file"), F.col("html").alias("text")), T.URL_BASE)
 
 
+@registered(f"WITH {_DOCS}, {_EDIT}, {_PINNED} SELECT source_file, url, CASE WHEN right(url, 1) <> '7' THEN 'text of ' || url END AS text, CASE WHEN right(url, 1) = '7' THEN 'OSError: gone' END AS error FROM catalog")
+def remote_fetch(spark: SparkSession, d: str) -> DataFrame:
+    return remote.fetched(remote.compose_manifest(T.edited_files(spark, d), T.URL_BASE), T.fetch)
+
+
+# Models on disk.
+
+
+@registered(f"WITH {_DOCS} SELECT row_number() OVER (ORDER BY source_file) - 1 AS passage_idx, source_file, char_offset, char_length::INT AS char_length, content_hash, passage_id FROM doc")
+def registry_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """JSON lines written and read again."""
+    path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/registry-{uuid.uuid4().hex}"
+    model.write_registry(chunks.numbered(T.cited(spark, d), ["source_file"]), path)
+    return model.read_registry(spark, path)
+
+
+def _stored(spark: SparkSession, d: str, mode: str) -> model.KnowledgeModel:
+    """The documents as a model on disk, read again; texts in the given mode, a projected band beside the base."""
+    texts = T.files(spark, d)
+    meta = model.new_metadata(mode, 64, "none", "1")
+    km = model.KnowledgeModel(T.passages(spark, d), meta, texts if mode == "bundled" else None, remote.compose_manifest(texts, T.URL_BASE) if mode == "remote" else None)
+    path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/model-{uuid.uuid4().hex}"
+    model.write(model.with_optimised(km, T.weights()), path)
+    return model.read(spark, path)
+
+
+@registered(f"WITH {_DOCS} SELECT id AS passage_idx, source_file, content_hash, 'bundled' AS mode, 'optimised' AS band, 16 AS band_dim, substring(text, char_offset + 1, char_length) AS text FROM doc")
+def model_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """A bundled model written and read again, its passages cut from its own texts."""
+    km = _stored(spark, d, "bundled")
+    rows = retrieval.verified_only(retrieval.verified(km.passages.select(*retrieval.CITATION), store.open_sources(km)))
+    return rows.select("passage_idx", "source_file", "content_hash", F.lit(km.mode).alias("mode"), F.lit(km.band()).alias("band"), F.lit(km.metadata["bands"][km.band()]["dim"]).alias("band_dim"), "text")
+
+
+@registered(f"""WITH {_V}, m AS (SELECT i.i, list({{w}} ORDER BY j.j) AS w FROM range(16) i(i), range(64) j(j) GROUP BY i.i), p AS (SELECT d.doc_id AS id, v.x FROM documents d JOIN v ON v.id = d.doc_id % (SELECT count(*) FROM v)), y AS (SELECT id, i AS pos, list_dot_product(x, w) AS z FROM p, m)
+    SELECT id AS passage_idx, pos::INT AS pos, round((z / greatest(sqrt(sum(z * z) OVER (PARTITION BY id)), 1e-12)), 4) AS value FROM y""".replace("{w}", "sin(i.i * 64 + j.j + 1)"))
+def stored_band(spark: SparkSession, d: str) -> DataFrame:
+    """The projected band as it is stored, in single precision."""
+    km = _stored(spark, d, "local")
+    return km.passages.select("passage_idx", F.posexplode(km.band()).alias("pos", "value")).select("passage_idx", "pos", F.round(F.col("value").cast("double"), 4).alias("value"))
+
+
+@registered(f"WITH {_DOCS} SELECT source_file, '{T.URL_BASE}/' || source_file AS url, sha256(text) AS sha256, 'remote' AS mode FROM doc")
+def converted_model(spark: SparkSession, d: str) -> DataFrame:
+    """A bundled model turned into a remote one."""
+    km = convert.converted(_stored(spark, d, "bundled"), "remote", T.files(spark, d), T.URL_BASE)
+    return km.manifest.select("source_file", "url", "sha256", F.lit(km.mode).alias("mode"))
+
+
+@registered(f"""WITH RECURSIVE {_V}, {_W}, {_DOCS}, {_PV}, pw AS (SELECT doc.id, w.x FROM doc JOIN w ON w.id = doc.id % (SELECT count(*) FROM w)),
+    u AS (SELECT row_number() OVER (ORDER BY side, old_id) AS id, side, old_id, x FROM (SELECT 0 AS side, id AS old_id, x FROM pv UNION ALL SELECT 1, id, x FROM pw)),
+    edge AS (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.id < b.id WHERE {_dot('a.x', 'b.x')} >= 0.92), {_REACH.format(p='edge', n='u')}, k AS (SELECT u.* FROM u JOIN c ON c.id = u.id AND c.cluster_id = u.id)
+    SELECT row_number() OVER (ORDER BY k.id) - 1 AS passage_idx, source_file, passage_id, (SELECT count(*) FROM k)::BIGINT AS n_merged, 'local' AS mode FROM k JOIN doc ON doc.id = k.old_id""")
+def merged_model(spark: SparkSession, d: str) -> DataFrame:
+    """Two models of one set of files, the second after an edit of its vectors."""
+    km = compare.merged_model(*(model.KnowledgeModel(T.passages(spark, d, edited), model.new_metadata("local", 64, "none", "1")) for edited in (False, True)))
+    return km.passages.select("passage_idx", "source_file", "passage_id", F.lit(km.metadata["build_config"]["n_merged"]).cast("long").alias("n_merged"), F.lit(km.mode).alias("mode"))
+
+
 # Names and context.
 
 _STOPS = "[" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "]"
@@ -366,6 +497,20 @@ def name_check(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("conv_id", "turn", "question", F.array_join(text.missing_names("question", "answer"), ",").alias("missing"))
 
 
+@registered(f"""WITH turn AS (SELECT conv_id, turn, coalesce(text, '') AS q, coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text), '') AS answer FROM conversations),
+    m AS (SELECT conv_id, turn, q, (SELECT string_agg('`' || s || '`', ', ' ORDER BY i) FROM (SELECT s, min(i) AS i FROM (SELECT unnest({_names_sql('q')}) AS s, generate_subscripts({_names_sql('q')}, 1) AS i) GROUP BY s) WHERE NOT ({_HAS.format(t='answer')})) AS names FROM turn)
+    SELECT conv_id, turn, q AS question, CASE WHEN names IS NULL THEN '' ELSE '> No passage names ' || names || '. Say so instead of answering about something alike.' || chr(10) END AS note FROM m""")
+def refusals(spark: SparkSession, d: str) -> DataFrame:
+    nxt = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    rows = T.table(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("question"), nxt.alias("answer"))
+    return rows.select("conv_id", "turn", "question", text.refusal(text.missing_names("question", "answer")).alias("note"))
+
+
+@registered(f"WITH t AS (SELECT doc_id, replace(regexp_replace(text, '^{text.SPACE}|{text.SPACE}$', '', 'g'), chr(10), ' ') AS t FROM documents) SELECT doc_id, CASE WHEN length(t) > 280 THEN left(t, 279) || '…' ELSE t END AS preview FROM t")
+def previews(spark: SparkSession, d: str) -> DataFrame:
+    return T.table(spark, d, "documents").select("doc_id", text.preview("text").alias("preview"))
+
+
 _BLOCK = "(length(source_file || ':' || char_offset || '+' || char_length) + length(drift_status) + length(text) + 24)"
 
 
@@ -395,8 +540,8 @@ def skill_context(spark: SparkSession, d: str) -> DataFrame:
     return context.question_blocks(hits, metrics, _questions(spark, d), "knowledge").select("query_id", "drifted", F.array_join("missing_names", ",").alias("missing"), "block")
 
 
-@registered(f"""WITH {_V}, {_DOCS}, {_EDIT}, e AS (SELECT unnest(x) AS a, generate_subscripts(x, 1) AS pos FROM v JOIN doc USING (id)), m AS (SELECT pos, avg(a) AS a FROM e GROUP BY pos), mid AS (SELECT list(a / (SELECT sqrt(sum(a * a)) FROM m) ORDER BY pos) AS x FROM m),
-    near AS (SELECT 0 AS query_id, v.id AS passage_idx, {_dot('v.x', 'mid.x')} AS score FROM v JOIN doc USING (id), mid), top5 AS (SELECT *, row_number() OVER (ORDER BY score DESC, passage_idx)::INT AS rank FROM near QUALIFY rank <= 10), {_HITS},
+@registered(f"""WITH {_V}, {_DOCS}, {_EDIT}, {_PV}, e AS (SELECT unnest(x) AS a, generate_subscripts(x, 1) AS pos FROM pv), m AS (SELECT pos, avg(a) AS a FROM e GROUP BY pos), mid AS (SELECT list(a / (SELECT sqrt(sum(a * a)) FROM m) ORDER BY pos) AS x FROM m),
+    near AS (SELECT 0 AS query_id, pv.id AS passage_idx, {_dot('pv.x', 'mid.x')} AS score FROM pv, mid), top5 AS (SELECT *, row_number() OVER (ORDER BY score DESC, passage_idx)::INT AS rank FROM near QUALIFY rank <= 10), {_HITS},
     run AS (SELECT *, sum(length(text)) OVER w AS used, row_number() OVER w AS nth FROM hit WHERE drift_status <> 'missing' AND text <> '' WINDOW w AS (ORDER BY rank)) SELECT rank, passage_idx, score FROM run WHERE nth = 1 OR used <= 2400""")
 def summary_landscape(spark: SparkSession, d: str) -> DataFrame:
     rows = T.passages(spark, d)
@@ -444,9 +589,12 @@ _MEMORY = """m AS (SELECT vec_id AS memory_id, embedding::DOUBLE[] AS x, label,
 _EFFECT = "salience * CASE tier WHEN 'working' THEN pow(0.5::DOUBLE, age / 86400) WHEN 'episodic' THEN pow(0.5::DOUBLE, age / 1209600) ELSE 1 END"
 
 
-@registered(f"WITH {_MEMORY}, s AS (SELECT m.memory_id, m.tier, round({_dot('m.x', 'q.x')} * CASE m.tier WHEN 'working' THEN 0.5 WHEN 'episodic' THEN 0.3 ELSE 0.2 END::DOUBLE * m.salience, 6) AS score FROM m, m q WHERE q.memory_id = 0) SELECT row_number() OVER (ORDER BY score DESC, memory_id)::INT AS rank, memory_id, tier, score FROM s QUALIFY rank <= 10")
+_WORTH = "CASE m.tier WHEN 'working' THEN 0.5::DOUBLE WHEN 'episodic' THEN 0.3::DOUBLE ELSE 0.2::DOUBLE END * m.salience"
+
+
+@registered(f"WITH {_MEMORY}, w AS (SELECT memory_id, tier, {_WORTH} AS w, x FROM m), y AS (SELECT memory_id, tier, list_transform(x, lambda e: e * w) AS x FROM w), s AS (SELECT q.id AS query_id, y.memory_id, y.tier, {_dot('y.x', 'q.x')} AS score FROM y, (SELECT memory_id AS id, x FROM m) q WHERE {_TURN}) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id)::INT AS rank, memory_id, tier, score FROM s QUALIFY rank <= 10")
 def memory_recall(spark: SparkSession, d: str) -> DataFrame:
-    return memory.recall(T.memory(spark, d), list(T.first_vector(spark, d).first().vector))
+    return memory.recall(T.memory(spark, d), T.asked_in_turn(spark, d))
 
 
 @registered(f"WITH {_MEMORY} SELECT memory_id, tier, age AS age_seconds, round({_EFFECT}, 6) AS effective FROM m")
@@ -474,9 +622,29 @@ def memory_primer(spark: SparkSession, d: str) -> DataFrame:
     return memory.primer(T.memory(spark, d), 0.1).select("tier", "rank", "memory_id", "score")
 
 
+@registered(f"WITH {_MEMORY} SELECT memory_id, CASE WHEN tier = 'working' THEN 'semantic' ELSE tier END AS tier FROM m WHERE tier <> 'semantic'")
+def memory_store(spark: SparkSession, d: str) -> DataFrame:
+    """A store that is written, appended to tier by tier, and has one tier replaced by what another holds."""
+    root = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/memory-{uuid.uuid4().hex}"
+    rows = T.memory(spark, d).select(*(F.col(c.split()[0]) for c in memory.SCHEMA.split(", ")))
+    for tier in memory.TIERS:
+        store.append_memory(rows.where(F.col("tier") == tier), root)
+    store.replace_tier(rows.where("tier = 'working'"), "semantic", root)
+    store.replace_tier(rows.limit(0), "working", root)
+    return store.read_memory(spark, root).select("memory_id", "tier")
+
+
 # Samples, training data, evaluation.
 
 
+@registered("SELECT label, count(*)::BIGINT AS n, round(((count(*) + 1) * 900 * 1.0 + (count(*) + 1) * 120 * 5.0) / 1e6, 6)::DOUBLE AS usd FROM embeddings GROUP BY label")
+def training_cost(spark: SparkSession, d: str) -> DataFrame:
+    """What queries for the passages of each label would cost."""
+    rows = T.table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
+    return rows.select("label", "n", F.round(projection.cost_usd((F.col("n") + 1) * projection.TOKENS_IN, (F.col("n") + 1) * projection.TOKENS_OUT), 6).alias("usd"))
+
+
+
 @registered("""WITH p AS (SELECT vec_id AS passage_idx, label, sha256('0:' || vec_id) AS draw FROM embeddings), e AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY label ORDER BY draw, passage_idx) <= 3) SELECT passage_idx FROM e ORDER BY draw, passage_idx LIMIT 6000""")
 def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     return projection.stratified_sample(T.by_label(spark, d)).select("passage_idx")

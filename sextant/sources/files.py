@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from pathlib import Path
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,14 +40,23 @@ def resolve_inside(root: str, source_file: str) -> str:
 
 def walk(spark: SparkSession, paths: list[str], root: str | None = None, extensions: tuple[str, ...] = EXTENSIONS) -> tuple[DataFrame, DataFrame]:
     """``(source_file, text)`` of all files with an allowed extension below ``paths``, and ``(source_file, reason)`` of those that
-    aren't UTF-8. Names are relative to ``root``, absolute outside it; line ends become single newlines; a file named twice counts once."""
+    can't be read or aren't UTF-8. Names are relative to ``root``, absolute outside it; line ends become single newlines; a file named twice counts once."""
     root = os.path.abspath(root or common_root(paths)).rstrip("/")
     ending = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     plain = F.regexp_replace(F.col("path"), "^file:/+", "/")
     inside = F.startswith(plain, F.lit(root + "/"))
     name = F.when(inside, F.expr(f"substring(plain_, {len(root) + 2})")).otherwise(F.col("plain_"))
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    raw = raw.where(ending.isin(*(e.lower().lstrip(".") for e in extensions))).withColumn("plain_", plain)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    named = lambda raw: raw.where(ending.isin(*(e.lower().lstrip(".") for e in extensions))).withColumn("plain_", plain)
+    raw = named(found.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(paths))
     rows = raw.select(name.alias("source_file"), F.try_validate_utf8(F.col("content").cast("string")).alias("text")).dropDuplicates(["source_file"])
     good = rows.where("text is not null").select("source_file", lines_normalized("text").alias("text"))
-    return good, rows.where("text is null").select("source_file", F.lit("not utf-8").alias("reason"))
+    wrong = rows.where("text is null").select("source_file", F.lit("not utf-8").alias("reason"))
+    listed = spark.createDataFrame([(str(x),) for x in _listed(raw)], "path string")
+    lost = named(listed).select(name.alias("source_file")).distinct().join(rows.select("source_file"), "source_file", "left_anti")
+    return good, wrong.unionByName(lost.select("source_file", F.lit("can't be read").alias("reason")))
+
+
+def _listed(raw: DataFrame) -> list[str]:
+    """The files that the reader lists, whether or not they can be read; the driver holds this list anyway."""
+    return [unquote(x) for x in raw.inputFiles()]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -85,7 +86,7 @@ def write(km: KnowledgeModel, path: str) -> int:
     """Writes the next version, then moves the pointer: readers see the old version or the new. Vectors are stored at length one."""
     check(km)
     spark = km.passages.sparkSession
-    version = current(spark, path) + 1
+    version = claimed(spark, path)
     at = f"{path}/v={version}"
     bands = [b for b in ("vector", "optimised") if b in km.passages.columns]
     rows = km.passages.select(*(c for c in km.passages.columns if c not in bands), *(normalized(b).cast("array<float>").alias(b) for b in bands))
@@ -102,15 +103,40 @@ def write(km: KnowledgeModel, path: str) -> int:
 
 
 def _put(spark: SparkSession, path: str, text: str) -> None:
-    """One small file, replaced as a whole."""
+    """One small file, replaced in one step: a crash leaves the old one or the new."""
     fs, target = _fs(spark, path)
-    _, draft = _fs(spark, path + ".new")
+    if fs.getUri().getScheme() == "file":
+        import os
+
+        plain = target.toUri().getPath()
+        os.makedirs(os.path.dirname(plain), exist_ok=True)
+        draft = f"{plain}.{uuid.uuid4().hex}"
+        with open(draft, "w", encoding="utf-8") as f:
+            f.write(text)
+            f.flush()
+            os.fsync(f.fileno())
+        os.replace(draft, plain)
+        return
+    _, draft = _fs(spark, f"{path}.{uuid.uuid4().hex}")
     out = fs.create(draft, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(target, False)
-    if not fs.rename(draft, target):
-        raise OSError(f"can't move {path}")
+    jvm = spark._jvm
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()).rename(draft, target, how)
+
+
+def claimed(spark: SparkSession, path: str) -> int:
+    """The next version's number, that no other writer gets: an empty file is made for each."""
+    version = current(spark, path) + 1
+    while True:
+        fs, mark = _fs(spark, f"{path}/claimed-{version}")
+        fs.mkdirs(mark.getParent())
+        if fs.createNewFile(mark):
+            return version
+        version += 1
 
 
 def read(spark: SparkSession, path: str) -> KnowledgeModel:

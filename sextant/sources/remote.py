@@ -51,6 +51,12 @@ def fetched(manifest: DataFrame, opener: Opener = open_url, threads: int = THREA
     return rows.withColumn("text", lines_normalized("text"))
 
 
+def against_pins(got: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``(source_file, text, drifted)`` of what was fetched: ``drifted`` where the text isn't the one whose hash is pinned."""
+    rows = got.where("text is not null").select("source_file", "text").join(manifest.select("source_file", "sha256"), "source_file")
+    return rows.select("source_file", "text", (F.sha2("text", 256) != F.col("sha256")).alias("drifted"))
+
+
 def pinned_texts(manifest: DataFrame, opener: Opener = open_url, cache: DataFrame | None = None) -> DataFrame:
     """``(source_file, text)`` with every hash as pinned, failing at run time with the file's name if one isn't.
 

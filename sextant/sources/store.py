@@ -7,9 +7,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.operators.memory import SCHEMA
+from sextant.operators.memory import SCHEMA, TIERS, checked
 from sextant.sources import files, remote
-from sextant.sources.model import KnowledgeModel, _put, current
+from sextant.sources.model import KnowledgeModel, _put, claimed, current
 
 
 def local_texts(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
@@ -21,7 +21,8 @@ def local_texts(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
 
 
 def open_sources(km: KnowledgeModel, source_root: str | None = None, opener: remote.Opener = remote.open_url, only: list[str] | None = None) -> DataFrame:
-    """``(source_file, text)`` as the texts are now; ``only`` names the few files wanted.
+    """``(source_file, text)`` as the texts are now; ``only`` names the few files wanted. Remote texts have a third column,
+    ``drifted``, where their hash isn't the one pinned: no passage of such a file counts as verified.
 
     Local texts need a root, given or recorded, remote ones a manifest with entries; else ``ValueError``."""
     spark = km.passages.sparkSession
@@ -32,7 +33,7 @@ def open_sources(km: KnowledgeModel, source_root: str | None = None, opener: rem
         pins = km.manifest if only is None else km.manifest.where(F.col("source_file").isin(*only))
         if km.manifest.isEmpty():
             raise ValueError("the manifest is empty")
-        return remote.fetched(pins, opener).where("text is not null").select("source_file", "text")
+        return remote.against_pins(remote.fetched(pins, opener), pins)
     root = source_root or km.metadata.get("build_config", {}).get("root")
     if not root:
         raise ValueError("local texts need a source root")
@@ -53,7 +54,25 @@ def read_memory(spark: SparkSession, root: str) -> DataFrame:
 def write_memory(memory: DataFrame, root: str) -> int:
     """The next version, a folder a tier, then the pointer: a crash between leaves the old one whole."""
     spark = memory.sparkSession
-    version = current(spark, root) + 1
+    version = claimed(spark, root)
     memory.write.mode("overwrite").partitionBy("tier").parquet(f"{root}/v={version}")
     _put(spark, f"{root}/CURRENT", str(version))
     return version
+
+
+def append_memory(entries: DataFrame, root: str) -> int:
+    """New entries beside those that there are, which stay as they lie; the first ones make a version. An unknown tier fails."""
+    spark = entries.sparkSession
+    entries, version = checked(entries), current(spark, root)
+    if version < 0:
+        return write_memory(entries, root)
+    entries.write.mode("append").partitionBy("tier").parquet(f"{root}/v={version}")
+    return version
+
+
+def replace_tier(entries: DataFrame, tier: str, root: str) -> int:
+    """The next version, in which one tier holds ``entries`` alone and the others what they held."""
+    if tier not in TIERS:
+        raise ValueError(f"no such tier: {tier}")
+    rest = read_memory(entries.sparkSession, root).where(F.col("tier") != tier)
+    return write_memory(rest.unionByName(entries.withColumn("tier", F.lit(tier)).select(*rest.columns)), root)

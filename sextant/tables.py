@@ -39,19 +39,29 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors(spark, sf_dir).select(F.col("id").alias("query_id"), "vector")
 
 
-def first_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where("vec_id = 0").select(F.lit(0).cast("long").alias("query_id"), F.col("embedding").alias("vector"))
+#: Searches that one passage at a time would be asked for take as queries the rows whose id this divides.
+EVERY = 50
+
+
+def asked_in_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth vector as a query, by its id."""
+    return asked(spark, sf_dir).where(F.col("query_id") % EVERY == 0)
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("source_file"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def edited_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents later on: those of one source are withdrawn, those of another changed, and web pages have come."""
+def edited_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents later on: those of one source are withdrawn, those of another changed."""
     docs = table(spark, sf_dir, "documents").where("source <> 'src3' or source is null")
     text = F.when(F.col("source") == "src5", F.replace("text", F.lit("e"), F.lit("3"))).otherwise(F.col("text"))
-    old = docs.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("source_file"), F.coalesce(text, F.lit("")).alias("text"))
+    return docs.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("source_file"), F.coalesce(text, F.lit("")).alias("text"))
+
+
+def edited_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``edited_documents``, and web pages that have come."""
+    old = edited_documents(spark, sf_dir)
     new = table(spark, sf_dir, "pages").select(F.concat(F.lit("page_"), F.col("page_id").cast("string")).alias("source_file"), F.coalesce("html", F.lit("")).alias("text"))
     return old.unionByName(new)
 
@@ -62,11 +72,24 @@ def whole(files: DataFrame) -> DataFrame:
     return files.select("source_file", F.lit(0).alias("char_offset"), size.alias("char_length"), content_hash("text").alias("content_hash"), passage_id("source_file", F.lit(0), size).alias("passage_id"), "text")
 
 
-def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with the vector of their number, a passage each."""
+def cited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a passage."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage_idx"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("source_file"), F.coalesce("text", F.lit("")).alias("text"))
-    cited = docs.select("passage_idx", *whole(docs).columns[:1], F.lit(0).alias("char_offset"), F.length("text").alias("char_length"), content_hash("text").alias("content_hash"), passage_id("source_file", F.lit(0), F.length("text")).alias("passage_id"))
-    return cited.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("passage_idx"), F.col("embedding").alias("vector")), "passage_idx")
+    return docs.select("passage_idx", *whole(docs).columns[:1], F.lit(0).alias("char_offset"), F.length("text").alias("char_length"), content_hash("text").alias("content_hash"), passage_id("source_file", F.lit(0), F.length("text")).alias("passage_id"))
+
+
+def passages(spark: SparkSession, sf_dir: str, edited: bool = False) -> DataFrame:
+    """Every document as a passage with a vector, or one of ``other_vectors``; there being fewer vectors, they are given out in turn."""
+    v = (other_vectors if edited else vectors)(spark, sf_dir)
+    turn = F.pmod("passage_idx", F.lit(max(1, v.count())))
+    return cited(spark, sf_dir).withColumn("id", turn).join(v, "id").drop("id")
+
+
+def fetch(url: str) -> bytes:
+    """A web where every address tells its name, but those that end in 7 are gone."""
+    if url.endswith("7"):
+        raise OSError("gone")
+    return f"text of {url}".encode()
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:

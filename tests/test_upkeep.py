@@ -316,3 +316,101 @@ def test_deep_search_checks_names_against_passages_alone(spark):
     assert deep.deep_search(spark, "What is MVE?", hop(spark, "the MVE"), Script(*script)).missing == []
     with pytest.raises(ValueError):
         deep.deep_search(spark, "q", hop(spark), Script(), max_hops=1)
+
+
+def test_files_that_cannot_be_read_are_named(spark, tmp_path):
+    from sextant.sources import files
+
+    for name, data in (("a b.md", b"one"), ("c.md", b"\xff\xfe\xfa"), ("gone.md", b"two"), ("x.bin", b"no")):
+        (tmp_path / name).write_bytes(data)
+    good, bad = files.walk(spark, [str(tmp_path)])
+    (tmp_path / "gone.md").unlink()  # between the list and the reading
+    assert [tuple(r) for r in good.collect()] == [("a b.md", "one")]
+    assert sorted(map(tuple, bad.collect())) == [("c.md", "not utf-8"), ("gone.md", "can't be read")]
+
+
+def test_the_pointer_moves_in_one_step_and_versions_are_claimed_once(spark, tmp_path, monkeypatch):
+    from sextant.sources import model
+
+    path = str(tmp_path / "km")
+    assert [model.claimed(spark, path) for _ in range(3)] == [0, 1, 2] and model.current(spark, path) == -1
+    model._put(spark, f"{path}/CURRENT", "1")
+    import os
+
+    def fails(*_):
+        raise OSError("no more")
+
+    monkeypatch.setattr(os, "replace", fails)
+    with pytest.raises(OSError, match="no more"):
+        model._put(spark, f"{path}/CURRENT", "2")
+    assert model.current(spark, path) == 1 and model.claimed(spark, path) == 3
+
+
+def test_texts_that_are_not_those_pinned_have_drifted_as_a_whole(spark):
+    from sextant.operators import retrieval
+    from sextant.sources import model, remote, store
+
+    src = spark.createDataFrame([("a.md", "Alpha one. Alpha two."), ("b.md", "Beta one. Beta two."), ("c.md", "Gamma")], "source_file string, text string")
+    passages = spark.createDataFrame([(i, f, 0, 5) for i, f in enumerate(("a.md", "b.md", "c.md"))], "passage_idx long, source_file string, char_offset int, char_length int").join(src, "source_file")
+    passages = passages.selectExpr("passage_idx", "source_file", "char_offset", "char_length", "'sha256:' || sha2(substring(text, 1, 5), 256) as content_hash", "'id' || passage_idx as passage_id", "array(1f) as vector")
+    km = model.KnowledgeModel(passages, model.new_metadata("remote", 1, "none", "1"), None, remote.compose_manifest(src, "https://x.example"))
+
+    def opener(url):
+        if url.endswith("c.md"):
+            raise OSError("gone")
+        return {"a": b"Alpha one. Alpha two.", "b": b"Beta one. Beta three."}[url[-4]]
+
+    got = retrieval.verified(km.passages, store.open_sources(km, opener=opener))
+    assert {r.source_file: r.drift_status for r in got.collect()} == {"a.md": "verified", "b.md": "drifted", "c.md": "missing"}
+
+
+def test_a_store_of_memories_grows_by_files_and_swaps_a_tier(spark, tmp_path):
+    import glob
+
+    from sextant.operators import memory
+    from sextant.sources import store
+
+    root = str(tmp_path / "memory")
+    entry = lambda i, tier: spark.createDataFrame([(i, f"t{i}", 1.0, "", None, "", tier, 1, [1.0])], memory.SCHEMA)
+    assert store.append_memory(entry(0, "working"), root) == 0
+    before = set(glob.glob(f"{root}/v=0/*/*.parquet"))
+    assert store.append_memory(entry(1, "episodic"), root) == 0 and before < set(glob.glob(f"{root}/v=0/*/*.parquet"))
+    assert store.replace_tier(entry(2, "working"), "episodic", root) == 1
+    assert sorted((r.memory_id, r.tier) for r in store.read_memory(spark, root).collect()) == [(0, "working"), (2, "episodic")]
+    with pytest.raises(ValueError, match="tier"):
+        store.replace_tier(entry(3, "working"), "other", root)
+    with pytest.raises(Exception, match="no such tier"):
+        store.append_memory(entry(3, "other"), root)
+
+
+def test_models_that_do_not_go_together_are_not_merged_or_composed(spark):
+    from dataclasses import replace
+
+    from sextant.operators import compare
+    from sextant.sources import model
+
+    rows = spark.createDataFrame([(i, f"f{i}", 0, 1, "h", f"p{i}", v) for i, v in enumerate([[1.0, 0.0], [0.0, 1.0]])], "passage_idx long, source_file string, char_offset int, char_length int, content_hash string, passage_id string, vector array<float>")
+    km = model.KnowledgeModel(rows, model.new_metadata("local", 2, "none", "1", root="r"))
+    other = replace(km, passages=rows.where("passage_idx = 1"), metadata=km.metadata | {"ann": {"vector": "x"}})
+    got = compare.merged_model(km, other)
+    assert sorted((r.passage_idx, r.source_file) for r in got.passages.collect()) == [(0, "f0"), (1, "f1")]
+    config = got.metadata["build_config"]
+    assert (config["n_a"], config["n_b"], config["n_merged"], config["merged_from"]) == (2, 1, 2, ["r", "r"]) and "ann" not in got.metadata
+    model.check(got)
+    wide = replace(km, metadata=km.metadata | {"bands": {"base": {"dim": 3}}})
+    newer = replace(km, metadata=km.metadata | {"encoder": {"name": "none", "revision": "2"}})
+    for bad, why in ((replace(km, metadata=km.metadata | {"store_mode": "bundled"}), "bundled"), (wide, "size"), (newer, "revision")):
+        with pytest.raises(ValueError, match=why):
+            compare.merged_model(km, bad)
+    with pytest.raises(compare.Mismatch):
+        compare.compose_models(a=km, b=wide)
+    assert compare.compose_models(a=km, b=newer).count() == 4
+
+
+def test_actions_are_read_as_the_search_reads_them(spark):
+    from sextant.plans import deep
+
+    raw = ['x {"action": "answer", "answer": {"a": 1}} y', '{"query": 1} {"action": "search", "query": "q {z}"}', "none", None, '{"action": "give_up"', '[{"action": null}]']
+    rows = spark.createDataFrame(list(enumerate(raw)), "i int, r string").select("i", deep.parsed_action("r").alias("a")).orderBy("i").collect()
+    assert [tuple(r.a) for r in rows] == [("answer", None, '{"a": 1}'), ("search", "q {z}", None), *[(None, None, None)] * 4]
+    assert [deep._action(x or "") is not None for x in raw] == [True, True, False, False, False, True]
