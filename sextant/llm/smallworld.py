@@ -7,6 +7,8 @@ from collections.abc import Callable
 import numpy as np
 
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: The widest beam short of all nodes.
+WIDEST = 192
 
 
 def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -126,10 +128,13 @@ class SmallWorld:
     def within(self, queries: np.ndarray, radius: int, found: Callable[[np.ndarray, np.ndarray], None], beam: int = 16, chunk: int = 4096) -> None:
         """Tells ``found`` (places in ``queries``, nodes in the order given to the constructor) of all pairs within ``radius``, a chunk of
         queries at a time. A query whose whole beam lies within ``radius`` may have more neighbours: its beam doubles
-        until the beam ends outside, or holds every node."""
+        until the beam ends outside; beyond ``WIDEST`` it becomes one that holds every node, an exact scan."""
         n = len(self.codes)
         todo, beam = np.arange(len(queries)), min(beam, n)
         while len(todo):
+            if beam > WIDEST and beam < n:  # from here on a look at every node costs less than a beam
+                exact_within(self.codes, queries[todo], radius, lambda q, node: found(todo[q], self.order[node]))  # noqa: B023
+                return
             again = []
             size = max(1, chunk * 16 // max(16, beam))
             for i in range(0, len(todo), size):
