@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sextant.llm.smallworld import searched
-from sextant.llm.words import bigrams, distinct, hash_strings, mix, rows_reduce, simhash, split_words, word_hashes
+from sextant.llm.words import bigrams, cuts, distinct, hash_strings, mix, rows_reduce, simhash, split_words, word_hashes
 from sextant.operators.components import connected_components, min_labels
 from sextant.scratch import written
 
@@ -27,7 +27,7 @@ SKETCH = 128
 #: Spanning forests whose edges are verified, the second and third among what the first leaves unsure.
 FORESTS = 3
 #: Pairs of a shard held before those that sure edges already join are let go.
-POOL_EDGES = 2_000_000
+POOL_EDGES = 1_000_000
 #: Edges left by the forests that one task verifies, and grams that it looks at at once.
 PART_EDGES, PART_GRAMS = 1_000_000, 4_000_000
 
@@ -63,8 +63,14 @@ def estimated(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ((a == b) & (a > 0)).sum(1) / np.maximum(used, 1), used
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        for i, j in cuts(batch.column(1)):
+            yield batch.slice(i, j - i)
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _parts(batches):
         vocabulary, codes, bounds = split_words(batch.column(1))
         hashes = hash_strings(vocabulary)
         n = np.diff(bounds)
@@ -74,7 +80,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = simhash(hashes[words], ends)
         some = n > 0
         least = _least(*bigrams(hashes[codes], bounds))[some]
-        routes = least.reshape(len(least), ROUTES, -1).min(2)
+        routes = least.reshape(len(least), ROUTES, SKETCH // ROUTES).min(2)
         has = routes != _NONE
         routes = mix(routes + np.arange(ROUTES, dtype=np.uint64), 33)  # a hash in one share of the grams is no route of another
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has.sum(1))]).astype(np.int32)), pa.array(routes[has].view(np.int64)))
@@ -248,7 +254,7 @@ def candidate_edges(nodes: DataFrame, radius: int = RADIUS, similarity: float =
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _parts(batches):
         values, bounds = distinct(*bigrams(*word_hashes(batch.column(1))))
         low = (values >> np.uint64(32)).astype(np.uint32)
         grams = [np.unique(low[i:j]).tobytes() for i, j in zip(bounds[:-1], bounds[1:])]

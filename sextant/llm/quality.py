@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sextant.llm.sample import bytes_of, fitted, labelled_sample
-from sextant.llm.words import split_words
+from sextant.llm.words import cuts, split_words
 
 WIDTH = 2048
 #: Weight of the term that a word following itself counts for.
@@ -50,8 +50,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _pieces(texts: pa.Array) -> Iterator[pa.Array]:
-    for i in range(0, len(texts), _ROWS):
-        yield texts.slice(i, _ROWS)
+    for i, j in cuts(texts, most_rows=_ROWS):
+        yield texts.slice(i, j - i)
 
 
 def latent(texts: pa.Array, idf: np.ndarray, axes: np.ndarray) -> np.ndarray:

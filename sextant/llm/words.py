@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -39,6 +41,18 @@ def split_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarr
     return vocabulary, codes, bounds.astype(np.int64)
 
 
+def cuts(texts: pa.Array, most_bytes: int = 2 << 20, most_rows: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Bounds of parts of the column with about so many bytes and rows, a longer text by itself: what is worked out of a part
+    takes many times its bytes."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    i = 0
+    while i < len(texts):
+        j = int(np.searchsorted(size, (size[i - 1] if i else 0) + most_bytes, side="right"))
+        j = max(i + 1, min(j, i + most_rows))
+        yield i, j
+        i = j
+
+
 def hash_strings(strings: pa.Array) -> np.ndarray:
     """A 64-bit hash for each string, the same in every process."""
     names = np.asarray(strings.to_pandas(), dtype=object)

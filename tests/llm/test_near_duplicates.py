@@ -222,3 +222,17 @@ def test_all_that_the_forests_leave_is_verified(spark):
         assert 0 < len(good) < len(pairs) and {*got} <= good
         label = lambda edges: nd.min_labels(*np.array(sorted(edges)).T, 40).tolist()
         assert label([*first, *got]) == label(good)
+
+
+def test_parts_cover_a_column_and_stay_within_their_bytes():
+    import pyarrow as pa
+
+    from sextant.llm.words import cuts
+
+    r = random.Random(5)
+    texts = pa.array([r.choice([None, "", "x" * r.randint(1, 90), "y" * 700]) for _ in range(300)])
+    for column in (texts, texts.slice(13, 200), texts.slice(0, 0)):
+        got = list(cuts(column, 200, 7))
+        assert [k for i, j in got for k in range(i, j)] == list(range(len(column)))
+        sizes = [[len(x or "") for x in column.slice(i, j - i).to_pylist()] for i, j in got]
+        assert all(len(s) <= 7 and (sum(s) <= 200 or len(s) == 1) for s in sizes)
