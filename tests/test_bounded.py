@@ -74,3 +74,36 @@ def test_clusters_of_copies_keep_a_forest(spark, strip, monkeypatch):
     assert got == {i: int(np.flatnonzero(s[i])[0]) for i in range(len(x))} and edges[0] < 60 + 12 * 4
     short = {r.id: r.cluster_id for r in clusters.clusters(pairs(spark, np.concatenate([x[:2] / 2] * 2)), 0.9).collect()}
     assert short == {i: i for i in range(4)}  # too short to be alike to their own copies
+
+
+@pytest.mark.parametrize("tried", [3, 10_000])
+def test_contradictions_read_all_pairs_if_the_most_alike_do_not_do(spark, tried):
+    x = unit(60, 4)
+    words = [" ".join(f"w{(i % 7) * 3 + j}" for j in range(6 + i % 2)) for i in range(60)]
+    words[3], words[5] = None, "two words"
+    texts = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "id long, text string")
+    got = [tuple(r) for r in compare.contradictions(pairs(spark, x), texts, 0.5, 0.3, 40, tried).collect()]
+
+    def grams(w):
+        t = w.split()
+        return {tuple(t[i : i + 3]) for i in range(len(t) - 2)} if len(t) >= 3 else None
+
+    s, want = np.round(x.astype(float) @ x.astype(float).T, 6), []
+    for a in range(60):
+        for b in range(a + 1, 60):
+            if s[a, b] >= 0.5 and words[a] and words[b]:
+                p, q = grams(words[a]), grams(words[b])
+                j = 1.0 if p is None or q is None else round(len(p & q) / len(p | q), 6)
+                if j <= 0.3:
+                    want.append((a, b, s[a, b], j))
+    assert got == sorted(want, key=lambda r: (-r[2], r[0], r[1]))[:40]
+
+
+def test_wording_meets_in_cells(spark):
+    words = {i: " ".join(f"w{(i * 5 + j * j) % 23}" for j in range(3 + i % 9)) for i in range(40)} | {40: "too short", 41: None}
+    texts = spark.createDataFrame(list(words.items()), "id long, text string")
+    every = spark.createDataFrame([(a, b, a * 0.5) for a in range(42) for b in range(42) if a != b], "a long, b long, score double")
+    one, many = (sorted(map(tuple, compare.worded(every, texts, n).collect())) for n in (None, 300))
+    grams = texts.where("text is not null").select("id", text.hashed_trigrams("text").alias("g"))
+    joined = every.join(grams.toDF("a", "x"), "a").join(grams.toDF("b", "y"), "b").select("a", "b", "score", F.round(text.jaccard("x", "y"), 6))
+    assert one == many == sorted(map(tuple, joined.collect())) and len(one) == 41 * 40
