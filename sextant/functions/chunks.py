@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.functions.text import content_hash, passage_id, text_slice
+from sextant.functions.text import content_hash, in_parts, passage_id, text_slice
 
 LEAST, MOST = 200, 3200
 _GAP = re.compile(r"\n[ \t]*\n+")
@@ -91,7 +91,7 @@ def candidates(files: DataFrame, least: int = LEAST, most: int = MOST) -> DataFr
     """``(source_file, char_offset, char_length, content_hash, passage_id, text)``: passages with their texts and identities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches, 1):
             texts = batch.column(1).to_pylist()
             spans = [chunk_spans(t, least, most) for t in texts]
             row = pa.array([i for i, s in enumerate(spans) for _ in s], pa.int64())

@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sextant.functions.text import content_hash, text_slice
+from sextant.functions.text import content_hash, in_parts, text_slice
 from sextant.operators.blocks import best_of
+from sextant.scratch import written
 
 CITATION = ["passage_idx", "source_file", "char_offset", "char_length", "content_hash", "passage_id"]
 STATUSES = ("verified", "drifted", "missing")
@@ -32,8 +34,8 @@ def drift_status(text: Column | str, char_offset: Column | str, char_length: Col
     return F.when(text.isNull(), "missing").when(same, "verified").otherwise("drifted")
 
 
-def verified(passages: DataFrame, sources: DataFrame) -> DataFrame:
-    """``passages`` with ``drift_status`` and ``text`` (empty unless verified). ``sources`` has one row per ``source_file``; where it
+def verified(passages: DataFrame, sources: DataFrame, texts_too: bool = True) -> DataFrame:
+    """``passages`` with ``drift_status`` and ``text`` (empty unless verified, or without ``texts_too``). ``sources`` has one row per ``source_file``; where it
     has a column ``drifted``, a file so marked, which isn't the one pinned, has drifted as a whole.
 
     The passages of a file, without its text, are gathered first, so each text is joined once, and decoded once: cutting it by
@@ -47,16 +49,16 @@ def verified(passages: DataFrame, sources: DataFrame) -> DataFrame:
     at, many, known = (own.index(c) for c in ("char_offset", "char_length", "content_hash"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches, 2):
             lists, texts, other = batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            row, flat = lists.value_parent_indices(), lists.flatten()
+            row, flat = pa.array(np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())), lists.flatten()
             states, cuts = [], []
             for i, lo, n, hash_ in zip(row.to_pylist(), *(flat.field(k).to_pylist() for k in (at, many, known))):
                 text = texts[i]
                 cut = "" if text is None or lo is None or n is None else text[lo : lo + n]
                 same = text is not None and not other[i] and "sha256:" + sha256(cut.encode()).hexdigest() == hash_
                 states.append("missing" if text is None else "verified" if same else "drifted")
-                cuts.append(cut if same else "")
+                cuts.append(cut if same and texts_too else "")
             parts = [batch.column(0).take(row) if c == "source_file" else flat.field(own.index(c)) for c in columns]
             yield pa.RecordBatch.from_arrays([*parts, pa.array(states, pa.string()), pa.array(cuts, pa.string())], [*columns, "drift_status", "text"])
 
@@ -69,6 +71,8 @@ def search(passages: DataFrame, queries: DataFrame, k: int = 10, dedup: bool = T
     Only found rows are joined with the registry."""
     hits = best_of(passages, queries, k, dedup, vector)
     count = hits_at_most if hits_at_most is not None else k * queries.count()
+    if count > BROADCAST_HITS:
+        hits = written(hits, "hits")  # more than one table may come of them
     return passages.select(*CITATION).join(small(hits, count), "passage_idx").select("query_id", "rank", "score", *CITATION)
 
 
@@ -142,7 +146,7 @@ def profile(passages: DataFrame) -> DataFrame:
 
 def drift_report(passages: DataFrame, sources: DataFrame) -> DataFrame:
     """Citations of all passages with their ``drift_status``."""
-    return verified(passages.select(*CITATION), sources).drop("text")
+    return verified(passages.select(*CITATION), sources, False).drop("text")
 
 
 def drift_counts(report: DataFrame) -> DataFrame:

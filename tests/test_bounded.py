@@ -116,3 +116,18 @@ def test_metrics_by_label_are_those_of_all_its_passages(spark):
     wanted = labels.toDF("query_id", "label").join(labels.toDF("passage_idx", "label"), "label").select("query_id", "passage_idx", F.lit(1).alias("gain"))
     got = sorted(map(tuple, evaluation.label_metrics(ranked, labels, 8).collect()))
     assert got == sorted(map(tuple, evaluation.ranking_metrics(ranked, wanted, 8).collect())) and len(got) == 53
+
+
+def test_texts_are_taken_out_in_parts(spark):
+    texts = ["é" * 10, None, "b" * 100, "", "c" * 15, "d" * 4]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts, pa.string())], ["i", "t"])
+    parts = list(text.in_parts([batch, batch.slice(0, 0)], 1, 20))
+    assert [p.num_rows for p in parts] == [2, 1, 3] and [t for p in parts for t in p.column(1).to_pylist()] == texts
+    rows = spark.createDataFrame([(i, f"f{i % 3}", i, 2, "", str(i)) for i in range(30)], "passage_idx long, source_file string, char_offset int, char_length int, content_hash string, passage_id string")
+    now = spark.createDataFrame([(f"f{i}", "abcdefgh" * 9) for i in range(3)], "source_file string, text string")
+    want = sorted(map(tuple, retrieval.verified(rows, now).collect()))
+    keep, text.PART_BYTES = text.PART_BYTES, 10
+    try:
+        assert sorted(map(tuple, retrieval.verified(rows.coalesce(1), now.coalesce(1)).collect())) == want and len(want) == 30
+    finally:
+        text.PART_BYTES = keep
