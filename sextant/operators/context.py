@@ -71,6 +71,11 @@ def contexts(hits: DataFrame, metrics: DataFrame, questions: DataFrame, mode: st
     return rows.select("query_id", "suppressed", n.cast("long").alias("n_passages"), "missing_names", F.concat(F.lit(mode_header(mode) + "\n\n"), body).alias("context"))
 
 
+def blocks_at_most(budget_chars: int = TOKEN_BUDGET * CHARS_PER_TOKEN) -> int:
+    """How many questions a budget may have blocks of: none is shorter than its header, over a hundred characters."""
+    return budget_chars // 100 + 1
+
+
 def question_blocks(hits: DataFrame, metrics: DataFrame, questions: DataFrame, mode: str = "augment", budget_chars: int = TOKEN_BUDGET * CHARS_PER_TOKEN) -> DataFrame:
     """``(query_id, drifted, missing_names, block)``: one block per question with its metrics, in order of ``query_id``, as far as one
     budget for all goes; the first always stays."""
@@ -86,7 +91,7 @@ def question_blocks(hits: DataFrame, metrics: DataFrame, questions: DataFrame, m
     head = F.format_string(f"<!-- question %d, mode={mode} top1_score=%.3f gap=%.3f source_diversity=%.2f drift_fraction=%.2f missing=%s -->\n## %s\n\n", "query_id", "top1_score", "top1_top2_gap", "source_diversity", "drift_fraction", F.when(F.size("missing_names") > 0, F.array_join("missing_names", ",")).otherwise("-"), F.coalesce("question", F.lit("")))
     block = F.concat(head, F.coalesce(note, F.concat(refusal("missing_names"), F.col("body"))))
     rows = rows.select("query_id", (F.col("drift_fraction") > 0).alias("drifted"), "missing_names", block.alias("block"))
-    rows = rows.orderBy("query_id").limit(budget_chars // 100 + 1)  # no block is shorter than its header, over a hundred characters
+    rows = rows.orderBy("query_id").limit(blocks_at_most(budget_chars))
     return within_budget(rows, F.length("block"), budget_chars, [], ["query_id"])
 
 

@@ -131,3 +131,15 @@ def test_texts_are_taken_out_in_parts(spark):
         assert sorted(map(tuple, retrieval.verified(rows.coalesce(1), now.coalesce(1)).collect())) == want and len(want) == 30
     finally:
         text.PART_BYTES = keep
+
+
+def test_questions_without_room_are_not_searched_for(spark, sf_dir, monkeypatch):
+    from sextant import queries as q
+
+    asked_, evidence = [], retrieval.evidence
+    monkeypatch.setattr(q.retrieval, "evidence", lambda p, s, queries, k: asked_.append(queries.count()) or evidence(p, s, queries, k))
+    got = [tuple(r) for r in q.skill_context(spark, sf_dir).collect()]
+    assert asked_ == [context.blocks_at_most()]
+    hits, metrics = evidence(q.T.passages(spark, sf_dir), q.T.edited_files(spark, sf_dir), q.T.asked(spark, sf_dir), 5)
+    every = context.question_blocks(hits, metrics, q._questions(spark, sf_dir), "knowledge").select("query_id", "drifted", F.array_join("missing_names", ","), "block")
+    assert got and got == [tuple(r) for r in every.collect()]
