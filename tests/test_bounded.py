@@ -43,6 +43,31 @@ def test_passages_of_one_vector_are_scored_once(spark, dedup, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(model(x, x[:9], 6, dedup, 80, 80)) and met == [20]
 
 
+@pytest.mark.parametrize("kind", ["float", "double", "int"])
+def test_copies_are_found_by_their_bytes(spark, kind, monkeypatch):
+    """Comparing arrays of floats goes through all their numbers for each comparison of a sort."""
+    from sextant import scratch
+
+    monkeypatch.setattr(blocks, "LEAST_STRIP", 0)
+    monkeypatch.setattr(blocks, "BROADCAST_BYTES", 0)
+    plans, written = [], scratch.written
+    monkeypatch.setattr(scratch, "written", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or written(df, name))
+    x = np.concatenate([np.round(unit(20) * 9)] * 4)
+    x[::20, 0], x[20::20, 0] = 0.0, -0.0  # the same number
+    rows = table(spark, x, 80, 80).withColumn("vector", F.col("vector").cast(f"array<{kind}>")).repartition(3)
+    got = blocks.best_of(rows, asked(spark, x[:9]), 6, False).collect()
+    assert sorted(map(tuple, got)) == sorted(model(x, x[:9], 6, False, 80, 80))
+    assert len(plans) == 2 and "row_number" in plans[1] and "normalize" not in plans[1].lower()
+
+
+def test_bytes_of_vectors_are_read_again():
+    x = pa.array([[0.5, None], [1.5, -0.0], [], [2.0, 3.0, 4.0]], pa.list_(pa.float32())).slice(1)
+    keys = blocks._bits(x)
+    assert blocks._unbits(keys, np.float32).to_pylist() == x.to_pylist() and blocks._unbits(keys.slice(1), np.float32).to_pylist() == [[], [2.0, 3.0, 4.0]]
+    assert np.isnan(blocks._unbits(blocks._bits(pa.array([[0.5, None]], pa.list_(pa.float64()))), np.float64).to_pylist()[0][1])
+    assert blocks._unbits(blocks._bits(x.slice(3)), np.float32).to_pylist() == []
+
+
 def test_nothing_large_is_gathered(spark, monkeypatch):
     monkeypatch.setattr(blocks, "_gathered", lambda df: pytest.fail("sent to the driver"))
     monkeypatch.setattr(blocks, "BROADCAST_BYTES", 1000)
