@@ -86,6 +86,31 @@ def test_the_smaller_side_is_gathered(spark, monkeypatch):
     assert blocks.pairs_over(pairs(spark, x), pairs(spark, y), 0.3).count() == (want >= 0.3).sum() and sizes == [4, 4]
 
 
+@pytest.mark.parametrize("one", [False, True])
+@pytest.mark.parametrize("rows", [50_000, 615_384, 2_500_000])
+def test_a_cell_takes_no_longer_as_the_sides_grow(rows, one):
+    n, m = blocks._cut(((rows, rows * 512),) * 2, one, None)
+    assert (rows / n) * (rows / m) <= 1 << 31 and rows * 512 / min(n, m) <= blocks.STRIP_BYTES
+
+
+def test_a_bound_of_single_precision_is_not_above():
+    for x in (np.concatenate([unit(9).astype(np.float64).ravel(), [0.0, -np.inf, np.inf, 1e300, -1e300, 1e-300]]), np.float64(0.35)):
+        low = blocks._below(x, np.dtype(np.float32))
+        assert low.dtype == np.float32 and (low.astype(np.float64) <= x).all() and blocks._below(x, np.dtype(np.float64)) is x
+
+
+@pytest.mark.parametrize("copies", [4, 6])
+def test_copies_are_ranked_in_tasks_of_as_many_rows(spark, copies, monkeypatch):
+    monkeypatch.setattr(blocks, "LEAST_STRIP", 200)
+    monkeypatch.setattr(blocks, "BROADCAST_BYTES", 0)
+    counts, ranked = [], blocks.ranked
+    monkeypatch.setattr(blocks, "ranked", lambda found, k, dedup, count=0: counts.append((found.count(), count)) or ranked(found, k, dedup, count))
+    x = np.concatenate([unit(20)] * copies)
+    got = blocks.best_of(table(spark, x, len(x), len(x)), asked(spark, x[:9]), 6, False).collect()
+    assert sorted(map(tuple, got)) == sorted(model(x, x[:9], 6, False, len(x), len(x)))
+    assert counts[1] == (9 * 6 * copies,) * 2
+
+
 @pytest.mark.parametrize("strip", [7, None])
 def test_clusters_of_copies_keep_a_forest(spark, strip, monkeypatch):
     x = np.concatenate([unit(12, 3)] * 6)
