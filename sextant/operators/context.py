@@ -51,10 +51,11 @@ def joined_text(by: list[str], order: str, text: str, sep: str) -> Column:
 
 
 def rendered(hits: DataFrame, budget_chars: int = TOKEN_BUDGET * CHARS_PER_TOKEN) -> DataFrame:
-    """Verified hits with a text, each as a ``block``, as far as the budget of their query goes."""
+    """Verified hits with a text, each as a ``block`` of ``n_chars``, as far as the budget of their query goes. Who needs the sizes only
+    doesn't have the blocks sent to where the hits of a query meet."""
     block = F.concat(F.lit("<!-- "), anchor(), F.format_string(" score=%.3f ", "score"), F.col("drift_status"), F.lit(" -->\n"), F.col("text"), F.lit("\n"))
-    rows = hits.where("drift_status <> 'missing' and text <> ''").withColumn("block", block)
-    return within_budget(rows, F.length("block"), budget_chars, ["query_id"], ["rank"])
+    rows = hits.where("drift_status <> 'missing' and text <> ''").withColumn("block", block).withColumn("n_chars", F.length("block"))
+    return within_budget(rows, F.col("n_chars"), budget_chars, ["query_id"], ["rank"])
 
 
 def contexts(hits: DataFrame, metrics: DataFrame, questions: DataFrame, mode: str = "augment", budget_chars: int = TOKEN_BUDGET * CHARS_PER_TOKEN) -> DataFrame:

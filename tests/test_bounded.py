@@ -111,6 +111,14 @@ def test_copies_are_ranked_in_tasks_of_as_many_rows(spark, copies, monkeypatch):
     assert counts[1] == (9 * 6 * copies,) * 2
 
 
+def test_blocks_are_not_sent_where_their_sizes_do(spark):
+    hits = spark.createDataFrame([(1, r, 0.5, r, "f", 0, 9, "verified", "x" * r) for r in (1, 2, 3)], "query_id long, rank int, score double, passage_idx long, source_file string, char_offset int, char_length int, drift_status string, text string")
+    rows = context.rendered(hits)
+    assert rows.where("n_chars <> length(block)").isEmpty() and rows.count() == 3
+    plan = rows.select("query_id", "rank", "n_chars")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "AS block" not in plan
+
+
 @pytest.mark.parametrize("strip", [7, None])
 def test_clusters_of_copies_keep_a_forest(spark, strip, monkeypatch):
     x = np.concatenate([unit(12, 3)] * 6)
