@@ -119,6 +119,22 @@ def test_blocks_are_not_sent_where_their_sizes_do(spark):
     assert "Window" in plan and "AS block" not in plan
 
 
+@pytest.mark.parametrize("strip", [7, None])
+def test_a_difference_multiplies_each_pair_once(spark, strip, monkeypatch):
+    grids, grid = [], blocks._grid
+    monkeypatch.setattr(blocks, "_grid", lambda *a: grids.append(a) or grid(*a[:-1], strip))
+    monkeypatch.setattr(blocks, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(blocks, "TILE", (8, 16))
+    x, y = unit(40), np.concatenate([unit(40)[:25], unit(30, seed=1)])
+    x[3, 0] = np.nan
+    s = np.round(x.astype(float) @ y.astype(float).T, 6)
+    best = [np.where(np.isnan(s), -np.inf, s).max(k) for k in (1, 0)]
+    want = [(i, "removed" if v < 0.95 else "unchanged") for i, v in enumerate(best[0])] + [(i, "added") for i, v in enumerate(best[1]) if v < 0.95]
+    assert sorted(map(tuple, compare.corpus_diff(pairs(spark, x), pairs(spark, y)).collect())) == sorted(want) and len(grids) == 1
+    got = {(r.other, r.a): r.score for r in blocks.best_of_both(pairs(spark, x), pairs(spark, y)).collect()}
+    assert got == {(bool(k), i): v for k in (0, 1) for i, v in enumerate(best[k])}
+
+
 @pytest.mark.parametrize("strip", [7, None])
 def test_clusters_of_copies_keep_a_forest(spark, strip, monkeypatch):
     x = np.concatenate([unit(12, 3)] * 6)
